@@ -37,6 +37,7 @@ class Spec:
     radius: float | None
     payload: tuple[str, ...]
     own_id: bool = False
+    carry: tuple[str, ...] = ()
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -127,6 +128,8 @@ def _block_kernel(spec: Spec, group: Sequence[str], schema: pa.Schema):
             cols["dfeat"] = pa.array(np.concatenate(feat))
         for p in spec.payload:
             cols[p] = r[p].take(ri)
+        for p in spec.carry:
+            cols[p] = q[p].take(qi)
         cols["_part"] = r["_part"].take(ri)
         return pa.table([cols[f.name].cast(f.type) for f in schema], schema=schema)
     return run
@@ -138,20 +141,23 @@ def _split(df: DataFrame, keys: list[str], id_col: str, tile_rows: int) -> DataF
 
 
 def _block_join(q: DataFrame, r: DataFrame, keys: list[str], group: list[str], spec: Spec,
-                tile_rows: int, small_refs: bool) -> DataFrame:
+                tile_rows: int, small_refs: bool, small_queries: bool = False) -> DataFrame:
     """Cogroup both sides on ``keys`` in blocks of bounded size and run the kernel on each block."""
-    nq = _split(q, keys, "_qid", tile_rows)
     part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = q.join(nq, keys).withColumn("_qpart", part("_qid", "_n_qid"))
-    r = r.join(nq, keys)
+    if small_queries:
+        q, r = q.withColumn("_qpart", F.lit(0)), r.withColumn("_n_qid", F.lit(1))
+    else:
+        nq = _split(q, keys, "_qid", tile_rows)
+        q = q.join(nq, keys).withColumn("_qpart", part("_qid", "_n_qid"))
+        r = r.join(nq, keys)
     if small_refs:
         q, r = q.withColumn("_part", F.lit(0)), r.withColumn("_part", F.lit(0))
     else:
         nr = _split(r.drop("_n_qid"), keys, "_rid", tile_rows)
         q = q.join(nr, keys).withColumn("_part", spread("_n_rid"))
         r = r.join(nr, keys).withColumn("_part", part("_rid", "_n_rid"))
-    r = r.withColumn("_qpart", spread("_n_qid"))
+    r = r.withColumn("_qpart", F.lit(0) if small_queries else spread("_n_qid"))
     on = [*keys, "_part", "_qpart"]
     fresh = lambda d: d.select(*[F.col(c).alias(c) for c in d.columns if c not in ("_n_qid", "_n_rid", "_ub")])
     q, r = fresh(q), fresh(r)
@@ -161,6 +167,7 @@ def _block_join(q: DataFrame, r: DataFrame, keys: list[str], group: list[str], s
     if spec.with_feat:
         fields.append(pa.field("dfeat", pa.float64()))
     fields += [pa.field(p, _arrow_type(r, p)) for p in spec.payload]
+    fields += [pa.field(p, _arrow_type(q, p)) for p in spec.carry]
     fields.append(pa.field("_part", pa.int32()))
     schema = pa.schema(fields)
     from pyspark.sql.pandas.types import from_arrow_schema
@@ -186,6 +193,7 @@ def neighbours(
     feat: tuple[str, str] | None = None,
     exclude: tuple[str, str] | None = None,
     payload: Sequence[str] = (),
+    carry: Sequence[str] = (),
     radius: float | None = None,
     tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
@@ -195,7 +203,7 @@ def neighbours(
     by the distance of two array columns instead, whose first three entries cut the tiles. ``feat``
     adds the distance of two further array columns as ``dfeat``. ``exclude`` drops pairs with equal
     values (own id, own object). Ties go to the smaller reference id. Result: group columns, qid,
-    rid, rank, dist, [dfeat], payload columns of the reference.
+    rid, rank, dist, [dfeat], payload columns of the reference, carry columns of the query.
     """
     if k is None and radius is None:
         raise ValueError("either k or radius is needed")
@@ -218,17 +226,22 @@ def neighbours(
             cols.append(F.col(exclude[which]).alias("_excl"))
         return df.select(*cols, *extra)
 
-    q = side(queries, q_id, "_qid", 0, [])
+    q = side(queries, q_id, "_qid", 0, [F.col(c) for c in carry])
     r = side(refs, r_id, "_rid", 1, [F.col(p) for p in payload])
     own_id = exclude is not None and exclude[1] == r_id
-    spec = Spec(k, dims, vec is not None, feat is not None, exclude is not None, radius, tuple(payload), own_id)
+    spec = Spec(k, dims, vec is not None, feat is not None, exclude is not None, radius, tuple(payload), own_id,
+                tuple(carry))
     if not group:
         q, r = q.withColumn("_g", F.lit(0)), r.withColumn("_g", F.lit(0))
     by = group or ["_g"]
-    # one number decides whether any group needs tiles at all
-    largest = r.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    # two numbers decide whether any group needs tiles or splitting at all
+    sides = q.select(*by, F.lit("q").alias("_side")).unionByName(r.select(*by, F.lit("r").alias("_side")))
+    sizes = sides.groupBy(*by, "_side").count().groupBy("_side").agg(F.max("count").alias("n"))
+    most = {row["_side"]: row["n"] for row in sizes.collect()}
+    largest = most.get("r", 0)
     if largest <= tile_rows:
-        return _block_join(q, r, by, group, spec, tile_rows, True).drop("_part")
+        whole = most.get("q", 0) <= tile_rows
+        return _block_join(q, r, by, group, spec, tile_rows, True, whole).drop("_part")
     return _tiled(q, r, by, group, spec, tile_rows, largest)
 
 
@@ -299,7 +312,7 @@ def min_distance(queries: DataFrame, refs: DataFrame, group: Sequence[str], q_id
                  tile_rows: int = TILE_ROWS) -> DataFrame:
     """Distance of every query vector to its nearest reference vector in the group."""
     near = neighbours(queries, refs, 1, group, q_id, r_id, vec=vec, exclude=exclude, tile_rows=tile_rows)
-    return near.select(*group, F.col("qid").alias(q_id), F.col("dist").alias(name))
+    return near.select(*[c for c in group if c != q_id], F.col("qid").alias(q_id), F.col("dist").alias(name))
 
 
 def smooth(scores: DataFrame, near: DataFrame, group: Sequence[str], r_id: str, values: Sequence[str],
