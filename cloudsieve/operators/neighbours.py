@@ -17,9 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..functions.expr import dbl
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 
 TILE_ROWS = 4096
 _CELLS = 1 << 22
@@ -144,7 +146,7 @@ def _block_join(q: DataFrame, r: DataFrame, keys: list[str], group: list[str], s
                 tile_rows: int, small_refs: bool, small_queries: bool = False) -> DataFrame:
     """Cogroup both sides on ``keys`` in blocks of bounded size and run the kernel on each block."""
     part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    repeat = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     if small_queries:
         q, r = q.withColumn("_qpart", F.lit(0)), r.withColumn("_n_qid", F.lit(1))
     else:
@@ -155,29 +157,29 @@ def _block_join(q: DataFrame, r: DataFrame, keys: list[str], group: list[str], s
         q, r = q.withColumn("_part", F.lit(0)), r.withColumn("_part", F.lit(0))
     else:
         nr = _split(r.drop("_n_qid"), keys, "_rid", tile_rows)
-        q = q.join(nr, keys).withColumn("_part", spread("_n_rid"))
+        q = q.join(nr, keys).withColumn("_part", repeat("_n_rid"))
         r = r.join(nr, keys).withColumn("_part", part("_rid", "_n_rid"))
-    r = r.withColumn("_qpart", F.lit(0) if small_queries else spread("_n_qid"))
+    r = r.withColumn("_qpart", F.lit(0) if small_queries else repeat("_n_qid"))
     on = [*keys, "_part", "_qpart"]
     fresh = lambda d: d.select(*[F.col(c).alias(c) for c in d.columns if c not in ("_n_qid", "_n_rid", "_ub")])
     q, r = fresh(q), fresh(r)
-    fields = [pa.field(g, _arrow_type(q, g)) for g in group]
-    fields += [pa.field("qid", _arrow_type(q, "_qid")), pa.field("rid", _arrow_type(r, "_rid")),
-               pa.field("rank", pa.int32()), pa.field("dist", pa.float64())]
-    if spec.with_feat:
-        fields.append(pa.field("dfeat", pa.float64()))
-    fields += [pa.field(p, _arrow_type(r, p)) for p in spec.payload]
-    fields += [pa.field(p, _arrow_type(q, p)) for p in spec.carry]
-    fields.append(pa.field("_part", pa.int32()))
-    schema = pa.schema(fields)
-    from pyspark.sql.pandas.types import from_arrow_schema
+    schema = _result_schema(q.schema, r.schema, group, spec)
+    q, r = spread(q, *on), spread(r, *on)
     return q.groupBy(*on).cogroup(r.groupBy(*on)).applyInArrow(
         _block_kernel(spec, group, schema), from_arrow_schema(schema))
 
 
-def _arrow_type(df: DataFrame, name: str) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-    return to_arrow_type(df.schema[name].dataType)
+def _result_schema(q: StructType, r: StructType, group: Sequence[str], spec: Spec) -> pa.Schema:
+    of = lambda side, name: to_arrow_type(side[name].dataType)
+    fields = [pa.field(g, of(q, g)) for g in group]
+    fields += [pa.field("qid", of(q, "_qid")), pa.field("rid", of(r, "_rid")),
+               pa.field("rank", pa.int32()), pa.field("dist", pa.float64())]
+    if spec.with_feat:
+        fields.append(pa.field("dfeat", pa.float64()))
+    fields += [pa.field(p, of(r, p)) for p in spec.payload]
+    fields += [pa.field(p, of(q, p)) for p in spec.carry]
+    fields.append(pa.field("_part", pa.int32()))
+    return pa.schema(fields)
 
 
 def neighbours(
