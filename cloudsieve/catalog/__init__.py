@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import QUERIES, SQL
 
-_MODULES = ("detection", "statistics", "vectors", "points", "analytics")
+_MODULES = ("detection", "statistics", "vectors", "points", "analytics", "geometry")
 for _m in _MODULES:
     import_module(f"{__name__}.{_m}")
 

@@ -23,6 +23,7 @@ def get_spark(app: str = "cloudsieve", cores: str | None = None) -> SparkSession
             .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
             .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "12g"))
             .config("spark.ui.enabled", "false")
+            .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         )
     return builder.getOrCreate()
 

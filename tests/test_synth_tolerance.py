@@ -30,7 +30,7 @@ def test_pseudo_tests_pair_every_normal_with_a_defect(spark):
     rng = np.random.default_rng(1)
     df = table(spark, sphere(rng, 1500), category="a", source_rank=0).unionByName(
         table(spark, sphere(rng, 1500), category="a", source_rank=1))
-    for mode in ("pose", "view", "as_is"):
+    for mode in ("view", "as_is"):
         got = S.pseudo_tests(df, ["category"], 3, mode, 7).groupBy("path", "label").agg(
             F.count(F.lit(1)).alias("n"), F.sum("gt").alias("gt"), F.max("x").alias("mx")).toPandas()
         assert len(got) == 6 and got.label.sum() == 3
