@@ -8,15 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import dbl
-from ..operators.prefix import RANGES, ordered_totals
+from ..operators.prefix import GROUP_LIMIT, ordered_totals
 
 
 def roc_table(df, keys: Sequence[str], label: str, score: str, weight: Column | None = None,
-              ranges: int = RANGES) -> DataFrame:
+              limit: int = GROUP_LIMIT) -> DataFrame:
     """One row per group and distinct score with the counts of both classes at and above it."""
     y = dbl(label)
     w = weight if weight is not None else F.lit(1.0)
-    return ordered_totals(df, keys, score, {"pos": y * w, "neg": (1 - y) * w}, descending=True, ranges=ranges)
+    return ordered_totals(df, keys, score, {"pos": y * w, "neg": (1 - y) * w}, descending=True, limit=limit)
 
 
 def _both(e: Column) -> Column:

@@ -1,14 +1,15 @@
-"""Ordered running totals that never bring a whole group into one task.
+"""Ordered running totals that never bring a hot group into one task.
 
 AUROC, average precision, operating points, exact percentiles, medians, top-k means and average
-ranks all need "how much lies before this value in my group". A window over the group would sort a
-hot group in one task. Here equal values are first collapsed by a partial aggregate, the distinct
-values of every group are cut into value ranges, the window runs inside one range, and the ranges'
+ranks all need "how much lies before this value in my group". Equal values are first collapsed by a
+partial aggregate. Groups up to ``GROUP_LIMIT`` rows then need one window. The values of larger groups
+are cut into as many ranges as their size asks for, the window runs inside one range, and the ranges'
 totals (one short row each) give the offset.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,14 +17,35 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import col, dbl
 
-RANGES = 32
+GROUP_LIMIT = 1_000_000
+MOST_RANGES = 8192
 
 
-def value_ranges(df: DataFrame, keys: Sequence[str], value: str, ranges: int = RANGES) -> DataFrame:
-    """One row per group: ascending cut points that split its values into about equal shares."""
-    probs = [i / ranges for i in range(1, ranges)]
-    cuts = F.percentile_approx(F.col(value), F.array(*[F.lit(p) for p in probs]), F.lit(ranges * 50))
-    return df.groupBy(*keys).agg(cuts.alias("_cuts"))
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Row count of the largest group: one number, from a map-side combined count."""
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
+def range_cuts(df: DataFrame, keys: Sequence[str], value: str, limit: int = GROUP_LIMIT) -> DataFrame | None:
+    """Cut points (keys, ``_cuts``) of the groups above ``limit`` rows, or None when there are none."""
+    keys = list(keys)
+    counts = df.groupBy(*keys).count()
+    largest = counts.agg(F.max("count")).first()[0] or 0
+    if largest <= limit:
+        return None
+    ranges = min(MOST_RANGES, 2 * math.ceil(largest / limit))
+    hot = df.join(counts.where(F.col("count") > limit).select(*keys), keys, "left_semi")
+    probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    return hot.groupBy(*keys).agg(F.percentile_approx(F.col(value), probs, F.lit(ranges * 50)).alias("_cuts"))
+
+
+def with_range(df: DataFrame, cuts: DataFrame | None, keys: Sequence[str], value: str) -> DataFrame:
+    """Add ``_range``, the value range of a row within its group (0 where the group is not cut)."""
+    if cuts is None:
+        return df.withColumn("_range", F.lit(0))
+    below = F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(value)))
+    return df.join(cuts, list(keys), "left").withColumn(
+        "_range", F.when(F.col("_cuts").isNull(), 0).otherwise(below)).drop("_cuts")
 
 
 def ordered_totals(
@@ -32,14 +54,14 @@ def ordered_totals(
     value: str | Column,
     sums: Mapping[str, Column] | None = None,
     descending: bool = True,
-    ranges: int = RANGES,
+    limit: int = GROUP_LIMIT,
     name: str = "v",
 ) -> DataFrame:
     """One row per group and distinct value, with running totals.
 
     For ``cnt`` and every named sum ``s`` the result holds the value's own amount ``s``, the amount
     strictly before it in the asked order ``s_before`` and the group's ``s_total``. NULL values are
-    left out.
+    left out. ``df`` is read more than once: pass a table or a checkpoint, not a costly plan.
     """
     sums = dict(sums or {})
     keys = list(keys)
@@ -49,45 +71,29 @@ def ordered_totals(
         src = src.withColumn("_all", F.lit(0))
     by = keys or ["_all"]
     names = ["cnt", *sums]
-    flat = src.groupBy(*by, name).agg(
-        F.count(F.lit(1)).cast("double").alias("cnt"),
-        *[F.sum(dbl(s)).alias(s) for s in sums],
-    )
-    if ranges > 1:
-        cuts = value_ranges(src.select(*by, name), by, name, ranges)
-        pos = F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(name)))
-        cut = lambda d: d.join(cuts, by).withColumn("_range", pos).drop("_cuts")
-        flat = cut(flat)
-        totals = cut(src).groupBy(*by, "_range").agg(
-            F.count(F.lit(1)).cast("double").alias("cnt"),
-            *[F.sum(dbl(s)).alias(s) for s in sums],
-        )
-        order = F.col("_range").desc() if descending else F.col("_range").asc()
+    amounts = [F.count(F.lit(1)).cast("double").alias("cnt"), *[F.sum(dbl(s)).alias(s) for s in sums]]
+    flat = src.groupBy(*by, name).agg(*amounts)
+    cuts = range_cuts(src.select(*by, name), by, name, limit)
+    order = F.col(name).desc() if descending else F.col(name).asc()
+    before = lambda w: [F.coalesce(F.sum(s).over(w), F.lit(0.0)).alias(f"{s}_before") for s in names]
+    if cuts is None:
         whole = Window.partitionBy(*by)
         ahead = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        offsets = totals.select(
-            *by, "_range",
-            *[F.coalesce(F.sum(s).over(ahead), F.lit(0.0)).alias(f"{s}_offset") for s in names],
-            *[F.sum(s).over(whole).alias(f"{s}_total") for s in names],
-        )
-        within = Window.partitionBy(*by, "_range")
-    else:
-        within = Window.partitionBy(*by)
-    order = F.col(name).desc() if descending else F.col(name).asc()
-    ahead = within.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    local = [F.coalesce(F.sum(s).over(ahead), F.lit(0.0)).alias(f"{s}_before") for s in names]
-    if ranges > 1:
-        out = flat.select("*", *local).join(offsets, [*by, "_range"])
-        out = out.select(
-            *keys, name, *names,
-            *[(F.col(f"{s}_before") + F.col(f"{s}_offset")).alias(f"{s}_before") for s in names],
-            *[f"{s}_total" for s in names],
-        )
-    else:
-        out = flat.select(
-            *keys, name, *names, *local, *[F.sum(s).over(within).alias(f"{s}_total") for s in names]
-        )
-    return out
+        return flat.select(*keys, name, *names, *before(ahead), *[F.sum(s).over(whole).alias(f"{s}_total") for s in names])
+    flat = with_range(flat, cuts, by, name)
+    # per range and group only totals are left, so this window is short
+    totals = with_range(src, cuts, by, name).groupBy(*by, "_range").agg(*amounts)
+    whole = Window.partitionBy(*by)
+    step = F.col("_range").desc() if descending else F.col("_range").asc()
+    ahead = whole.orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *by, "_range", *[F.coalesce(F.sum(s).over(ahead), F.lit(0.0)).alias(f"{s}_offset") for s in names],
+        *[F.sum(s).over(whole).alias(f"{s}_total") for s in names])
+    within = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = flat.select("*", *before(within)).join(offsets, [*by, "_range"])
+    return out.select(
+        *keys, name, *names, *[(F.col(f"{s}_before") + F.col(f"{s}_offset")).alias(f"{s}_before") for s in names],
+        *[f"{s}_total" for s in names])
 
 
 def percentile_of(p: float, name: str = "v") -> Column:
@@ -114,9 +120,9 @@ def top_mean_of(k: Column | int, name: str = "v") -> Column:
     return F.sum(take * F.col(name)) / F.max(kk)
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, ranges: int = RANGES) -> DataFrame:
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, limit: int = GROUP_LIMIT) -> DataFrame:
     """Attach the ascending average rank of ``value`` within its group (ties share their mean rank)."""
-    t = ordered_totals(df, keys, value, descending=False, ranges=ranges)
+    t = ordered_totals(df, keys, value, descending=False, limit=limit)
     t = t.select(*keys, F.col("v").alias("_v"), (F.col("cnt_before") + (F.col("cnt") + 1) / 2).alias("avg_rank"))
     on = [df[k] == t[k] for k in keys] + [dbl(df[value]) == t["_v"]]
     cond = on[0]
@@ -128,30 +134,52 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, ranges: int =
     return out.drop("_v")
 
 
-def hash_sample(df: DataFrame, keys: Sequence[str], n: Column | int, *parts, strata: int = 1024) -> DataFrame:
+def hash_text(*parts) -> Column:
+    """md5 of the '|'-joined parts."""
+    return F.md5(F.concat_ws("|", *[F.lit(str(p)) if isinstance(p, int) else col(p).cast("string") for p in parts]))
+
+
+def stratum(text: str, strata: int) -> Column:
+    """Equal share of the md5 range that a hash falls into."""
+    return F.floor(F.conv(F.substring(text, 1, 8), 16, 10).cast("long") * strata / F.lit(4294967296)).cast("int")
+
+
+def hash_sample(df: DataFrame, keys: Sequence[str], n: Column | int, *parts, limit: int = GROUP_LIMIT) -> DataFrame:
     """Exactly min(n, size) rows of every group, uniform and repeatable, in no particular order.
 
-    Rows are ordered by the md5 of ``parts``. The hash range is cut into equal strata, whole strata
-    below the n-th row are kept without sorting, and only the boundary stratum of a group is ranked.
+    Rows are ordered by the md5 of ``parts``. Where a group exceeds ``limit`` rows, the hash range is
+    cut into strata: strata wholly inside the sample are kept unsorted, and only the boundary stratum
+    of a group is ranked.
     """
     keys = list(keys)
-    text = F.md5(F.concat_ws("|", *[F.lit(str(p)) if isinstance(p, int) else col(p).cast("string") for p in parts]))
-    limit = n if isinstance(n, Column) else F.lit(n)
-    tagged = df.withColumn("_h", text).withColumn(
-        "_s", (F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * strata / F.lit(4294967296)).cast("int"))
+    many = n if isinstance(n, Column) else F.lit(n)
+    tagged = df.withColumn("_h", hash_text(*parts))
+    largest = largest_group(df, keys)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_h"))
+    if largest <= limit:
+        return tagged.withColumn("_r", rank).where(F.col("_r") <= many).drop("_h", "_r")
+    tagged = tagged.withColumn("_s", stratum("_h", min(MOST_RANGES, 4 * math.ceil(largest / limit))))
     w = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = (
-        tagged.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_upto", F.sum("_n").over(w))
-    )
-    joined = tagged.join(upto, [*keys, "_s"])
-    joined = joined.withColumn("_limit", limit).withColumn("_before", F.col("_upto") - F.col("_n"))
+    upto = tagged.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_n")).withColumn("_upto", F.sum("_n").over(w))
+    joined = tagged.join(upto, [*keys, "_s"]).withColumn("_limit", many).withColumn("_before", F.col("_upto") - F.col("_n"))
     joined = joined.where(F.col("_before") < F.col("_limit"))
-    # strata that fit whole keep a constant order key, so only the boundary stratum pays for ordering
     whole = F.col("_upto") <= F.col("_limit")
-    inside = joined.where(whole)
-    edge = joined.where(~whole)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_h"))
-    edge = edge.withColumn("_r", rank).where(F.col("_r") <= F.col("_limit") - F.col("_before")).drop("_r")
-    extra = ["_h", "_s", "_n", "_upto", "_limit", "_before"]
-    return inside.drop(*extra).unionByName(edge.drop(*extra))
+    edge = joined.where(~whole).withColumn("_r", rank).where(F.col("_r") <= F.col("_limit") - F.col("_before"))
+    return joined.where(whole).select(*df.columns).unionByName(edge.select(*df.columns))
+
+
+def hash_index(df: DataFrame, keys: Sequence[str], id_col: str, name: str = "idx", limit: int = GROUP_LIMIT) -> DataFrame:
+    """Number the rows of every group 0 .. n-1 in md5 order of their id, with the group size as ``n``.
+
+    Only one hash stratum of a large group is ever sorted in one task.
+    """
+    keys = list(keys)
+    strata = min(MOST_RANGES, max(1, 4 * math.ceil(largest_group(df, keys) / limit) - 4) or 1)
+    tagged = df.withColumn("_h", hash_text(id_col)).withColumn("_s", stratum("_h", strata))
+    whole = Window.partitionBy(*keys)
+    ahead = whole.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = tagged.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_c")).select(
+        *keys, "_s", F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_o"), F.sum("_c").over(whole).alias("n"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_s").orderBy("_h", id_col)) - 1
+    return tagged.withColumn("_i", inside).join(sizes, [*keys, "_s"]).withColumn(
+        name, F.col("_o") + F.col("_i")).drop("_h", "_s", "_i", "_o")

@@ -13,28 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import hash01
-from ..operators.prefix import RANGES, value_ranges
+from ..operators.prefix import hash_index, range_cuts, with_range
 from ..session import cut_lineage
 
 
-def hash_index(df: DataFrame, keys: Sequence[str], id_col: str, name: str = "idx", strata: int = 256) -> DataFrame:
-    """Number the rows of every group 0 .. n-1 in md5 order of their id, with the group size as ``n``.
-
-    Only one hash stratum of a group is ever sorted in one task.
-    """
-    keys = list(keys)
-    tagged = df.withColumn("_h", F.md5(F.col(id_col).cast("string")))
-    tagged = tagged.withColumn(
-        "_s", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * strata / F.lit(4294967296)).cast("int"))
-    whole = Window.partitionBy(*keys)
-    ahead = whole.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = tagged.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_c")).select(
-        *keys, "_s", F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_o"), F.sum("_c").over(whole).alias("n"))
-    inside = F.row_number().over(Window.partitionBy(*keys, "_s").orderBy("_h", id_col)) - 1
-    return tagged.withColumn("_i", inside).join(sizes, [*keys, "_s"]).withColumn(
-        name, F.col("_o") + F.col("_i")).drop("_h", "_s", "_i", "_o")
-
-
 def resample_weights(members: DataFrame, keys: Sequence[str], replicates: int, seed: int = 0) -> DataFrame:
     """How often every position of a stratum is drawn in every replicate (positions never drawn are absent)."""
     keys = list(keys)
@@ -52,9 +34,8 @@ def bootstrap_auroc(scores: DataFrame, replicates: int, seed: int = 0, category:
     members = cut_lineage(members)
     weights = resample_weights(members, strata, replicates, seed)
     by = [*series, category]
-    cuts = value_ranges(scores.select(*by, "score"), by, "score", RANGES)
-    base = scores.select(*by, "label", "file", "score").join(cuts, by).withColumn(
-        "_range", F.size(F.filter(F.col("_cuts"), lambda c: c < F.col("score")))).drop("_cuts")
+    base = scores.select(*by, "label", "file", "score")
+    base = with_range(base, range_cuts(base, by, "score"), by, "score")
     rows = base.join(members.select(*strata, "file", "idx"), [*strata, "file"]).join(weights, [*strata, "idx"])
     per = rows.groupBy("b", *by, "_range", "score").agg(
         F.sum(F.col("w") * F.col("label")).cast("double").alias("pos"),
