@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import dbl
+from ..session import cut_lineage
 from ..operators.prefix import GROUP_LIMIT, ordered_totals
 
 
@@ -64,6 +65,8 @@ def compute_metrics(samples: DataFrame, points: DataFrame, category: str = "cate
 
     The per-sample mean runs over the samples that hold both classes, as NULL rows drop out of avg.
     """
+    # one row per sample, read three times
+    samples = cut_lineage(samples)
     obj = detection_metrics(samples, [category], label, object_score).select(
         category, F.col("auroc").alias("o_auroc"), F.col("aupr").alias("o_aupr"))
     counts = samples.groupBy(category).agg(

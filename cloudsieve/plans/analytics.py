@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..functions.expr import defect_fraction
 from ..operators.prefix import ordered_totals, percentile_of
+from ..session import cut_lineage
 from .bootstrap import bootstrap_auroc, interval
 
 
@@ -55,7 +56,7 @@ def category_report(scores: DataFrame) -> DataFrame:
 
 def bootstrap_summary(scores: DataFrame, a: str, b: str, replicates: int, seed: int = 0) -> DataFrame:
     """Estimate and 95 % interval per channel and for a - b, with the one-sided share p of the latter."""
-    scores = common_categories(scores)
+    scores = cut_lineage(common_categories(scores))
     boot = bootstrap_auroc(scores, replicates, seed)
     per = boot.groupBy("b", "category", "channel").agg(F.avg("auroc").alias("m")).groupBy("b", "channel").agg(
         (F.avg("m") * 100).alias("m"))
@@ -73,7 +74,7 @@ def bootstrap_summary(scores: DataFrame, a: str, b: str, replicates: int, seed:
 
 def category_differences(scores: DataFrame, a: str, b: str, replicates: int, seed: int = 0) -> DataFrame:
     """Paired difference a - b per category (AUROC %, mean over seeds) with its bootstrap interval."""
-    scores = common_categories(scores).where(F.col("channel").isin(a, b))
+    scores = cut_lineage(common_categories(scores).where(F.col("channel").isin(a, b)))
     only = lambda c, v: F.max(F.when(F.col("channel") == c, F.col(v)))
     boot = bootstrap_auroc(scores, replicates, seed).groupBy("b", "category", "channel").agg(F.avg("auroc").alias("m"))
     d = boot.groupBy("b", "category").agg(((only(a, "m") - only(b, "m")) * 100).alias("d"))
@@ -118,7 +119,7 @@ def size_strata(scores: DataFrame) -> DataFrame:
 def rule_comparison(samples: DataFrame, keys: Sequence[str], label: str, rules: Sequence[str]) -> DataFrame:
     """AUROC per category and pooling rule, with the mean row over categories."""
     long = samples.unpivot([*keys, label], list(rules), "rule", "score").withColumnRenamed(label, "label")
-    per = auroc_by(long, [*keys, "rule"]).where(F.col("auroc").isNotNull())
+    per = auroc_by(cut_lineage(long), [*keys, "rule"]).where(F.col("auroc").isNotNull())
     return M.with_mean_row(per, keys[0], ["auroc"], by=["rule"])
 
 

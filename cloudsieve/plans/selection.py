@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .analytics import auroc_by
 from .bootstrap import unit_bootstrap
 
@@ -43,7 +44,7 @@ def unit_values(records: DataFrame) -> DataFrame:
     size = records.groupBy(*by).agg(F.countDistinct("file").alias("_n"))
     whole = records.groupBy(*by, "key").agg(F.count("score").alias("_c")).join(size, by).where(
         F.col("_c") == F.col("_n")).select(*by, "key")
-    rows = records.join(whole, [*by, "key"], "left_semi")
+    rows = cut_lineage(records.join(whole, [*by, "key"], "left_semi"))
     return auroc_by(rows, [*by, "key"])
 
 
