@@ -11,7 +11,8 @@ from .registry import query, r6, rounded, table
 from .vectors import EVENT_POINTS, event_points
 
 LINE_CLOUD = """
-pt AS (SELECT l_suppkey, md5(concat_ws('|', l_orderkey, l_partkey, l_linenumber, round(l_extendedprice * 100)::BIGINT)) AS point_idx,
+pt AS (SELECT l_suppkey, ('0x' || substr(md5(concat_ws('|', l_orderkey, l_partkey, l_linenumber,
+    round(l_extendedprice * 100)::BIGINT)), 1, 15))::BIGINT AS point_idx,
   l_quantity AS x, l_extendedprice / 1000 AS y, l_discount * 100 AS z, (l_returnflag = 'R')::INT AS gt FROM lineitem)"""
 
 
@@ -19,7 +20,7 @@ def line_cloud(spark, sf_dir):
     key = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_linenumber")],
                             F.round(F.col("l_extendedprice") * 100).cast("long").cast("string")))
     return table(spark, sf_dir, "lineitem").select(
-        "l_suppkey", key.alias("point_idx"), F.col("l_quantity").alias("x"),
+        "l_suppkey", F.conv(F.substring(key, 1, 15), 16, 10).cast("long").alias("point_idx"), F.col("l_quantity").alias("x"),
         (F.col("l_extendedprice") / 1000).alias("y"), (F.col("l_discount") * 100).alias("z"),
         F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("gt"))
 

@@ -160,7 +160,8 @@ def _block_join(q: DataFrame, r: DataFrame, keys: list[str], group: list[str], s
         q = q.join(nr, keys).withColumn("_part", repeat("_n_rid"))
         r = r.join(nr, keys).withColumn("_part", part("_rid", "_n_rid"))
     r = r.withColumn("_qpart", F.lit(0) if small_queries else repeat("_n_qid"))
-    on = [*keys, "_part", "_qpart"]
+    # constant columns would hide the partitioning from the planner
+    on = [*keys, *([] if small_refs else ["_part"]), *([] if small_queries else ["_qpart"])]
     fresh = lambda d: d.select(*[F.col(c).alias(c) for c in d.columns if c not in ("_n_qid", "_n_rid", "_ub")])
     q, r = fresh(q), fresh(r)
     schema = _result_schema(q.schema, r.schema, group, spec)

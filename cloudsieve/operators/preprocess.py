@@ -73,10 +73,13 @@ def voxel_first(points: DataFrame, keys: Sequence[str], voxel: float, order: str
     if not voxel or voxel <= 0:
         return points
     keys = list(keys)
-    rest = [c for c in points.columns if c not in keys]
-    cells = points.select(*keys, *[cell(c, voxel).alias(f"_{c}") for c in XYZ], F.struct(*rest).alias("_row"))
-    kept = cells.groupBy(*keys, "_x", "_y", "_z").agg(F.min_by("_row", F.col(f"_row.{order}")).alias("_row"))
-    return kept.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    rest = [c for c in points.columns if c not in [*keys, order]]
+    cells = points.select("*", *[cell(c, voxel).alias(f"_{c}") for c in XYZ])
+    # one aggregate per column: plain numeric columns keep a hash aggregate, a struct would force a sort
+    kept = cells.groupBy(*keys, "_x", "_y", "_z").agg(
+        F.min(order).alias(f"_{order}"), *[F.min_by(c, order).alias(f"_{c}_first") for c in rest])
+    names = {c: f"_{order}" if c == order else c if c in keys else f"_{c}_first" for c in points.columns}
+    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def voxel_centroid(points: DataFrame, keys: Sequence[str], voxel: float) -> DataFrame:
