@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import channels as C
 from ..operators import memory as MEM
 from ..operators.greedy import farthest_first
-from ..operators.neighbours import min_distance, neighbours, smooth
+from ..operators.neighbours import min_distance, neighbours, radius_summary, smooth
 from .registry import query, r6, rounded, table
 
 MEMORY = """
@@ -98,15 +98,13 @@ def leave_one_object_out_nearest(spark, sf_dir):
 
 @query("radius_join", f"""
 WITH {MEMORY}
-SELECT q AS vec_id, count(*) AS n, round(min(d) FILTER (WHERE q <> m), 6) AS nearest_feature, round(max(dpos), 6) AS reach
-FROM pairs WHERE dpos <= 0.15 GROUP BY q""")
+SELECT q AS vec_id, count(*) AS n, round(min(d), 6) AS nearest_feature, round(max(dpos), 6) AS reach
+FROM pairs WHERE dpos <= 0.15 AND q <> m GROUP BY q""")
 def radius_join(spark, sf_dir):
     m = memory_table(spark, sf_dir)
-    near = neighbours(m, m, None, ["category"], "entry_id", "entry_id", pos=("cx", "cy", "cz"),
-                      feat=("feat", "feat"), radius=0.15)
-    return near.groupBy(F.col("qid").alias("vec_id")).agg(
-        F.count(F.lit(1)).alias("n"), r6(F.min(F.when(F.col("qid") != F.col("rid"), F.col("dfeat"))), "nearest_feature"),
-        r6(F.max("dist"), "reach"))
+    around = radius_summary(m, m, 0.15, ["category"], "entry_id", "entry_id", pos=("cx", "cy", "cz"),
+                            feat=("feat", "feat"), exclude=("entry_id", "entry_id"))
+    return around.select(F.col("qid").alias("vec_id"), "n", r6("nearest", "nearest_feature"), r6("reach"))
 
 
 FPS = """

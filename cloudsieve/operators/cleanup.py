@@ -92,9 +92,12 @@ def density_clusters(points: DataFrame, keys: Sequence[str], radius_share: float
     # dividing by the extent makes one radius fit all clouds
     scaled = points.join(extents(points, keys), keys).select(
         *keys, id_col, *[(dbl(c) / F.col("extent")).alias(c) for c in XYZ])
-    pairs = cut_lineage(neighbours(scaled, scaled, None, keys, id_col, id_col, radius=radius_share)
-                        .select(*keys, "qid", "rid"))
-    core = pairs.groupBy(*keys, "qid").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_points)
+    # equal positions act as one point with a weight, so copies cannot blow up the pairs
+    scaled = cut_lineage(scaled)
+    places = scaled.groupBy(*keys, *XYZ).agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("_w"))
+    pairs = cut_lineage(neighbours(places, places, None, keys, id_col, id_col, payload=["_w"], radius=radius_share)
+                        .select(*keys, "qid", "rid", "_w"))
+    core = pairs.groupBy(*keys, "qid").agg(F.sum("_w").alias("_n")).where(F.col("_n") >= min_points)
     core = cut_lineage(core.select(*keys, F.col("qid").alias(id_col)))
     edges = pairs.join(core.withColumnRenamed(id_col, "qid"), [*keys, "qid"], "left_semi").join(
         core.withColumnRenamed(id_col, "rid"), [*keys, "rid"], "left_semi")
@@ -114,7 +117,9 @@ def density_clusters(points: DataFrame, keys: Sequence[str], radius_share: float
             break
     touch = pairs.join(label.withColumnRenamed(id_col, "rid"), [*keys, "rid"]).groupBy(*keys, "qid").agg(
         F.min("cluster").alias("_t")).withColumnRenamed("qid", id_col)
-    return touch.join(label, [*keys, id_col], "left").select(*keys, id_col, F.coalesce("cluster", "_t").alias("cluster"))
+    found = touch.join(label, [*keys, id_col], "left").select(*keys, id_col, F.coalesce("cluster", "_t").alias("cluster"))
+    named = places.join(found, [*keys, id_col]).select(*keys, *XYZ, "cluster")
+    return scaled.join(named, [*keys, *XYZ]).select(*keys, id_col, "cluster")
 
 
 def drop_small_clusters(points: DataFrame, keys: Sequence[str], id_col: str = "point_idx") -> DataFrame:

@@ -40,6 +40,7 @@ class Spec:
     payload: tuple[str, ...]
     own_id: bool = False
     carry: tuple[str, ...] = ()
+    summary: bool = False
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -93,7 +94,7 @@ def _block_kernel(spec: Spec, group: Sequence[str], schema: pa.Schema):
             code = {v: i for i, v in enumerate(sorted(set(r["_excl"].to_pylist()), key=str))}
             re_ = np.array([code[v] for v in r["_excl"].to_pylist()])
             qe = np.array([code.get(v, -1) for v in q["_excl"].to_pylist()])
-        qi, ri, rank, dist, feat = [], [], [], [], []
+        qi, ri, rank, dist, feat, count = [], [], [], [], [], []
         step = max(1, _CELLS // max(1, r.num_rows))
         for s in range(0, q.num_rows, step):
             d = _square_distances(qx[s:s + step], rx)
@@ -101,6 +102,21 @@ def _block_kernel(spec: Spec, group: Sequence[str], schema: pa.Schema):
                 d[qe[s:s + step, None] == re_[None, :]] = np.inf
             if spec.radius is not None:
                 d[d > spec.radius * spec.radius * (1 + 1e-12)] = np.inf
+            if spec.summary:
+                # one row per query: how many, the farthest, and the nearest feature among them
+                inside = np.isfinite(d)
+                n = inside.sum(axis=1)
+                rows = np.nonzero(n)[0]
+                near = _square_distances(qf[s:s + step], rf) if spec.with_feat else d
+                near = np.where(inside, near, np.inf)[rows]
+                cols = near.argmin(axis=1)
+                qi.append(rows + s)
+                ri.append(cols)
+                rank.append(np.zeros(len(rows), dtype=np.int64))
+                dist.append(np.sqrt(np.where(inside, d, -1.0)[rows].max(axis=1)) if len(rows) else np.zeros(0))
+                feat.append(np.sqrt(near[np.arange(len(rows)), cols]))
+                count.append(n[rows])
+                continue
             if spec.k is None:
                 rows, cols = np.nonzero(np.isfinite(d))
                 ranks = np.zeros(len(rows), dtype=np.int64)
@@ -132,6 +148,8 @@ def _block_kernel(spec: Spec, group: Sequence[str], schema: pa.Schema):
             cols[p] = r[p].take(ri)
         for p in spec.carry:
             cols[p] = q[p].take(qi)
+        if spec.summary:
+            cols["n"] = pa.array(np.concatenate(count))
         cols["_part"] = r["_part"].take(ri)
         return pa.table([cols[f.name].cast(f.type) for f in schema], schema=schema)
     return run
@@ -179,6 +197,8 @@ def _result_schema(q: StructType, r: StructType, group: Sequence[str], spec: Spe
         fields.append(pa.field("dfeat", pa.float64()))
     fields += [pa.field(p, of(r, p)) for p in spec.payload]
     fields += [pa.field(p, of(q, p)) for p in spec.carry]
+    if spec.summary:
+        fields.append(pa.field("n", pa.int64()))
     fields.append(pa.field("_part", pa.int32()))
     return pa.schema(fields)
 
@@ -199,6 +219,7 @@ def neighbours(
     carry: Sequence[str] = (),
     radius: float | None = None,
     tile_rows: int = TILE_ROWS,
+    summary: bool = False,
 ) -> DataFrame:
     """The k nearest references of every query inside its group, or all within ``radius``.
 
@@ -233,7 +254,7 @@ def neighbours(
     r = side(refs, r_id, "_rid", 1, [F.col(p) for p in payload])
     own_id = exclude is not None and exclude[1] == r_id
     spec = Spec(k, dims, vec is not None, feat is not None, exclude is not None, radius, tuple(payload), own_id,
-                tuple(carry))
+                tuple(carry), summary)
     if not group:
         q, r = q.withColumn("_g", F.lit(0)), r.withColumn("_g", F.lit(0))
     by = group or ["_g"]
@@ -310,6 +331,19 @@ def _tiled(q, r, by, group, spec: Spec, tile_rows, largest) -> DataFrame:
     return ranked.select(*lead, *[c for c in ranked.columns if c not in lead])
 
 
+def radius_summary(queries: DataFrame, refs: DataFrame, radius: float, group: Sequence[str], q_id: str, r_id: str,
+                   pos: Sequence[str] = ("x", "y", "z"), feat: tuple[str, str] | None = None,
+                   exclude: tuple[str, str] | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """What lies within ``radius`` of every query: n, reach (the farthest), nearest (smallest feature distance).
+
+    Blocks report one row per query, so no pair ever leaves its task. Queries with nothing around are absent.
+    """
+    part = neighbours(queries, refs, None, group, q_id, r_id, pos, feat=feat, exclude=exclude, radius=radius,
+                      tile_rows=tile_rows, summary=True)
+    nearest = F.min("dfeat").alias("nearest") if feat is not None else F.lit(None).cast("double").alias("nearest")
+    return part.groupBy(*group, "qid").agg(F.sum("n").alias("n"), F.max("dist").alias("reach"), nearest)
+
+
 def min_distance(queries: DataFrame, refs: DataFrame, group: Sequence[str], q_id: str, r_id: str,
                  vec: tuple[str, str], exclude: tuple[str, str] | None = None, name: str = "dist",
                  tile_rows: int = TILE_ROWS) -> DataFrame:

@@ -74,3 +74,13 @@ def test_smallest_k_breaks_ties_by_index():
     d = np.array([[1.0, 0.0, 1.0, 1.0, 0.0]])
     assert smallest_k(d, 3).tolist() == [[1, 4, 0]]
     assert smallest_k(d, 9).tolist() == [[1, 4, 0, 2, 3]]
+
+
+def test_radius_summary_matches_pairs(spark):
+    r, q = clouds(8, 400, copies=60), clouds(9, 120)
+    from cloudsieve.operators.neighbours import radius_summary
+    got = radius_summary(spark.createDataFrame(q), spark.createDataFrame(r), 0.3, ["g"], "point_idx", "point_idx",
+                         tile_rows=64).toPandas().set_index("qid")
+    pairs = pd.DataFrame(list(brute(q, r, None, None, 0.3)), columns=["g", "qid", "rid", "d"]).groupby("qid").d
+    assert (got.n.sort_index() == pairs.size().sort_index()).all()
+    assert np.allclose(got.reach.sort_index(), pairs.max().sort_index())
