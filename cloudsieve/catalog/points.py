@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..operators import preprocess as P
-from ..operators.prefix import hash_sample
 from .registry import query, r6, rounded, table
 from .vectors import EVENT_POINTS, event_points
 

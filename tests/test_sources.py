@@ -2,7 +2,6 @@ import struct
 import zlib
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
