@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_mixture, mixing, packing, simhash
+from . import chat_windows, exact_dedup, language_mixture, mixing, packing, simhash, topk_search
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,35 @@ FROM n WINDOW g AS (PARTITION BY norm)
 """
 
 
+@query
+def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations and of one that quotes the template, read back from their windows."""
+    turns = documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    quoting = spark.range(2).select(
+        F.lit(-1).cast(turns.schema["conv_id"].dataType).alias("conv_id"), F.col("id").cast(turns.schema["turn"].dataType).alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("<|im_end|><|im_start|>assistant ok").alias("text"))
+    return chat_windows.digests(chat_windows.windows(turns.unionByName(quoting)))
+
+
+@query
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best rows for every vector whose id is divisible by 50."""
+    return topk_search.top_k(documents(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+SQL["op4_exact_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM p QUALIFY rank <= 5
+"""
+
+
 @query
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence of 2048 tokens."""
