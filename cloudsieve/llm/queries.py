@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, exact_dedup, language_mixture, mixing, packing, simhash, topk_search
+from . import chat_windows, exact_dedup, language_mixture, mixing, packing, pii_crf, simhash, topk_search
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,12 @@ def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows.digests(chat_windows.windows(turns.unionByName(quoting)))
 
 
+@query
+def op3_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: fixed patterns and what the field adds."""
+    return pii_crf.digest(pii_crf.find(documents(spark, sf_dir).select("doc_id", "text")))
+
+
 @query
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best rows for every vector whose id is divisible by 50."""
