@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, exact_dedup, language_mixture, mixing, packing, pii_crf, simhash, topk_search
+from . import chat_windows, exact_dedup, html_trees, language_mixture, mixing, packing, pii_crf, simhash, topk_search
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,13 @@ def op7_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+@query
+def op8_html_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = documents(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_trees.extract(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's predicted language; learned from documents that are not held out."""
