@@ -407,11 +407,15 @@ def find(docs: DataFrame, text_col: str = "text", model: dict | None = None) ->
     return docs.withColumn(text, text_of(text_col)).mapInArrow(_span_batches(shared), schema)
 
 
+def _is(kind: str):
+    return lambda span: span["kind"] == kind
+
+
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Per row of :func:`find`: base spans by kind, the digest of the base spans, and all spans as text."""
     base = F.filter("spans", lambda s: s["base"])
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     return found.select(
         F.col(quoted(id_col)),
-        *[F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS],
+        *[F.size(F.filter(base, _is(k))).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

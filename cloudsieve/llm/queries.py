@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, exact_dedup, html_trees, language_mixture, mixing, packing, pii_crf, simhash, topk_search
+from . import chat_windows, exact_dedup, html_trees, language_mixture, line_dedup, mixing, packing, pii_crf, simhash, topk_search
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,34 @@ def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_mixture.fit(docs.where(~language_mixture.held_out("doc_id")))
     rows = docs.select("doc_id", language_mixture.held_out("doc_id").alias("held_out"), "text")
     return language_mixture.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the lines that stay when equal and near lines keep their earliest place."""
+    return line_dedup.line_dedup(documents(spark, sf_dir)).select(
+        "doc_id", "n_lines", "n_kept", "n_near", F.array_join("kept_lines", ",").alias("kept_lines"))
+
+
+SQL["op10_line_dedup"] = r"""
+WITH l AS (
+  SELECT doc_id, unnest(range(len(s))) AS line_no, len(s) AS n_lines, unnest(s) AS line
+  FROM (SELECT doc_id, string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)) AS s
+        FROM documents)),
+w AS (SELECT doc_id, line_no, n_lines, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM l),
+f AS (SELECT ws, len(ws) AS n, min((doc_id, line_no)) AS place FROM w WHERE len(ws) > 0 GROUP BY ws),
+v AS (
+  SELECT place, n, i, array_to_string(ws[:i - 1] || ws[i + 1:], ' ') AS part
+  FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM f WHERE n >= 5)),
+g AS (
+  SELECT a.place FROM v a JOIN v b ON a.n = b.n AND a.i = b.i AND a.part = b.part AND b.place < a.place
+  UNION SELECT a.place FROM v a JOIN f b ON b.n = a.n - 1 AND array_to_string(b.ws, ' ') = a.part AND b.place < a.place
+  UNION SELECT b.place FROM v a JOIN f b ON b.n = a.n - 1 AND array_to_string(b.ws, ' ') = a.part AND a.place < b.place),
+k AS (
+  SELECT f.place[1] AS doc_id, count(*) FILTER (g.place IS NULL) AS kept, count(g.place) AS n_near,
+         string_agg(f.place[2]::VARCHAR, ',' ORDER BY f.place[2]) FILTER (g.place IS NULL) AS kept_lines
+  FROM f LEFT JOIN g ON f.place = g.place GROUP BY 1)
+SELECT w.doc_id, any_value(n_lines)::BIGINT AS n_lines, count(*) FILTER (len(ws) = 0) + coalesce(any_value(kept), 0) AS n_kept,
+       coalesce(any_value(n_near), 0) AS n_near, coalesce(any_value(kept_lines), '') AS kept_lines
+FROM w LEFT JOIN k ON w.doc_id = k.doc_id GROUP BY w.doc_id
+"""
