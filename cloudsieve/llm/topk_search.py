@@ -70,8 +70,8 @@ def best_of_block(query: np.ndarray, own: np.ndarray, vectors: np.ndarray, rows:
 
 def _block(k: int):
     def run(key, candidates: pa.Table, queries: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_row", pa.int64()), ("query_id", queries.schema.field("id").type),
-                            ("vec_id", candidates.schema.field("id").type), ("score", pa.int64())])
+        kind = (queries if len(queries) else candidates).schema.field("id").type
+        schema = pa.schema([("query_row", pa.int64()), ("query_id", kind), ("vec_id", kind), ("score", pa.int64())])
         if not len(candidates) or not len(queries):
             return schema.empty_table()
         ids = candidates.column("id").combine_chunks()
@@ -114,6 +114,8 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     block = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     there = rows.withColumn("c", block(c_blocks)).withColumn("q", spread(q_blocks))
+    # columns of their own: the two sides of a cogroup must not share attributes
+    asked = asked.select(*[F.col(c).alias(f"asked_{c}") for c in asked.columns]).toDF(*asked.columns)
     asked = asked.withColumn("q", block(q_blocks)).withColumn("c", spread(c_blocks))
     kind = rows.schema["id"].dataType.simpleString()
     keys = ["c", "q", "dims"]
