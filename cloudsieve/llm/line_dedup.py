@@ -9,17 +9,20 @@ compared word by word. A line goes if an earlier line is equal or near; links ar
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .common import quoted, text_of
+from .common import fresh, quoted, text_of, written
 
 #: The edit bound holds from this length of the longer line on.
 LEAST_WORDS = 5
 ROWS = 1 << 16
+#: Size of the sieve that spares lines without any partner the way to the join.
+SIEVE_BITS = 1 << 25
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -29,19 +32,28 @@ def words_of(line: str) -> list[bytes]:
     return line.encode("utf-8", "surrogatepass").lower().split()
 
 
-def _halves(words: list[bytes]) -> list[int | None]:
-    """Hashes of the first and last half, cut for partners of equal length and of one word more or less.
+#: Lengths at which the size of the compared ends grows: each at least half as long again as the one before.
+ENDS = [4]
+while ENDS[-1] < 1 << 40:
+    ENDS.append(ENDS[-1] * 3 // 2)
+
+
+def _ends(words: list[bytes]) -> list[int | None]:
+    """Hashes of the first and of the last words of a line, as many as half of the class of its length.
 
-    Near lines agree in the first or in the last half of the shorter one.
+    Near lines of one class agree in the first or in the last; a line at the lower end of its class also has the
+    hashes of the class below, for partners that are one word shorter.
     """
     import xxhash
-    n, out = len(words), []
+    n, out, done = len(words), [], 0
     for m in (n, n - 1):
-        if m < LEAST_WORDS - 1:
+        size = ENDS[bisect.bisect_right(ENDS, m) - 1] // 2 if m >= ENDS[0] else 0
+        if not size or size == done:
             out += [None, None]
             continue
-        for side, part in enumerate((words[:m // 2], words[n - m // 2:])):
-            out.append(xxhash.xxh3_64_intdigest(b" ".join(part), 2 * m + side) - (1 << 63))
+        done = size
+        for side, part in enumerate((words[:size], words[n - size:])):
+            out.append(xxhash.xxh3_64_intdigest(b" ".join(part), 2 * size + side) - (1 << 63))
     return out
 
 
@@ -74,7 +86,7 @@ def _line_batches(batches):
                     n.append(len(words))
                     blank.append(0)
                     digest.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                    halves.append(_halves(words))
+                    halves.append(_ends(words))
             # one more row tells the number of lines
             doc.append(i)
             number.append(None)
@@ -88,18 +100,39 @@ def _line_batches(batches):
             yield flush()
 
 
-def _text_batches(batches):
-    import xxhash
-    for batch in batches:
-        seen: dict[bytes, bytes] = {}
-        for text in batch.column(0):
-            for line in text.as_py().split("\n"):
-                words = words_of(line)
-                if len(words) >= LEAST_WORDS - 1:
-                    joined = b" ".join(words)
-                    seen[xxhash.xxh3_128_digest(joined)] = joined
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.binary())], names=["digest", "line"])
+def _text_batches(shared):
+    def run(batches):
+        import xxhash
+        sieve = shared.value
+        for batch in batches:
+            seen: dict[bytes, bytes] = {}
+            for text in batch.column(0):
+                for line in text.as_py().split("\n"):
+                    words = words_of(line)
+                    if len(words) >= LEAST_WORDS - 1:
+                        joined = b" ".join(words)
+                        digest = xxhash.xxh3_128_digest(joined)
+                        bit = int.from_bytes(digest[:8], "big") % SIEVE_BITS
+                        if sieve[bit >> 3] >> (bit & 7) & 1:
+                            seen[digest] = joined
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.binary())], names=["digest", "line"])
+    return run
+
+
+def _sieve(digests: DataFrame) -> np.ndarray:
+    """Bits of the given digests, by byte: a sieve that lets all of them pass and, of few, little else.
+
+    It has a fixed size; the driver gets at most one row for each of its 64-bit words.
+    """
+    number = F.conv(F.substring(F.hex("digest"), 1, 16), 16, 10).cast("decimal(20,0)") % F.lit(SIEVE_BITS)
+    bit = number.cast("long")
+    words = digests.withColumn("b", bit).groupBy(F.shiftright("b", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits"))
+    got = words.toPandas()
+    out = np.zeros(SIEVE_BITS // 64, np.int64)
+    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    return out.view(np.uint8)
 
 
 def neighbourhood(words: list[bytes]) -> tuple[np.ndarray, int]:
@@ -132,7 +165,7 @@ def _variant_batches(batches):
             at = np.repeat([p for p, _ in places], [c for _, c in places])
             out = pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(keys)), pa.array(np.concatenate(roles)), batch.column(0).take(pa.array(at))],
-                names=["key", "role", "place"])
+                names=["key", "role", "number"])
             for x in (places, keys, roles):
                 x.clear()
             return out
@@ -178,22 +211,26 @@ def _near_batches(batches):
 def _neighbours(first: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """Places of lines that have a near line before them, from the first places of all distinct lines."""
     wide = first.where(F.col("n") >= LEAST_WORDS - 1)
-    halves = wide.select(F.explode(F.array("h0", "h1", "h2", "h3")).alias("half"), "digest").where("half IS NOT NULL")
-    met = halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half")
-    # exact: near lines share a half, so lines that share none have no neighbour
-    some = halves.join(met, "half", "left_semi").select("digest").distinct()
-    texts = docs.select(text_of(text_col).alias("text")).mapInArrow(_text_batches, "digest binary, line binary")
+    ends = wide.select(F.explode(F.array("h0", "h1", "h2", "h3")).alias("end"), "digest").where("end IS NOT NULL")
+    met = ends.groupBy("end").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("end")
+    # exact: near lines share an end, so lines that share none have no neighbour
+    some = written(ends.join(met, "end", "left_semi").select("digest").distinct())
+    sieve = docs.sparkSession.sparkContext.broadcast(_sieve(some))
+    texts = docs.select(text_of(text_col).alias("text")).mapInArrow(_text_batches(sieve), "digest binary, line binary")
     texts = texts.join(some, "digest", "left_semi").groupBy("digest").agg(F.min("line").alias("line"))
-    lines = cut_lineage(texts.join(first.select("digest", "place"), "digest").select("place", "line"))
-    kind = lines.schema["place"].dataType.simpleString()
-    spread = lines.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "place")
-    rows = cut_lineage(spread.mapInArrow(_variant_batches, f"key long, role byte, place {kind}"))
-    of = lambda role: F.min(F.when(F.col("role") == role, F.col("place")))
-    groups = rows.groupBy("key").agg(
-        F.count(F.lit(1)).alias("c"), of(SUBSTITUTED).alias("s"), of(WHOLE).alias("w"), of(DELETED).alias("d")).where("c > 1")
+    placed = texts.join(first.select("digest", "place"), "digest").select("place", "line")
+    # numbers in the order of places: a comparison of numbers is one of places
+    lines = written(placed.orderBy("place").withColumn("number", F.monotonically_increasing_id()))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = lines.select("number", "line").repartition(n, "number").mapInArrow(_variant_batches, "key long, role byte, number long")
+    of = lambda role: F.min(F.when(F.col("role") == role, F.col("number")))
+    groups = written(rows.groupBy("key").agg(
+        F.count(F.lit(1)).alias("c"), of(SUBSTITUTED).alias("s"), of(WHOLE).alias("w"), of(DELETED).alias("d")).where("c > 1").drop("c"))
     before = F.when(F.col("role") == SUBSTITUTED, F.col("s")).when(F.col("role") == WHOLE, F.col("d")).otherwise(F.col("w"))
-    pairs = rows.join(groups.drop("c"), "key").select("place", before.alias("other")).where("other < place").distinct()
-    both = pairs.join(lines, "place").join(lines.select(F.col("place").alias("other"), F.col("line").alias("before")), "other")
+    pairs = rows.join(groups, "key").select("number", before.alias("other")).where("other < number").distinct()
+    both = pairs.join(lines.select("number", "place", "line"), "number").join(
+        lines.select(F.col("number").alias("other"), F.col("line").alias("before")), "other")
+    kind = lines.schema["place"].dataType.simpleString()
     return both.select("place", "line", "before").mapInArrow(_near_batches, f"place {kind}").distinct()
 
 
@@ -210,7 +247,7 @@ def line_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     grouped = rows.withColumn("doc", F.when(F.col("digest").isNull(), F.struct("id", "text_hash"))).groupBy("digest", "doc").agg(
         F.min(place).alias("place"), F.min("n").alias("n"), F.min("blank").alias("blank"),
         *[F.min(h).alias(h) for h in ("h0", "h1", "h2", "h3")])
-    table = cut_lineage(grouped)
+    table = written(grouped)
     first = table.where("digest IS NOT NULL").drop("doc", "blank")
     gone = _neighbours(first, docs, text_col).withColumn("near", F.lit(True))
     lines = first.select("place", "n").join(gone, "place", "left").withColumn("near", F.coalesce("near", F.lit(False)))
@@ -239,7 +276,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with only the lines that stay, in order; all other columns as they are."""
-    from .common import fresh
     a, b, kept = fresh(docs, "_text_hash", "_id_hash", "_kept")
     found = line_dedup(docs, id_col, text_col).select(
         F.col("text_hash").alias(a), F.xxhash64(F.col(quoted(id_col))).alias(b), F.col("kept_lines").alias(kept))

@@ -1,6 +1,6 @@
 import random
 
-import pytest
+import numpy as np
 from conftest_llm import AWKWARD
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -74,7 +74,7 @@ def test_near_lines_share_a_half_and_a_key(a, at, word, kind):
     b = a[:at] + ([word] + a[at + 1:] if kind == "s" else [word] + a[at:] if kind == "i" else a[at + 1:])
     if max(len(a), len(b)) < L.LEAST_WORDS or min(len(a), len(b)) < L.LEAST_WORDS - 1:
         return
-    assert {x for x in L._halves(a) if x is not None} & {x for x in L._halves(b) if x is not None}
+    assert {x for x in L._ends(a) if x is not None} & {x for x in L._ends(b) if x is not None}
     va, wa = L.neighbourhood(a)
     vb, wb = L.neighbourhood(b)
     if len(a) == len(b):
@@ -83,6 +83,16 @@ def test_near_lines_share_a_half_and_a_key(a, at, word, kind):
         assert wa in set(map(int, vb)) or wb in set(map(int, va))
 
 
-def test_halves_of_short_lines():
-    assert L._halves([b"a"] * 3) == [None] * 4 and L._halves([b"a"] * 4)[2:] == [None, None]
-    assert pytest.approx(len(L._halves([b"a"] * 5))) == 4
+def test_ends_by_length():
+    assert L._ends([b"a"] * 3) == [None] * 4
+    for n in range(4, 300):
+        ends = L._ends([b"%d" % i for i in range(n)])
+        assert len(ends) == 4 and ends[0] is not None and (ends[2] is not None) == (n in L.ENDS and n > 4)
+
+
+def test_sieve_lets_all_pass(spark):
+    import os
+    digests = [os.urandom(16) for _ in range(500)]
+    bits = L._sieve(spark.createDataFrame([(bytearray(d),) for d in digests], "digest binary"))
+    at = [int.from_bytes(d[:8], "big") % L.SIEVE_BITS for d in digests]
+    assert all(bits[a >> 3] >> (a & 7) & 1 for a in at) and int(np.bitwise_count(bits).sum()) == len(set(at))
