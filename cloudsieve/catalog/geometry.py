@@ -13,8 +13,8 @@ from ..operators import preprocess as P
 from ..operators import registration as R
 from ..operators import synth as S
 from ..operators import tolerance as T
-from ..operators.channels import NEAREST_POSITIONS
 from ..operators.descriptors import normals, sample_features
+from ..operators.matching import ball_minima
 from ..operators.neighbours import neighbours
 from ..session import cut_lineage
 from .points import NORMALIZED, _hn, line_cloud
@@ -74,17 +74,17 @@ def pose_selection(spark, sf_dir):
 
 
 @query("local_rule_candidates", f"""
-WITH {MEMORY}, near AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dpos, m) AS rn FROM pairs WHERE q <> m)
+WITH {MEMORY}, near AS (SELECT * FROM pairs WHERE q <> m)
 SELECT r, round(avg(n), 6) AS mean_candidates, count(*) FILTER (WHERE n = 0) AS n_fallback FROM (
-  SELECT q, r, count(*) FILTER (WHERE dpos <= r AND rn <= 1024) AS n FROM near, (VALUES (0.05), (0.1), (0.15)) t(r) GROUP BY ALL)
+  SELECT q, r, count(*) FILTER (WHERE dpos <= r) AS n FROM near, (VALUES (0.05), (0.1), (0.15)) t(r) GROUP BY ALL)
 GROUP BY r""".replace("SELECT r, round", "SELECT r::DOUBLE AS r, round"))
 def local_rule_candidates(spark, sf_dir):
     m = memory_table(spark, sf_dir)
-    near = neighbours(m, m, NEAREST_POSITIONS, ["category"], "entry_id", "entry_id", pos=("cx", "cy", "cz"),
-                      exclude=("entry_id", "entry_id"))
-    radii = F.array(*[F.struct(F.lit(r).alias("r"), F.col(f"c{i}").alias("n")) for i, r in enumerate((0.05, 0.10, 0.15))])
-    each = near.groupBy("qid").agg(
-        *[F.count_if(F.col("dist") <= r).alias(f"c{i}") for i, r in enumerate((0.05, 0.10, 0.15))])
+    radii = F.array(*[F.struct(F.lit(r).alias("r"), F.coalesce(F.col(f"c{i}_candidates"), F.lit(0)).alias("n"))
+                      for i, r in enumerate((0.05, 0.10, 0.15))])
+    found = ball_minima(m, m, ["category"], "entry_id", "entry_id", {f"c{i}": r for i, r in enumerate((0.05, 0.10, 0.15))},
+                        exclude=("entry_id", "entry_id"))
+    each = m.select("category", "entry_id").join(found, ["category", "entry_id"], "left")
     return each.select(F.inline(radii)).groupBy("r").agg(
         r6(F.avg("n"), "mean_candidates"), F.count_if(F.col("n") == 0).alias("n_fallback"))
 

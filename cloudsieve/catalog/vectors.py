@@ -190,10 +190,8 @@ def memory_masks(spark, sf_dir):
 
 
 REFERENCE = """
-near AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dpos, m) AS rn FROM pairs),
-ref AS (SELECT q AS vec_id, min(d) FILTER (WHERE dpos <= 0.1 AND qobj <> mobj AND rn <= 1024) AS ref FROM near GROUP BY q),
-smp AS (SELECT vec_id FROM mem ORDER BY md5(vec_id::VARCHAR) LIMIT 4000),
-alone AS (SELECT q, min(d) AS g FROM pairs WHERE qobj <> mobj AND q IN (SELECT vec_id FROM smp) GROUP BY q),
+ref AS (SELECT q AS vec_id, min(d) FILTER (WHERE dpos <= 0.1 AND qobj <> mobj) AS ref FROM pairs GROUP BY q),
+alone AS (SELECT q, min(d) AS g FROM pairs WHERE qobj <> mobj GROUP BY q),
 info AS (SELECT (SELECT quantile_disc(ref, 0.5) FROM ref) AS r_cat, (SELECT quantile_disc(g, 0.5) FROM alone) AS r_glob,
   (SELECT avg((ref IS NOT NULL)::INT) FROM ref) AS cov)"""
 
@@ -229,7 +227,7 @@ l AS (SELECT q, min(d) FILTER (WHERE dpos <= 0.05) AS loc05, min(d) FILTER (WHER
    min(d + 2 * r_cat * pow(dpos / 0.1, 2)) AS soft2,
    count(ref) FILTER (WHERE dpos <= 0.1) AS n, quantile_disc(ref, 0.5) FILTER (WHERE dpos <= 0.1) AS med,
    max(r_cat) AS r_cat, max(r_glob) AS r_glob
-   FROM cand, info WHERE rk <= 1024 GROUP BY q),
+   FROM cand, info GROUP BY q),
 c AS (SELECT *, coalesce(loc10, glob_cs) AS loc, coalesce(med, r_cat) AS mm FROM g LEFT JOIN l USING (q)),
 k AS (SELECT *, loc / greatest((n * mm + 64 * r_cat) / (n + 64), 1e-9) AS cal10, loc / greatest(mm, 1e-9) AS cal10_k0 FROM c)
 SELECT q AS query_id, round(glob_cs, 6) AS glob_cs, round(glob_full, 6) AS glob_full,

@@ -10,7 +10,7 @@ ever holds more than ``tile_rows`` rows of either side. Groups that fit one tile
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +27,33 @@ TILE_ROWS = 4096
 _CELLS = 1 << 22
 
 
+@dataclass(frozen=True)
+class Block:
+    """Queries by references of one block: squared position and feature distances (infinite where excluded)."""
+
+    d: np.ndarray
+    f: np.ndarray | None
+    q_feat: np.ndarray | None
+    r_feat: np.ndarray | None
+    q: pa.Table
+    r: pa.Table
+
+    def nearest(self, value: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """Column of the smallest finite value per query, and its feature distance taken by differences."""
+        at = value.argmin(axis=1)
+        good = np.isfinite(value[np.arange(len(at)), at])
+        diff = self.q_feat - self.r_feat[at]
+        return at, pa.array(np.sqrt((diff * diff).sum(axis=1)), mask=~good)
+
+
+@dataclass(frozen=True)
+class Summary:
+    """What a block reports instead of pairs: ``fn`` returns query rows and the columns named in ``fields``."""
+
+    fields: tuple[tuple[str, pa.DataType], ...]
+    fn: Callable[[Block], tuple[np.ndarray, list]]
+
+
 @dataclass(frozen=True)
 class Spec:
     """What one block kernel needs to know; positions are always ``_p0.._pN``."""
@@ -41,6 +68,7 @@ class Spec:
     own_id: bool = False
     carry: tuple[str, ...] = ()
     summary: bool = False
+    custom: Summary | None = None
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -87,14 +115,14 @@ def _block_kernel(spec: Spec, group: Sequence[str], schema: pa.Schema):
         if q.num_rows == 0 or r.num_rows == 0:
             return schema.empty_table()
         r = r.take(pa.array(np.argsort(r["_rid"].to_numpy(), kind="stable")))
-        pos = lambda t: np.column_stack([t[f"_p{i}"].to_numpy() for i in range(spec.dims)])
+        pos = lambda t: np.array([t[f"_p{i}"].to_numpy() for i in range(spec.dims)]).T.reshape(t.num_rows, spec.dims)
         qx, rx = (_matrix(q["_vec"]), _matrix(r["_vec"])) if spec.metric_vec else (pos(q), pos(r))
         qf, rf = (_matrix(q["_feat"]), _matrix(r["_feat"])) if spec.with_feat else (None, None)
         if spec.exclude:
-            code = {v: i for i, v in enumerate(sorted(set(r["_excl"].to_pylist()), key=str))}
-            re_ = np.array([code[v] for v in r["_excl"].to_pylist()])
-            qe = np.array([code.get(v, -1) for v in q["_excl"].to_pylist()])
-        qi, ri, rank, dist, feat, count = [], [], [], [], [], []
+            code = pa.chunked_array([*q["_excl"].chunks, *r["_excl"].chunks]).combine_chunks().dictionary_encode().indices
+            code = code.fill_null(-1).to_numpy(zero_copy_only=False)
+            qe, re_ = code[:q.num_rows], code[q.num_rows:]
+        qi, ri, rank, dist, feat, count, made = [], [], [], [], [], [], []
         step = max(1, _CELLS // max(1, r.num_rows))
         for s in range(0, q.num_rows, step):
             d = _square_distances(qx[s:s + step], rx)
@@ -102,6 +130,15 @@ def _block_kernel(spec: Spec, group: Sequence[str], schema: pa.Schema):
                 d[qe[s:s + step, None] == re_[None, :]] = np.inf
             if spec.radius is not None:
                 d[d > spec.radius * spec.radius * (1 + 1e-12)] = np.inf
+            if spec.custom is not None:
+                f = _square_distances(qf[s:s + step], rf) if spec.with_feat else None
+                if f is not None:
+                    f[np.isinf(d)] = np.inf
+                rows, found = spec.custom.fn(Block(
+                    d, f, qf[s:s + step] if spec.with_feat else None, rf, q.slice(s, step), r))
+                qi.append(rows + s)
+                made.append(found)
+                continue
             if spec.summary:
                 # one row per query: how many, the farthest, and the nearest feature among them
                 inside = np.isfinite(d)
@@ -137,6 +174,13 @@ def _block_kernel(spec: Spec, group: Sequence[str], schema: pa.Schema):
             qi.append(rows + s)
             ri.append(cols)
             rank.append(ranks)
+        if spec.custom is not None:
+            at = pa.array(np.concatenate(qi))
+            cols = {g: q[g].take(at) for g in group}
+            cols["qid"], cols["_part"] = q["_qid"].take(at), pa.repeat(r["_part"][0], len(at))
+            for i, (name, kind) in enumerate(spec.custom.fields):
+                cols[name] = pa.chunked_array([pa.array(m[i], kind) for m in made], kind)
+            return pa.table([cols[f.name].cast(f.type) for f in schema], schema=schema)
         qi, ri = pa.array(np.concatenate(qi)), pa.array(np.concatenate(ri))
         cols = {g: q[g].take(qi) for g in group}
         cols["qid"], cols["rid"] = q["_qid"].take(qi), r["_rid"].take(ri)
@@ -191,6 +235,9 @@ def _block_join(q: DataFrame, r: DataFrame, keys: list[str], group: list[str], s
 def _result_schema(q: StructType, r: StructType, group: Sequence[str], spec: Spec) -> pa.Schema:
     of = lambda side, name: to_arrow_type(side[name].dataType)
     fields = [pa.field(g, of(q, g)) for g in group]
+    if spec.custom is not None:
+        return pa.schema([*fields, pa.field("qid", of(q, "_qid")), *[pa.field(*f) for f in spec.custom.fields],
+                          pa.field("_part", pa.int32())])
     fields += [pa.field("qid", of(q, "_qid")), pa.field("rid", of(r, "_rid")),
                pa.field("rank", pa.int32()), pa.field("dist", pa.float64())]
     if spec.with_feat:
@@ -217,9 +264,10 @@ def neighbours(
     exclude: tuple[str, str] | None = None,
     payload: Sequence[str] = (),
     carry: Sequence[str] = (),
-    radius: float | None = None,
+    radius: float | str | None = None,
     tile_rows: int = TILE_ROWS,
     summary: bool = False,
+    custom: Summary | None = None,
 ) -> DataFrame:
     """The k nearest references of every query inside its group, or all within ``radius``.
 
@@ -228,6 +276,9 @@ def neighbours(
     adds the distance of two further array columns as ``dfeat``. ``exclude`` drops pairs with equal
     values (own id, own object). Ties go to the smaller reference id. Result: group columns, qid,
     rid, rank, dist, [dfeat], payload columns of the reference, carry columns of the query.
+
+    With ``custom`` blocks report what its function says, which a caller merges by qid; ``radius`` then only says
+    which tiles to visit, and may name a column of the queries (infinite: all). Without ``pos`` every block is visited.
     """
     if k is None and radius is None:
         raise ValueError("either k or radius is needed")
@@ -250,11 +301,13 @@ def neighbours(
             cols.append(F.col(exclude[which]).alias("_excl"))
         return df.select(*cols, *extra)
 
-    q = side(queries, q_id, "_qid", 0, [F.col(c) for c in carry])
+    reach = [dbl(radius).alias("_ub")] if isinstance(radius, str) else []
+    q = side(queries, q_id, "_qid", 0, [*[F.col(c) for c in carry], *reach])
     r = side(refs, r_id, "_rid", 1, [F.col(p) for p in payload])
     own_id = exclude is not None and exclude[1] == r_id
-    spec = Spec(k, dims, vec is not None, feat is not None, exclude is not None, radius, tuple(payload), own_id,
-                tuple(carry), summary)
+    within = radius if custom is None else None
+    spec = Spec(k, dims, vec is not None, feat is not None, exclude is not None, within, tuple(payload), own_id,
+                tuple(carry), summary, custom)
     if not group:
         q, r = q.withColumn("_g", F.lit(0)), r.withColumn("_g", F.lit(0))
     by = group or ["_g"]
@@ -266,6 +319,10 @@ def neighbours(
     if largest <= tile_rows:
         whole = most.get("q", 0) <= tile_rows
         return _block_join(q, r, by, group, spec, tile_rows, True, whole).drop("_part")
+    if not dims:
+        return _block_join(q, r, by, group, spec, tile_rows, False).drop("_part")
+    if custom is not None and not reach:
+        q = q.withColumn("_ub", F.lit(float(radius) * (1 + 1e-9)))
     return _tiled(q, r, by, group, spec, tile_rows, largest)
 
 
@@ -308,7 +365,7 @@ def _tiled(q, r, by, group, spec: Spec, tile_rows, largest) -> DataFrame:
         bound = full.where(F.col("_n") >= k).groupBy(*id_by).agg((F.min("_m") * (1 + 1e-9) + 1e-12).alias("_ub"))
         bound = bound.withColumnRenamed("qid", "_qid")
         q = q.join(bound, [*group, "_qid"], "left").withColumn("_ub", F.coalesce("_ub", F.lit(float("inf"))))
-    else:
+    elif spec.custom is None:
         q = q.withColumn("_ub", F.lit(float(spec.radius) * (1 + 1e-9)))
     far = q.select("*", *[F.col(t).alias(f"_h{i}") for i, t in enumerate(slabs)]).drop(*slabs)
     for i in range(dims):
