@@ -78,7 +78,7 @@ def category_seed_report(spark, sf_dir):
     return rounded(A.category_report(sample_scores(spark, sf_dir)), "auroc")
 
 
-B = 25
+B = 2000
 BOOT = f"""
 mem AS (SELECT category, label, file, row_number() OVER (PARTITION BY category, label ORDER BY md5(file::VARCHAR), file) - 1 AS idx,
   count(*) OVER (PARTITION BY category, label) AS n FROM (SELECT DISTINCT category, label, file FROM sc)),
@@ -156,29 +156,30 @@ def rule_comparison(spark, sf_dir):
 
 def _fusion_sql(norm: str) -> str:
     return f"""
-WITH {SCORES}, s0 AS (SELECT * FROM sc WHERE seed = 0),
-rf AS (SELECT category, channel, avg(score) AS mean, stddev_samp(score) AS std, quantile_cont(score, 0.99) AS p99
-  FROM s0 WHERE label = 0 GROUP BY ALL),
-nr AS (SELECT s0.category, s0.file, s0.label, s0.channel, {norm} AS score FROM s0 JOIN rf USING (category, channel)),
-w AS (SELECT category, file, label, max(score) FILTER (WHERE channel = 'a') AS a, max(score) FILTER (WHERE channel = 'b') AS b,
+WITH {SCORES},
+rf AS (SELECT seed, category, channel, avg(score) AS mean, stddev_samp(score) AS std, quantile_cont(score, 0.99) AS p99
+  FROM sc WHERE label = 0 GROUP BY ALL),
+nr AS (SELECT sc.seed, sc.category, sc.file, sc.label, sc.channel, {norm} AS score FROM sc JOIN rf USING (seed, category, channel)),
+w AS (SELECT seed, category, file, label, max(score) FILTER (WHERE channel = 'a') AS a, max(score) FILTER (WHERE channel = 'b') AS b,
   max(score) FILTER (WHERE channel = 'c') AS c FROM nr GROUP BY ALL),
-l AS (SELECT category, label, 'a' AS combo, a AS score FROM w UNION ALL SELECT category, label, 'b', b FROM w
-  UNION ALL SELECT category, label, 'c', c FROM w UNION ALL SELECT category, label, 'a+b', (a + b) / 2 FROM w
-  UNION ALL SELECT category, label, 'a+c', (a + c) / 2 FROM w UNION ALL SELECT category, label, 'b+c', (b + c) / 2 FROM w
-  UNION ALL SELECT category, label, 'a+b+c', (a + b + c) / 3 FROM w),
-x AS ({auroc_sql('l', 'combo, category', 'label', 'score')})
-SELECT combo, category, round(auroc, 6) AS auroc FROM x UNION ALL SELECT combo, '__mean__', round(avg(auroc), 6) FROM x GROUP BY combo"""
+l AS (SELECT seed, category, label, 'a' AS combo, a AS score FROM w UNION ALL SELECT seed, category, label, 'b', b FROM w
+  UNION ALL SELECT seed, category, label, 'c', c FROM w UNION ALL SELECT seed, category, label, 'a+b', (a + b) / 2 FROM w
+  UNION ALL SELECT seed, category, label, 'a+c', (a + c) / 2 FROM w UNION ALL SELECT seed, category, label, 'b+c', (b + c) / 2 FROM w
+  UNION ALL SELECT seed, category, label, 'a+b+c', (a + b + c) / 3 FROM w),
+x AS ({auroc_sql('l', 'seed, combo, category', 'label', 'score')})
+SELECT seed, combo, category, round(auroc, 6) AS auroc FROM x
+UNION ALL SELECT seed, combo, '__mean__', round(avg(auroc), 6) FROM x GROUP BY seed, combo"""
 
 
 def _fusion(spark, sf_dir, how):
     from ..operators.prefix import ordered_totals, percentile_of
-    s = sample_scores(spark, sf_dir).where("seed = 0")
-    keys = ["category", "channel"]
+    s = sample_scores(spark, sf_dir)
+    keys = ["seed", "category", "channel"]
     normal = s.where("label = 0")
     ref = normal.groupBy(*keys).agg(F.avg("score").alias("mean"), F.stddev_samp("score").alias("std")).join(
         ordered_totals(normal, keys, "score").groupBy(*keys).agg(percentile_of(0.99).alias("p99")), keys)
     scaled = A.normalise_to_training(s, ref, how, keys)
-    return rounded(A.subset_fusion(scaled, ["a", "b", "c"], "channel"), "auroc")
+    return rounded(A.subset_fusion(scaled, ["a", "b", "c"], "channel", ["seed"]), "auroc")
 
 
 @query("scale_fusion_z", _fusion_sql("(score - mean) / greatest(std, 1e-12)"))
@@ -234,18 +235,15 @@ def merged_parts(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
     cats = n.select(F.col("n_name").alias("category"), F.col("n_nationkey").alias("ord"))
     c = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(
-        F.col("n_name").alias("category"), "n_regionkey").agg(F.avg("c_acctbal").alias("value"))
-    parts = [c.where(F.col("n_regionkey") == i).select("category", "value") for i in range(5)]
-    return rounded(A.merge_parts(parts, cats, ["value"]), "value")
+        F.col("n_name").alias("category"), F.col("n_regionkey").alias("part")).agg(F.avg("c_acctbal").alias("value"))
+    return rounded(A.merge_parts(c, cats, ["value"]), "value")
 
 
 @query("last_record_wins", """
-SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value, max(event_id) FILTER (WHERE false) IS NULL AS found
-FROM events GROUP BY ALL""")
+SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL""")
 def last_record_wins(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    out = A.last_record_wins(e, ["user_id", "event_type"], F.struct("ts", "event_id"), ["value"])
-    return out.withColumn("found", F.lit(True))
+    return A.last_record_wins(e, ["user_id", "event_type"], F.struct("ts", "event_id"), ["value"])
 
 
 @query("record_keys", """
@@ -320,15 +318,15 @@ d AS (SELECT a.key AS option, a.dataset, a.unit, a.auroc - r.auroc AS diff FROM
   WHERE a.key LIKE '%\\_p99' ESCAPE '\\' AND r.key = best.k AND a.key <> best.k AND a.auroc - r.auroc IS NOT NULL),
 mm AS (SELECT *, row_number() OVER (PARTITION BY option, dataset ORDER BY md5(unit), unit) - 1 AS idx,
   count(*) OVER (PARTITION BY option, dataset) AS n FROM d),
-dr AS (SELECT b, option, dataset, floor(('0x' || substr(md5('0|' || b || '|' || option || '|' || dataset || '|' || idx), 1, 8))::BIGINT
-  / 4294967296.0::DOUBLE * n)::BIGINT AS idx FROM mm, range(1, 41) t(b)),
+dr AS (SELECT b, option, dataset, floor(('0x' || substr(md5('0|' || b || '|' || dataset || '|' || idx), 1, 8))::BIGINT
+  / 4294967296.0::DOUBLE * n)::BIGINT AS idx FROM mm, range(1, {B + 1}) t(b)),
 e AS (SELECT b, option, dataset, 100 * avg(diff) AS m FROM dr JOIN mm USING (option, dataset, idx) GROUP BY ALL),
 g AS (SELECT b, option, avg(m) AS m FROM e GROUP BY ALL)
 SELECT option, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM g GROUP BY option""")
 def unit_bootstrap(spark, sf_dir):
     from ..session import cut_lineage
     units = cut_lineage(S.unit_values(config_records(spark, sf_dir)))
-    return rounded(S.differences_to_best(units, [f"{r}_p99" for r in S.RULES], 40, 40), "lo", "hi")
+    return rounded(S.differences_to_best(units, [f"{r}_p99" for r in S.RULES], 40, B), "lo", "hi")
 
 
 @query("seed_set_operations", f"""

@@ -78,10 +78,10 @@ def argmin_argmax(spark, sf_dir):
 
 
 @query("share_filter", """
-WITH c AS (SELECT l_returnflag, l_suppkey, count(*) AS n FROM lineitem WHERE l_quantity > 45 GROUP BY ALL)
+WITH c AS (SELECT l_returnflag, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL)
 SELECT l_returnflag, l_suppkey, n FROM (SELECT *, max(n) OVER (PARTITION BY l_returnflag) AS m FROM c) WHERE n >= 0.5 * m""")
 def share_filter(spark, sf_dir):
-    c = table(spark, sf_dir, "lineitem").where("l_quantity > 45").groupBy("l_returnflag", "l_suppkey").agg(
+    c = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(
         F.count(F.lit(1)).alias("n"))
     top = c.groupBy("l_returnflag").agg(F.max("n").alias("m"))
     return c.join(top, "l_returnflag").where(F.col("n") >= 0.5 * F.col("m")).drop("m")

@@ -138,12 +138,13 @@ def normalise_to_training(scores: DataFrame, ref: DataFrame, how: str, keys: Seq
     return out.withColumn("score", e).drop("mean", "std", "p50", "p90", "p99")
 
 
-def subset_fusion(scores: DataFrame, runs: Sequence[str], run: str = "run") -> DataFrame:
-    """AUROC of the mean score over every non-empty subset of the named runs.
+def subset_fusion(scores: DataFrame, runs: Sequence[str], run: str = "run", by: Sequence[str] = ()) -> DataFrame:
+    """AUROC of the mean score over every non-empty subset of the named runs, separately for every value of ``by``.
 
     Samples must be the same in all runs: a (category, file) without all runs raises.
     """
-    wide = scores.groupBy("category", "file", "label").agg(
+    by = list(by)
+    wide = scores.groupBy(*by, "category", "file", "label").agg(
         *[F.max(F.when(F.col(run) == r, F.col("score"))).alias(f"_r{i}") for i, r in enumerate(runs)])
     whole = reduce(lambda x, y: x & y, [F.col(f"_r{i}").isNotNull() for i in range(len(runs))])
     wide = wide.where(F.when(whole, F.lit(True)).otherwise(
@@ -153,9 +154,9 @@ def subset_fusion(scores: DataFrame, runs: Sequence[str], run: str = "run") -> D
         inside = [i for i in range(len(runs)) if mask >> i & 1]
         score = reduce(lambda x, y: x + y, [F.col(f"_r{i}") for i in inside]) / len(inside)
         parts.append(F.struct(F.lit("+".join(runs[i] for i in inside)).alias("combo"), score.alias("score")))
-    long = wide.select("category", "label", F.explode(F.array(*parts)).alias("_c")).select(
-        "category", "label", "_c.combo", "_c.score")
-    return M.with_mean_row(auroc_by(long, ["category", "combo"]), "category", ["auroc"], by=["combo"])
+    long = wide.select(*by, "category", "label", F.explode(F.array(*parts)).alias("_c")).select(
+        *by, "category", "label", "_c.combo", "_c.score")
+    return M.with_mean_row(auroc_by(long, [*by, "category", "combo"]), "category", ["auroc"], by=[*by, "combo"])
 
 
 def latest_runs(results: DataFrame, keys: Sequence[str] = ("tag", "seed"), file: str = "file") -> DataFrame:
@@ -179,13 +180,14 @@ def paired_delta(runs: DataFrame, ref: str, value: str = "value") -> DataFrame:
     return d.groupBy("tag").agg(n.alias("n_common"), mean.alias("delta"), std.alias("std"), noise.alias("noise"))
 
 
-def merge_parts(parts: Sequence[DataFrame], categories: DataFrame, values: Sequence[str],
+def merge_parts(parts: DataFrame | Sequence[DataFrame], categories: DataFrame, values: Sequence[str],
                 allow_partial: bool = False) -> DataFrame:
-    """Union category parts in official order with the mean row.
+    """Categories of all parts (one table, or one per part) in official order with the mean row.
 
-    A category in two parts raises, and so does a missing one unless ``allow_partial``.
+    A category in two parts raises, and so does a missing one unless ``allow_partial``. The parts' own mean rows go.
     """
-    rows = reduce(DataFrame.unionByName, [p.where(F.col("category") != "__mean__") for p in parts])
+    whole = parts if isinstance(parts, DataFrame) else reduce(DataFrame.unionByName, parts)
+    rows = cut_lineage(whole.where(F.col("category") != "__mean__").select("category", *values))
     twice = rows.groupBy("category").count().where(F.col("count") > 1)
     names = [r["category"] for r in twice.limit(20).collect()]
     if names:

@@ -1,50 +1,145 @@
-"""Paired stratified bootstrap as joins: hashed draws become weights, no row is copied.
+"""Paired stratified bootstrap: hashed draws become weights, replicates are columns, not rows.
 
 Every member of a stratum draws one position per replicate from a hash of (seed, replicate, stratum,
-own position). Counting the draws per position gives the weight of that member in the replicate, and
-the same weights serve every channel and seed, which is what makes the comparison paired.
+own position). How often a position is drawn is the weight of that member in the replicate, one byte
+per replicate, and the same weights serve every channel and seed, which is what makes the comparison
+paired. Scores are sorted once per series and value range; all replicates of a block are summed in
+that one pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import hash01
 from ..operators.prefix import hash_index, range_cuts, with_range
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 
+#: Replicates that travel in one row, and rows of a value range that meet in one task.
+BLOCK = 250
+RANGE_ROWS = 50_000
+_ROWS = 4096
 
-def resample_weights(members: DataFrame, keys: Sequence[str], replicates: int, seed: int = 0) -> DataFrame:
-    """How often every position of a stratum is drawn in every replicate (positions never drawn are absent)."""
+
+def resample_weights(members: DataFrame, keys: Sequence[str], replicates: int, seed: int = 0,
+                     hashed: Sequence[str] | None = None) -> DataFrame:
+    """How often every position of a stratum is drawn in every replicate (positions never drawn are absent).
+
+    ``hashed`` names the key columns that the draws depend on (default: all); strata that agree in them
+    share their draws.
+    """
     keys = list(keys)
+    hashed = keys if hashed is None else list(hashed)
     b = members.select(*keys, "idx", "n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b"))
-    at = F.floor(hash01(F.lit(str(seed)), F.col("b"), *[F.col(k) for k in keys], F.col("idx")) * F.col("n"))
+    at = F.floor(hash01(F.lit(str(seed)), F.col("b"), *[F.col(k) for k in hashed], F.col("idx")) * F.col("n"))
     return b.groupBy("b", *keys, at.cast("long").alias("idx")).agg(F.count(F.lit(1)).alias("w"))
 
 
+def draw_weights(text: str, n: int, first: int, last: int, seed: int) -> np.ndarray:
+    """Weights (n x replicates ``first`` .. ``last``) of the stratum named by ``text``."""
+    out = np.empty((n, last - first + 1), np.uint8)
+    tails = [f"|{text}|{i}".encode() for i in range(n)]
+    for b in range(first, last + 1):
+        head = f"{seed}|{b}".encode()
+        hashes = np.frombuffer(b"".join([md5(head + t).digest()[:4] for t in tails]), ">u4")
+        counts = np.bincount(np.floor(hashes / 4294967296.0 * n).astype(np.int64), minlength=n)
+        if counts.max(initial=0) > 255:
+            raise OverflowError("a member is drawn more than 255 times in one replicate")
+        out[:, b - first] = counts
+    return out
+
+
+def _weight_batches(seed: int):
+    def run(batches):
+        for batch in batches:
+            names = [n for n in batch.schema.names if n not in ("_text", "_n", "_last")]
+            get = lambda name, i: batch.column(batch.schema.names.index(name))[i].as_py()
+            for i in range(batch.num_rows):
+                n, first = get("_n", i), get("_first", i)
+                w = draw_weights(get("_text", i), n, first, get("_last", i), seed)
+                for at in range(0, n, _ROWS):
+                    part = w[at:at + _ROWS]
+                    same = pa.array(np.full(len(part), i))
+                    yield pa.RecordBatch.from_arrays(
+                        [*[batch.column(batch.schema.names.index(c)).take(same) for c in names],
+                         pa.array(np.arange(at, at + len(part))), pa.array([r.tobytes() for r in part], pa.binary())],
+                        names=[*names, "idx", "w"])
+    return run
+
+
+def weight_blocks(strata: DataFrame, keys: Sequence[str], replicates: int, seed: int = 0, block: int = BLOCK) -> DataFrame:
+    """(keys, _first, idx, w) from strata (keys, n): ``w`` has a byte per replicate from ``_first`` on."""
+    keys = list(keys)
+    starts = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long"), F.lit(block).cast("long")))
+    rows = strata.select(
+        *keys, F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("_text"), F.col("n").cast("long").alias("_n"),
+        starts.alias("_first"))
+    rows = rows.withColumn("_last", F.least(F.col("_first") + block - 1, F.lit(replicates)))
+    rows = spread(rows, *keys, "_first")
+    schema = ", ".join([*(f"{k} {strata.schema[k].dataType.simpleString()}" for k in keys), "_first long, idx long, w binary"])
+    return rows.mapInArrow(_weight_batches(seed), schema)
+
+
+def _range_sums(by: Sequence[str]):
+    def run(t: pa.Table) -> pa.Table:
+        order = np.argsort(t["score"].to_numpy(), kind="stable")
+        score, label = t["score"].to_numpy()[order], t["label"].to_numpy()[order].astype(float)
+        raw = t["w"].combine_chunks()
+        size = len(raw[0].as_py())
+        w = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(-1, size)[order]
+        u, p, n = np.zeros(size), np.zeros(size), np.zeros(size)
+        cuts = np.append(np.flatnonzero(np.diff(score, prepend=np.nan) != 0), len(score))
+        at = 0
+        while at < len(cuts) - 1:
+            end = max(at + 1, int(np.searchsorted(cuts, cuts[at] + _ROWS, "right")) - 1)
+            rows = slice(cuts[at], cuts[end])
+            part, is_pos = w[rows].astype(float), label[rows, None]
+            starts = cuts[at:end] - cuts[at]
+            pos, neg = np.add.reduceat(part * is_pos, starts, 0), np.add.reduceat(part * (1 - is_pos), starts, 0)
+            below = n + np.cumsum(neg, 0) - neg
+            u += (pos * (below + neg / 2)).sum(0)
+            p += pos.sum(0)
+            n += neg.sum(0)
+            at = end
+        head = t.slice(0, 1)
+        arrays = [head[c].combine_chunks() for c in (*by, "_range", "_first")]
+        lists = [pa.array([x.tolist()], pa.list_(pa.float64())) for x in (u, p, n)]
+        return pa.Table.from_arrays([*arrays, *lists], names=[*by, "_range", "_first", "u", "p", "n"])
+    return run
+
+
+def same_samples(scores: DataFrame, sample: Sequence[str], series: Sequence[str]) -> None:
+    """Raise if a sample is missing in one of the series: its strata would not be the same in all."""
+    expected = scores.select(*series).distinct().count()
+    least = scores.select(*sample, *series).distinct().groupBy(*sample).count().agg(F.min("count")).first()[0]
+    if least is not None and least != expected:
+        raise ValueError(f"a sample has only {least} of {expected} series")
+
+
 def bootstrap_auroc(scores: DataFrame, replicates: int, seed: int = 0, category: str = "category",
                     series: Sequence[str] = ("seed", "channel")) -> DataFrame:
     """AUROC of every series and category in every replicate (b, series, category, auroc)."""
     series = list(series)
     strata = [category, "label"]
-    members = hash_index(scores.select(*strata, "file").distinct(), strata, "file")
-    members = cut_lineage(members)
-    weights = resample_weights(members, strata, replicates, seed)
+    same_samples(scores, [*strata, "file"], series)
+    members = cut_lineage(hash_index(scores.select(*strata, "file").distinct(), strata, "file"))
+    weights = weight_blocks(members.groupBy(*strata).agg(F.max("n").alias("n")), strata, replicates, seed)
     by = [*series, category]
-    base = scores.select(*by, "label", "file", "score")
-    base = with_range(base, range_cuts(base, by, "score"), by, "score")
+    base = scores.where(F.col("score").isNotNull()).select(*by, "label", "file", F.col("score").cast("double").alias("score"))
+    base = with_range(base, range_cuts(base, by, "score", RANGE_ROWS), by, "score")
     rows = base.join(members.select(*strata, "file", "idx"), [*strata, "file"]).join(weights, [*strata, "idx"])
-    per = rows.groupBy("b", *by, "_range", "score").agg(
-        F.sum(F.col("w") * F.col("label")).cast("double").alias("pos"),
-        F.sum(F.col("w") * (1 - F.col("label"))).cast("double").alias("neg"))
-    before = Window.partitionBy("b", *by, "_range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_below", F.coalesce(F.sum("neg").over(before), F.lit(0.0)))
-    part = per.groupBy("b", *by, "_range").agg(
-        F.sum(F.col("pos") * (F.col("_below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"),
-        F.sum("neg").alias("n"))
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
+    rows = rows.select(*by, "_range", "_first", "label", "score", "w")
+    sums = spread(rows, *by, "_range", "_first").groupBy(*by, "_range", "_first").applyInArrow(
+        _range_sums(by), f"{kinds}, _range int, _first long, u array<double>, p array<double>, n array<double>")
+    part = sums.select(*by, "_range", "_first", F.posexplode(F.arrays_zip("u", "p", "n")).alias("_k", "_s")).select(
+        (F.col("_first") + F.col("_k")).cast("int").alias("b"), *by, "_range", "_s.u", "_s.p", "_s.n")
     ahead = Window.partitionBy("b", *by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     part = part.withColumn("_o", F.coalesce(F.sum("n").over(ahead), F.lit(0.0)))
     return part.groupBy("b", *by).agg(
@@ -61,9 +156,10 @@ def unit_bootstrap(values: DataFrame, replicates: int, seed: int = 0) -> DataFra
     """Interval of the mean of ``diff`` when whole units are redrawn inside every dataset.
 
     ``values``: option, dataset, unit, diff. The mean runs over the units of a dataset, then over datasets.
+    All options share their draws.
     """
-    members = hash_index(values.select("option", "dataset", "unit", "diff"), ["option", "dataset"], "unit")
-    weights = resample_weights(members.select("option", "dataset", "idx", "n"), ["option", "dataset"], replicates, seed)
+    members = cut_lineage(hash_index(values.select("option", "dataset", "unit", "diff"), ["option", "dataset"], "unit"))
+    weights = resample_weights(members.select("option", "dataset", "idx", "n"), ["option", "dataset"], replicates, seed, ["dataset"])
     rows = members.join(weights, ["option", "dataset", "idx"])
     each = rows.groupBy("b", "option", "dataset").agg(
         (F.sum(F.col("w") * F.col("diff")) / F.sum("w") * 100).alias("m"))
