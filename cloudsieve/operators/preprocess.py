@@ -105,13 +105,14 @@ def budget(points: DataFrame, keys: Sequence[str], limit: int, seed: int = 0, or
 
 
 def finalize(points: DataFrame, keys: Sequence[str], voxel: float, limit: int, seed: int = 0) -> DataFrame:
-    """Voxel reduction and budget; ground truth follows its row and defaults to 0."""
+    """Voxel reduction and, if ``limit`` is not 0, the budget; ground truth follows its row and defaults to 0."""
     if "gt" not in points.columns:
         points = points.withColumn("gt", F.lit(0.0).cast("float"))
-    return budget(voxel_first(points, keys, voxel), keys, limit, seed)
+    reduced = voxel_first(points, keys, voxel)
+    return budget(reduced, keys, limit, seed) if limit else reduced
 
 
-def preprocess(points: DataFrame, keys: Sequence[str], voxel: float = 0.01, limit: int = 100_000,
+def preprocess(points: DataFrame, keys: Sequence[str], voxel: float = 0.01, limit: int = 0,
                seed: int = 0) -> DataFrame:
     return finalize(normalize(points, keys), keys, voxel, limit, seed)
 

@@ -75,7 +75,8 @@ def read_organised(spark: SparkSession, paths: str | Sequence[str], keep_missing
 def read_text(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Text clouds, comma or whitespace separated by file, '#' comments allowed.
 
-    A fourth column above 0.5 marks anomalous points; without one gt is 0.
+    A fourth column above 0.5 marks anomalous points; without one gt is 0. A field that is no number raises, and so
+    does a row of fewer than three fields.
     """
     whole = spark.read.text(paths, wholetext=True).select(
         local_path(F.col("_metadata.file_path")).alias("path"), "value")
@@ -86,8 +87,13 @@ def read_text(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     lines = lines.withColumn("_line", text).where(F.col("_line") != "")
     parts = F.split(F.col("_line"), F.col("_sep"))
     cells = lines.select("path", F.col("point_idx").cast("long").alias("point_idx"), parts.alias("_c"))
-    num = lambda i: F.try_element_at("_c", F.lit(i)).try_cast("float")
-    flag = F.coalesce(num(4), F.lit(0.0))
+    def num(i: int, needed: bool = True):
+        cell = F.try_element_at("_c", F.lit(i))
+        value = cell.try_cast("float")
+        bad = value.isNull() if needed else cell.isNotNull() & value.isNull()
+        said = F.concat(F.lit(f"field {i} is no number in "), F.col("path"), F.lit(": "), F.coalesce(cell, F.lit("missing")))
+        return F.when(bad, F.raise_error(said).cast("float")).otherwise(value)
+    flag = F.coalesce(num(4, needed=False), F.lit(0.0))
     return cells.select("path", "point_idx", num(1).alias("x"), num(2).alias("y"), num(3).alias("z"),
                         (flag > 0.5).cast("float").alias("gt"))
 

@@ -71,6 +71,13 @@ def _require(listing: DataFrame, classes: Sequence[str], what: str) -> None:
         raise FileNotFoundError(f"no {what} for {lost}")
 
 
+def _require_partner(wanted: DataFrame, there: DataFrame, keys: Sequence[str], what: str) -> None:
+    """Raise if a listed sample has no file of ground truth: it would be lost, or pass as normal."""
+    lost = [r["path"] for r in wanted.join(there.select(*keys).distinct(), list(keys), "left_anti").limit(20).collect()]
+    if lost:
+        raise FileNotFoundError(f"no {what} for {lost}")
+
+
 def _existing(root: str, classes: Sequence[str], sub: str) -> str:
     """One glob for all categories, so that a category without files is found missing, not unreadable."""
     return f"{root}/{{{','.join(classes)}}}/{sub}"
@@ -145,6 +152,9 @@ def load_test(spark: SparkSession, root: str, dataset: str, classes: Sequence[st
         normal = C.read_pcd(spark, good).withColumn("gt", F.lit(0.0).cast("float")) if good else None
         flags = C.read_text(spark, _existing(root, classes, "gt/*.txt")).withColumn(
             "category", _part(-3)).withColumn("stem", file_stem("path")).drop("path")
+        named = C.list_files(spark, _existing(root, classes, "gt/*.txt")).withColumn("category", _part(-3)).withColumn(
+            "stem", file_stem("path"))
+        _require_partner(listing.where("NOT good"), named, ["category", "stem"], "ground truth file")
         bad = flags.join(listing.where("NOT good").select("category", "stem", "path"), ["category", "stem"])
         bad = bad.withColumn("label", F.lit(1)).select(*cols)
         if normal is None:
@@ -159,6 +169,9 @@ def load_test(spark: SparkSession, root: str, dataset: str, classes: Sequence[st
         masks = C.read_masks(spark, _existing(root, classes, "test/*/gt/*.png")).withColumn(
             "category", _part(-5)).withColumn("kind", _part(-3)).withColumn("stem", file_stem("path")).drop("path")
         keys = ["category", "kind", "stem"]
+        named = C.list_files(spark, _existing(root, classes, "test/*/gt/*.png")).withColumn("category", _part(-5)).withColumn(
+            "kind", _part(-3)).withColumn("stem", file_stem("path"))
+        _require_partner(listing.where("kind <> 'good'").withColumn("stem", file_stem("path")), named, keys, "mask")
         size = masks.where("mask_pix < 0").select(*keys, "mask_h", "mask_w")
         points = points.join(size, keys, "left").withColumn("mask_pix", C.mask_pixel())
         hit = attach_mask(points, masks.where("mask_pix >= 0").select(*keys, "mask_pix", "mask"), [*keys, "mask_pix"])

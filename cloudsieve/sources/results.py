@@ -87,11 +87,12 @@ def write_scores(scores: DataFrame, path: str) -> None:
     scores.write.mode("overwrite").partitionBy("category").parquet(path)
 
 
-def write_maps(points: DataFrame, path: str, limit: int = 30_000, keys: Sequence[str] = ("category", "cloud_id")) -> None:
-    """Score maps of selected samples, at most ``limit`` points each (the size of a saved map)."""
+def write_maps(points: DataFrame, path: str, limit: int | None = None, keys: Sequence[str] = ("category", "cloud_id")) -> None:
+    """Score maps of selected samples, whole; thinned to ``limit`` points each only when asked."""
     from ..operators.prefix import hash_sample
-    kept = hash_sample(points, list(keys), limit, F.lit("map"), F.col("point_idx").cast("string"))
-    kept.write.mode("overwrite").partitionBy(*keys).parquet(path)
+    if limit is not None:
+        points = hash_sample(points, list(keys), limit, F.lit("map"), F.col("point_idx").cast("string"))
+    points.write.mode("overwrite").partitionBy(*keys).parquet(path)
 
 
 def write_diagnostics(rows: DataFrame, path: str) -> None:

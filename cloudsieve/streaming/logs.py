@@ -20,9 +20,23 @@ def progress(lines: DataFrame) -> DataFrame:
 
 
 def watch(spark: SparkSession, folder: str, name: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Keep the progress of all logs in the in-memory table ``name``."""
-    writer = progress(follow_logs(spark, folder)).writeStream.outputMode("complete").format("memory").queryName(
-        name).option("checkpointLocation", checkpoint)
+    """Keep the progress of all logs under ``name``, a view of files beside the checkpoint.
+
+    Each batch writes the logs that changed; the view shows the last state of every log. Nothing is held by the driver.
+    """
+    path = f"{checkpoint.rstrip('/')}-progress"
+
+    def save(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        latest(spark, path).createOrReplaceTempView(name)
+    writer = progress(follow_logs(spark, folder)).writeStream.outputMode("update").foreachBatch(save).option(
+        "checkpointLocation", checkpoint)
     if once:
         writer = writer.trigger(availableNow=True)
     return writer.start()
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The progress of every log as of its last change."""
+    last = spark.read.parquet(path).groupBy("log").agg(F.max_by(F.struct("n_lines", "n_errors"), "batch").alias("_v"))
+    return last.select("log", "_v.*")
