@@ -136,8 +136,7 @@ def holdout_scan_rule(spark, sf_dir):
     return memory_scans(a, 1, margin=1.01).select("l_suppkey", "pseudo_test", "in_memory")
 
 
-@query("density_clusters", f"""
-WITH RECURSIVE {EVENT_POINTS},
+CLUSTERS = f"""{EVENT_POINTS},
 m AS (SELECT user_id, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM pt GROUP BY 1),
 s AS (SELECT user_id, max(sqrt((x-mx)*(x-mx)+(y-my)*(y-my)+(z-mz)*(z-mz))) AS sc FROM pt JOIN m USING (user_id) GROUP BY 1),
 u AS (SELECT user_id, pid, (x-mx)/sc AS x, (y-my)/sc AS y, (z-mz)/sc AS z FROM pt JOIN m USING (user_id) JOIN s USING (user_id)),
@@ -148,12 +147,27 @@ co AS (SELECT user_id, q AS pid FROM pr GROUP BY ALL HAVING count(*) >= 5),
 ed AS (SELECT pr.user_id, q, r FROM pr JOIN co a ON a.user_id = pr.user_id AND a.pid = q JOIN co b ON b.user_id = pr.user_id AND b.pid = r),
 re AS (SELECT user_id, pid AS a, pid AS b FROM co UNION SELECT re.user_id, re.a, ed.r FROM re JOIN ed ON re.user_id = ed.user_id AND re.b = ed.q),
 lb AS (SELECT user_id, a AS pid, min(b) AS cluster FROM re GROUP BY ALL),
-tc AS (SELECT pr.user_id, q AS pid, min(cluster) AS t FROM pr JOIN lb ON lb.user_id = pr.user_id AND lb.pid = pr.r GROUP BY ALL)
-SELECT tc.user_id, tc.pid AS point_idx, coalesce(lb.cluster, tc.t) AS cluster FROM tc LEFT JOIN lb USING (user_id, pid)""")
+tc AS (SELECT pr.user_id, q AS pid, min(cluster) AS t FROM pr JOIN lb ON lb.user_id = pr.user_id AND lb.pid = pr.r GROUP BY ALL),
+cl AS (SELECT tc.user_id, tc.pid AS point_idx, coalesce(lb.cluster, tc.t) AS cluster FROM tc LEFT JOIN lb USING (user_id, pid))"""
+
+
+@query("density_clusters", f"WITH RECURSIVE {CLUSTERS} SELECT user_id, point_idx, cluster FROM cl")
 def density_clusters(spark, sf_dir):
     return CL.density_clusters(cut_lineage(unit_event_clouds(spark, sf_dir)), ["user_id"], 0.12)
 
 
+@query("cluster_clean_up", f"""
+WITH RECURSIVE {CLUSTERS},
+cn AS (SELECT user_id, count(*) AS n FROM pt GROUP BY 1),
+cc AS (SELECT user_id, cluster, count(*) AS c FROM cl JOIN cn USING (user_id) WHERE n > 50 GROUP BY ALL),
+kc AS (SELECT user_id, cluster FROM (SELECT *, max(c) OVER (PARTITION BY user_id) AS m FROM cc) WHERE c >= 0.05 * m)
+SELECT user_id, point_idx FROM cl JOIN kc USING (user_id, cluster)
+UNION ALL SELECT user_id, pid FROM pt WHERE user_id NOT IN (SELECT user_id FROM cc)""")
+def cluster_clean_up(spark, sf_dir):
+    return CL.drop_small_clusters(cut_lineage(unit_event_clouds(spark, sf_dir)), ["user_id"], radius_share=0.12).select(
+        "user_id", "point_idx")
+
+
 @query("surface_normals")
 def surface_normals(spark, sf_dir):
     n = normals(cut_lineage(unit_event_clouds(spark, sf_dir)), ["user_id"], 10)
@@ -177,8 +191,10 @@ def support_plane_removal(spark, sf_dir):
         "l_suppkey", F.xxhash64("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice").alias("point_idx"),
         F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"),
         (F.col("l_discount") * 100).alias("z"), (F.col("l_linestatus") == "F").alias("border"))
-    kept = CL.remove_plane(line, ["l_suppkey"])
-    return kept.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n_left"))
+    line = cut_lineage(line)
+    left = CL.remove_plane(line, ["l_suppkey"]).groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    # a cloud that lies in its plane is left with nothing, which is a result
+    return line.select("l_suppkey").distinct().join(left, "l_suppkey", "left").select("l_suppkey", F.coalesce("n", F.lit(0)).alias("n_left"))
 
 
 def nation_clouds(spark, sf_dir):

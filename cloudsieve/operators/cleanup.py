@@ -6,19 +6,20 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import dbl, hash_int, norm3
 from ..session import cut_lineage, spread
-from .neighbours import neighbours
-from .prefix import hash_sample, ordered_totals, percentile_of
+from .neighbours import Block, Summary, neighbours
+from .prefix import ordered_totals, percentile_of
 from .preprocess import XYZ
 
 # Fixed values of the cleaning rule.
 MIN_BORDER_POINTS, PLANE_SHARE, PLANE_TRIALS = 100, 0.002, 1000
 RESIDUAL_FACTOR, DISTANCE_SHARE = 3.0, 0.0025
-MIN_CLUSTER_POINTS, CLUSTER_SAMPLE, CLUSTER_SHARE = 50, 20_000, 0.03
+MIN_CLUSTER_POINTS, CLUSTER_SHARE = 50, 0.03
 CORE_NEIGHBOURS, SIZE_SHARE = 5, 0.05
 
 
@@ -81,69 +82,101 @@ def remove_plane(points: DataFrame, keys: Sequence[str], border: str = "border",
     return joined.where(F.col("pa").isNull() | (off > F.col("_t"))).select(*points.columns)
 
 
+def _inside(b: Block, radius: float) -> np.ndarray:
+    return b.d <= radius * radius * (1 + 1e-12)
+
+
+def _weight_around(radius: float) -> Summary:
+    def fn(b: Block):
+        return np.arange(len(b.d)), [_inside(b, radius) @ b.r["_w"].to_numpy()]
+    return Summary((("_n", pa.int64()),), fn)
+
+
+def _cells_around(radius: float) -> Summary:
+    """Pairs of cells that hold points within the radius of each other, each pair once per block."""
+    def fn(b: Block):
+        rows, cols = np.nonzero(_inside(b, radius))
+        mine, other = b.q["_mine"].to_numpy()[rows], b.r["_cell"].to_numpy()[cols]
+        _, first = np.unique(np.stack([mine, other]), axis=1, return_index=True)
+        return rows[first], [mine[first], other[first]]
+    return Summary((("_a", pa.int64()), ("_b", pa.int64())), fn)
+
+
+def _least_around(radius: float) -> Summary:
+    def fn(b: Block):
+        inside = _inside(b, radius)
+        rows = np.flatnonzero(inside.any(axis=1))
+        return rows, [np.where(inside[rows], b.r["cluster"].to_numpy()[None, :], np.iinfo(np.int64).max).min(axis=1)]
+    return Summary((("_t", pa.int64()),), fn)
+
+
 def density_clusters(points: DataFrame, keys: Sequence[str], radius_share: float = CLUSTER_SHARE,
                      min_points: int = CORE_NEIGHBOURS, id_col: str = "point_idx") -> DataFrame:
     """Density clusters (keys, id, cluster) with the radius a share of the cloud's extent; noise is absent.
 
     Core points have at least ``min_points`` points within the radius (themselves included). Connected
     core points share a cluster, named by its smallest id; other points join a core point they touch.
+
+    No pairs of points are made: points are put in cells whose diagonal is the radius. A cell with ``min_points`` points
+    is core throughout, other points are counted inside the blocks of the radius join; core points of a cell belong together,
+    so the graph to be labelled joins cells, at most 124 per cell.
     """
     keys = list(keys)
     # dividing by the extent makes one radius fit all clouds
     scaled = points.join(extents(points, keys), keys).select(
         *keys, id_col, *[(dbl(c) / F.col("extent")).alias(c) for c in XYZ])
-    # equal positions act as one point with a weight, so copies cannot blow up the pairs
+    # equal positions act as one point with a weight, so copies cannot blow up the work
     scaled = cut_lineage(scaled)
     places = scaled.groupBy(*keys, *XYZ).agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("_w"))
-    pairs = cut_lineage(neighbours(places, places, None, keys, id_col, id_col, payload=["_w"], radius=radius_share)
-                        .select(*keys, "qid", "rid", "_w"))
-    core = pairs.groupBy(*keys, "qid").agg(F.sum("_w").alias("_n")).where(F.col("_n") >= min_points)
-    core = cut_lineage(core.select(*keys, F.col("qid").alias(id_col)))
-    edges = pairs.join(core.withColumnRenamed(id_col, "qid"), [*keys, "qid"], "left_semi").join(
-        core.withColumnRenamed(id_col, "rid"), [*keys, "rid"], "left_semi")
-    edges = cut_lineage(edges)
-    label = cut_lineage(core.withColumn("cluster", F.col(id_col)))
+    side = radius_share / 3 ** 0.5
+    cell = [f"_g{c}" for c in XYZ]
+    places = places.withColumns({g: F.floor(F.col(c) / side) for g, c in zip(cell, XYZ)})
+    full = places.groupBy(*keys, *cell).agg(F.sum("_w").alias("_full"))
+    places = cut_lineage(places.join(full, [*keys, *cell]))
+    sparse = places.where(F.col("_full") < min_points)
+    count = neighbours(sparse, places, None, keys, id_col, id_col, radius=radius_share, payload=["_w"],
+                       custom=_weight_around(radius_share)).groupBy(*keys, "qid").agg(F.sum("_n").alias("_n"))
+    some = count.where(F.col("_n") >= min_points).select(*keys, F.col("qid").alias(id_col))
+    core = places.where(F.col("_full") >= min_points).unionByName(places.join(some, [*keys, id_col], "left_semi"))
+    named = core.groupBy(*keys, *cell).agg(F.min(id_col).alias("_cell"))
+    core = cut_lineage(core.join(named, [*keys, *cell]).select(*keys, id_col, *XYZ, "_cell"))
+    met = neighbours(core.withColumn("_mine", F.col("_cell")), core, None, keys, id_col, id_col, radius=radius_share,
+                     payload=["_cell"], carry=["_mine"], custom=_cells_around(radius_share))
+    edges = cut_lineage(met.select(*keys, "_a", "_b").distinct())
+    label = cut_lineage(core.select(*keys, F.col("_cell").alias("_a"), F.col("_cell").alias("cluster")).distinct())
     while True:
-        # smallest label in the neighbourhood, then the label of that label
-        near = edges.join(label.withColumnRenamed(id_col, "rid"), [*keys, "rid"]).groupBy(*keys, "qid").agg(
-            F.min("cluster").alias("_c")).withColumnRenamed("qid", id_col)
-        hop = near.select(*keys, F.col(id_col).alias("_c"), F.col("_c").alias("_d"))
-        new = label.join(near, [*keys, id_col]).join(hop, [*keys, "_c"], "left")
-        new = new.select(*keys, id_col, F.least("cluster", "_c", F.coalesce("_d", "_c")).alias("_new"), "cluster")
-        new = cut_lineage(new)
+        # smallest label among the cells around, then the label of that label
+        near = edges.join(label.withColumnRenamed("_a", "_b"), [*keys, "_b"]).groupBy(*keys, "_a").agg(F.min("cluster").alias("_c"))
+        hop = near.select(*keys, F.col("_a").alias("_c"), F.col("_c").alias("_d"))
+        new = label.join(near, [*keys, "_a"]).join(hop, [*keys, "_c"], "left")
+        new = cut_lineage(new.select(*keys, "_a", F.least("cluster", "_c", F.coalesce("_d", "_c")).alias("_new"), "cluster"))
         moved = new.where(F.col("_new") != F.col("cluster")).limit(1).count()
-        label = new.select(*keys, id_col, F.col("_new").alias("cluster"))
+        label = new.select(*keys, "_a", F.col("_new").alias("cluster"))
         if not moved:
             break
-    touch = pairs.join(label.withColumnRenamed(id_col, "rid"), [*keys, "rid"]).groupBy(*keys, "qid").agg(
-        F.min("cluster").alias("_t")).withColumnRenamed("qid", id_col)
-    found = touch.join(label, [*keys, id_col], "left").select(*keys, id_col, F.coalesce("cluster", "_t").alias("cluster"))
-    named = places.join(found, [*keys, id_col]).select(*keys, *XYZ, "cluster")
-    return scaled.join(named, [*keys, *XYZ]).select(*keys, id_col, "cluster")
+    core = cut_lineage(core.join(label.withColumnRenamed("_a", "_cell"), [*keys, "_cell"]).select(*keys, id_col, *XYZ, "cluster"))
+    rest = places.join(core, [*keys, id_col], "left_anti")
+    touch = neighbours(rest, core, None, keys, id_col, id_col, radius=radius_share, payload=["cluster"],
+                       custom=_least_around(radius_share)).groupBy(*keys, F.col("qid").alias(id_col)).agg(F.min("_t").alias("cluster"))
+    touch = places.join(touch, [*keys, id_col]).select(*keys, *XYZ, "cluster")
+    return scaled.join(core.select(*keys, *XYZ, "cluster").unionByName(touch), [*keys, *XYZ]).select(*keys, id_col, "cluster")
 
 
-def drop_small_clusters(points: DataFrame, keys: Sequence[str], id_col: str = "point_idx") -> DataFrame:
-    """Keep points of clusters with at least 5 % of the largest one's points.
+def drop_small_clusters(points: DataFrame, keys: Sequence[str], id_col: str = "point_idx",
+                        radius_share: float = CLUSTER_SHARE) -> DataFrame:
+    """Keep points of clusters with at least 5 % of the largest one's points; all points are clustered.
 
-    Clusters are found on a bounded sample and passed on to every point by its nearest sampled point.
     Clouds of 50 points or fewer, and clouds that are all noise, stay whole.
     """
     keys = list(keys)
     size = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     big = cut_lineage(points.join(size.where(F.col("_n") > MIN_CLUSTER_POINTS), keys, "left_semi"))
-    some = cut_lineage(hash_sample(big, keys, CLUSTER_SAMPLE, F.lit("cluster"), F.col(id_col).cast("string")))
-    # the radius is a share of the whole cloud's extent, so scale by that before sampling
-    scale = extents(big, keys)
-    scaled = some.join(scale, keys).select(*keys, id_col, *[(dbl(c) / F.col("extent")).alias(c) for c in XYZ])
-    clusters = cut_lineage(density_clusters(scaled, keys, id_col=id_col))
-    near = neighbours(big, some, 1, keys, id_col, id_col).select(
-        *keys, F.col("qid").alias(id_col), F.col("rid").alias("_near"))
-    named = near.join(clusters.withColumnRenamed(id_col, "_near"), [*keys, "_near"])
+    named = cut_lineage(density_clusters(big, keys, radius_share, id_col=id_col))
     count = named.groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("_c"))
     top = count.groupBy(*keys).agg(F.max("_c").alias("_m"))
     keep = count.join(top, keys).where(F.col("_c") >= SIZE_SHARE * F.col("_m")).select(*keys, "cluster")
     rows = named.join(keep, [*keys, "cluster"], "left_semi").select(*keys, id_col)
-    cleaned = clusters.select(*keys).distinct()
+    cleaned = named.select(*keys).distinct()
     inside = points.join(rows, [*keys, id_col], "left_semi")
     untouched = points.join(cleaned, keys, "left_anti")
     return inside.unionByName(untouched)
