@@ -9,7 +9,7 @@ from .common import SPACE, fresh, quoted, text_of, without
 
 OUTPUTS = ("keep_id", "group_size", "kept", "text_sha256")
 #: Bytes of one digest's copies that one task may sort together.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 1 << 20
 #: Digests that may be split; with the total size this bounds the broadcast list.
 MOST_SPLIT = 65_536
 
