@@ -16,6 +16,7 @@ from ..operators import tolerance as T
 from ..operators.descriptors import normals, sample_features
 from ..operators.matching import ball_minima
 from ..operators.neighbours import neighbours
+from ..plans import diagnostics as DG
 from ..session import cut_lineage
 from .points import NORMALIZED, _hn, line_cloud
 from .registry import query, r6, rounded, table
@@ -244,3 +245,36 @@ def anomaly_benchmark(spark, sf_dir):
     run = run_benchmark(train, test, cfg)
     names = ["n_test", "n_anom", "o_auroc", "o_aupr", "p_auroc", "p_aupr", "p_auroc_pooled", "p_aupr_pooled"]
     return rounded(results_table(run.metrics, names), *names)
+
+
+@query("alignment_distances", f"""
+WITH {EVENT_POINTS},
+pr AS (SELECT a.user_id, a.pid AS q, b.pid AS r, a.event_type AS qt, b.event_type AS rt,
+  sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS d FROM pt a JOIN pt b ON a.user_id = b.user_id),
+f AS (SELECT user_id, q, min(d) AS d FROM pr WHERE qt = 'error' AND rt <> 'error' GROUP BY ALL),
+v AS (SELECT user_id, r, min(d) AS d FROM pr WHERE qt = 'error' AND rt <> 'error' GROUP BY ALL),
+l AS (SELECT user_id, qt, q, min(d) AS d FROM pr WHERE qt <> 'error' AND rt <> 'error' AND qt <> rt GROUP BY ALL),
+lo AS (SELECT user_id, avg(m) AS loo_med, avg(p) AS loo_p90 FROM (
+  SELECT user_id, qt, quantile_cont(d, 0.5) AS m, quantile_cont(d, 0.9) AS p FROM l GROUP BY ALL) GROUP BY user_id),
+ff AS (SELECT user_id, quantile_cont(d, 0.5) AS res_med, quantile_cont(d, 0.9) AS res_p90, quantile_cont(d, 0.99) AS res_p99 FROM f GROUP BY 1),
+vv AS (SELECT user_id, quantile_cont(d, 0.9) AS rev_p90 FROM v GROUP BY 1)
+SELECT user_id, round(res_med, 5) AS res_med, round(res_p90, 5) AS res_p90, round(res_p99, 5) AS res_p99, round(rev_p90, 5) AS rev_p90,
+  round(loo_med, 5) AS loo_med, round(loo_p90, 5) AS loo_p90 FROM ff JOIN vv USING (user_id) LEFT JOIN lo USING (user_id)""")
+def alignment_distances(spark, sf_dir):
+    """Error events as a cloud on the surface of the others, whose event types are its prototypes."""
+    p = cut_lineage(event_points(spark, sf_dir))
+    cloud, surface = p.where("event_type = 'error'").withColumn("cloud", F.lit(0)), p.where("event_type <> 'error'")
+    forward = DG.distance_shares(cloud, surface, ["user_id"], DG.SHARES, "pid", "pid")
+    back = DG.reverse_shares(surface, cloud, ["user_id"], "cloud", {"rev_p90": 0.9}, "pid", "pid").drop("cloud")
+    spread_ = DG.leave_one_out(surface, ["user_id"], "event_type", "pid")
+    out = forward.join(back, "user_id").join(spread_, "user_id", "left")
+    return out.select("user_id", *[F.round(c, 5).alias(c) for c in (*DG.SHARES, "rev_p90", "loo_med", "loo_p90")])
+
+
+@query("diagnostic_medians", """
+WITH l AS (SELECT l_returnflag, unnest([l_quantity, l_extendedprice, l_discount]) AS v, unnest(['l_quantity', 'l_extendedprice', 'l_discount']) AS metric
+  FROM lineitem)
+SELECT l_returnflag, metric, round(quantile_cont(v, 0.5), 6) AS median FROM l GROUP BY ALL""")
+def diagnostic_medians(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice", "l_discount")
+    return rounded(DG.diagnostic_summary(rows, ["l_returnflag"], ["l_quantity", "l_extendedprice", "l_discount"]), "median")

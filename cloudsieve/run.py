@@ -14,7 +14,7 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(description=__doc__)
     d = Config()
     for name, value in d.to_dict().items():
-        if name in ("extra", "local_radii", "holdout"):
+        if name in ("extra", "local_radii"):
             continue
         flag = "--" + name.replace("_", "-")
         if isinstance(value, bool):
@@ -22,6 +22,8 @@ def parser() -> argparse.ArgumentParser:
         else:
             p.add_argument(flag, type=type(value), default=value)
     p.add_argument("--local-radii", type=lambda s: tuple(float(x) for x in s.split(",")), default=d.local_radii)
+    p.add_argument("--develop", type=int, default=0, metavar="FOLDS",
+                   help="score pseudo-tests of that many held-out folds and write their records instead")
     p.add_argument("--classes", default="", help="comma-separated categories (all by default)")
     p.add_argument("--out", default="results")
     p.add_argument("--tag", default="run")
@@ -34,13 +36,17 @@ def config_of(args: argparse.Namespace) -> Config:
 
 
 def main(argv: list[str] | None = None) -> None:
-    from .plans.benchmark import results_table, run_files, sample_records
+    from .plans.benchmark import develop_files, results_table, run_files, sample_records
     from .sources.results import write_result_csv, write_scores
     args = parser().parse_args(argv)
     cfg = config_of(args)
     spark = get_spark(f"cloudsieve {args.tag}")
-    run = run_files(spark, cfg, args.classes.split(",") if args.classes else None)
+    classes = args.classes.split(",") if args.classes else None
     base = f"{args.out}/{args.tag}-s{cfg.seed}_{cfg.dataset}_{time.strftime('%Y%m%d-%H%M%S')}"
+    if args.develop:
+        write_scores(develop_files(spark, cfg, args.develop, classes).withColumnRenamed("unit", "category"), f"{base}_dev")
+        return
+    run = run_files(spark, cfg, classes)
     names = sorted(r["metric"] for r in run.metrics.select("metric").distinct().collect())
     write_result_csv(results_table(run.metrics, names), f"{base}.csv")
     write_scores(sample_records(run.evaluation, cfg.seed, cfg.dataset), f"{base}_scores")
