@@ -55,3 +55,57 @@ def test_significance_and_round_robin(spark):
     assert tuple(A.significance_counts(d).first()) == (1, 1, 1)
     j = spark.createDataFrame([(i,) for i in range(5)], "job int")
     assert [r.worker for r in A.round_robin(j, "job", 2).orderBy("job").collect()] == [0, 1, 0, 1, 0]
+
+
+def test_bootstrap_weights_and_blocks(spark, monkeypatch):
+    import hashlib
+
+    import numpy as np
+
+    from cloudsieve.plans import bootstrap as B
+    w = B.draw_weights("c|1", 7, 3, 5, 0)
+    want = np.zeros((7, 3), int)
+    for b in (3, 4, 5):
+        for i in range(7):
+            h = int(hashlib.md5(f"0|{b}|c|1|{i}".encode()).hexdigest()[:8], 16)
+            want[int(h / 4294967296.0 * 7), b - 3] += 1
+    assert (w == want).all()
+    rng = np.random.default_rng(0)
+    rows = [(s, ch, c, f"{c}{i}", int(i % 3 == 0), float(np.round(rng.normal(), 1))) for s in (0, 1) for ch in ("a", "b")
+            for c in ("x", "y") for i in range(40)]
+    scores = spark.createDataFrame(rows, "seed int, channel string, category string, file string, label int, score double")
+    key = ["b", "seed", "channel", "category"]
+    whole = B.bootstrap_auroc(scores, 6).toPandas().sort_values(key).reset_index(drop=True)
+    monkeypatch.setattr(B, "RANGE_ROWS", 10)
+    monkeypatch.setattr(B, "_ROWS", 8)
+    cut = B.bootstrap_auroc(scores, 6).toPandas().sort_values(key).reset_index(drop=True)
+    assert len(whole) == 48 and np.allclose(whole.auroc, cut.auroc, equal_nan=True)
+    with pytest.raises(ValueError, match="series"):
+        B.bootstrap_auroc(scores.where("NOT (seed = 1 AND channel = 'b' AND file = 'x3')"), 2)
+
+
+def test_alignment_diagnostic(spark):
+    import numpy as np
+
+    from cloudsieve.plans.diagnostics import alignment_diagnostic
+    rng = np.random.default_rng(2)
+
+    def sphere(n, shift=0.0):
+        x = rng.normal(size=(n, 3))
+        x *= np.array([1.0, 0.6, 0.4]) / np.linalg.norm(x, axis=1, keepdims=True)
+        return x + shift
+    protos = [("c", o, i, *map(float, p)) for o in (0, 1) for i, p in enumerate(sphere(600))]
+    clouds = [("c", n, i, *map(float, p)) for n, s in (("near", 0.0), ("off", 0.02)) for i, p in enumerate(sphere(400, s))]
+    surface = spark.createDataFrame(protos, "category string, obj int, point_idx long, x double, y double, z double")
+    asked = spark.createDataFrame(clouds, "category string, cloud_id string, point_idx long, x double, y double, z double")
+    got = alignment_diagnostic(asked, surface).toPandas().set_index("cloud_id")
+    merged = np.array([p[3:] for p in protos])
+    for name in ("near", "off"):
+        mine = np.array([p[3:] for p in clouds if p[1] == name])
+        d = np.sqrt(((mine[:, None] - merged[None]) ** 2).sum(2))
+        assert np.allclose(got.loc[name, ["res_med", "res_p90", "res_p99"]].astype(float), np.percentile(d.min(1), [50, 90, 99]))
+        assert np.isclose(got.loc[name, "rev_p90"], np.percentile(d.min(0), 90))
+    a, b = merged[:600], merged[600:]
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
+    assert np.isclose(got.loo_med.iloc[0], (np.median(d.min(1)) + np.median(d.min(0))) / 2)
+    assert got.loc["off", "ref_trans"] > got.loc["near", "ref_trans"] and got.loc["off", "ref_res_med"] < got.loc["off", "res_med"]

@@ -187,3 +187,34 @@ def test_log_watch(spark, tmp_path):
         break
     got = {r.log: (r.n_lines, r.n_errors) for r in spark.table("log_progress").collect()}
     assert got == {"a.log": (3, 2), "b.log": (1, 0)}
+
+
+def test_samples_without_ground_truth_raise(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    pcd(tmp_path / "r/duck/test/d0_bulge.pcd", sphere(rng, 60))
+    pcd(tmp_path / "r/duck/test/d1_bulge.pcd", sphere(rng, 60))
+    text(tmp_path / "r/duck/gt/d0_bulge.txt", sphere(rng, 40), np.arange(40) < 9, " ")
+    with pytest.raises(FileNotFoundError, match="d1_bulge"):
+        layouts.load_test(spark, str(tmp_path / "r"), "real3d", ["duck"])
+    for i in range(2):
+        tiff(tmp_path / f"m/bagel/test/hole/xyz/{i:03d}.tiff", scan(rng, True)[0])
+    png(tmp_path / "m/bagel/test/hole/gt/000.png", scan(rng, True)[1] * 255)
+    with pytest.raises(FileNotFoundError, match="001.tiff"):
+        layouts.load_test(spark, str(tmp_path / "m"), "mvtec", ["bagel"])
+
+
+def test_bad_numbers_raise(spark, tmp_path):
+    (tmp_path / "ok.txt").write_text("1 2 3\nnan 2 3\n")
+    assert C.read_text(spark, str(tmp_path / "ok.txt")).count() == 2
+    for name, line in (("word", "1 2 x"), ("short", "1 2"), ("flag", "1 2 3 yes")):
+        (tmp_path / f"{name}.txt").write_text(f"1 2 3 0\n{line}\n")
+        with pytest.raises(Exception, match="is no number"):
+            C.read_text(spark, str(tmp_path / f"{name}.txt")).collect()
+
+
+def test_maps_are_written_whole(spark, tmp_path):
+    points = spark.range(40_000).selectExpr("'c' AS category", "'s' AS cloud_id", "id AS point_idx", "1.0 AS hyb")
+    results.write_maps(points, str(tmp_path / "maps"))
+    assert spark.read.parquet(str(tmp_path / "maps")).count() == 40_000
+    results.write_maps(points, str(tmp_path / "few"), 100)
+    assert spark.read.parquet(str(tmp_path / "few")).count() == 100
