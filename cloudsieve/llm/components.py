@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 MOST_ROUNDS = 60
+#: Edges of one partition, about.
+PARTITION = 20_000
 
 
 def _stars(pairs: DataFrame, small: bool) -> DataFrame:
@@ -35,7 +37,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if not seen[0]:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        edges = cut_lineage(_stars(_stars(both, small=False), small=True))
+        # the number of edges never grows, so the last count says how many partitions they need
+        edges = cut_lineage(_stars(_stars(both, small=False), small=True).coalesce(1 + seen[0] // PARTITION))
         now = check(edges)
         if now == seen:
             break

@@ -56,7 +56,8 @@ def entropy_balance(masses: DataFrame, targets: DataFrame, most: int = MOST_COPI
     ``masses`` (source, tilt, mass): documents with equal tilt are summed beforehand. Of all rates between 0 and
     ``most`` that meet the token targets, exp(multiplier * tilt) is nearest to 1 in token-weighted relative
     entropy. The convex dual is separable by source; all sources take damped Newton steps together, each step
-    one grouped sum of gradient and curvature over ``masses``. Only the largest remaining error reaches the driver.
+    one grouped sum of gradient and curvature over ``masses``; the state is one short row per source. Only the largest
+    remaining error reaches the driver.
     """
     state = targets.withColumn("multiplier", F.lit(0.0))
     summed = cut_lineage(masses.groupBy("source", "tilt").agg(F.sum("mass").cast("double").alias("mass")))
@@ -73,7 +74,7 @@ def entropy_balance(masses: DataFrame, targets: DataFrame, most: int = MOST_COPI
         step = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), step))
         error = F.abs(F.col("target") - F.col("got")) / F.greatest(F.col("target"), F.lit(1.0))
         state = cut_lineage(sums.select(
-            "source", "source_size", "target", (F.col("multiplier") + step).alias("multiplier"), error.alias("error")))
+            "source", "source_size", "target", (F.col("multiplier") + step).alias("multiplier"), error.alias("error")).coalesce(1))
         if (state.agg(F.max("error")).first()[0] or 0.0) < 1e-10:
             break
         state = state.drop("error")
@@ -102,17 +103,27 @@ def _copies(rows: DataFrame, most: int) -> DataFrame:
     return joined.withColumn("copies", F.greatest(F.lit(0), F.least(F.lit(most), count)).cast("int"))
 
 
-def _repair(rows: DataFrame, most: int) -> DataFrame:
-    """Give or take one copy of the one document per source whose size comes nearest to what the source is off by."""
-    off = rows.groupBy("source").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("off"))
-    met = rows.alias("r").join(off.alias("o"), F.expr("r.source <=> o.source")).select("r.*", "off")
-    may = F.when(F.col("off") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
-    left = F.abs(F.abs("off") - F.col("size"))
-    pick = met.where(may & (left < F.abs("off"))).groupBy("source").agg(
-        F.min(F.struct(left.alias("left"), F.col("at").alias("p"), F.col("place").alias("q"), F.signum("off").cast("int").alias("by"))).alias("x"))
-    pick = pick.select(F.col("source").alias("s"), "x.p", "x.q", "x.by")
-    return rows.join(pick, F.expr("source <=> s AND at = p AND place = q"), "left").withColumn(
-        "copies", F.col("copies") + F.coalesce("by", F.lit(0))).drop("s", "p", "q", "by")
+def _repairs(rows: DataFrame, most: int) -> DataFrame:
+    """(source, at, place, by): single copies to give or take, per source and pass one of the document nearest in size to what is off.
+
+    Passes carry only what each source is off by and its changes so far: a few short rows per source.
+    """
+    off = cut_lineage(rows.groupBy("source").agg(
+        (F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("off"),
+        F.array().cast("array<struct<at: int, place: int, by: int>>").alias("done")).coalesce(1))
+    for _ in range(REPAIRS):
+        met = rows.alias("r").join(off.alias("o"), F.expr("r.source <=> o.source")).select("r.*", "off", "done")
+        may = F.when(F.col("off") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
+        fresh_row = ~F.exists("done", lambda d: (d["at"] == F.col("at")) & (d["place"] == F.col("place")))
+        left = F.abs(F.abs("off") - F.col("size"))
+        pick = met.where(may & fresh_row & (left < F.abs("off"))).groupBy("source").agg(F.min(F.struct(
+            left.alias("left"), "at", "place", F.signum("off").cast("int").alias("by"), "size")).alias("x"))
+        both = off.alias("o").join(pick.alias("p"), F.expr("o.source <=> p.source"), "left")
+        change = F.array(F.struct("x.at", "x.place", "x.by"))
+        off = cut_lineage(both.select(
+            "o.source", (F.col("off") - F.coalesce(F.col("x.by") * F.col("x.size"), F.lit(0))).alias("off"),
+            F.when(F.col("x").isNull(), F.col("done")).otherwise(F.concat("done", change)).alias("done")).coalesce(1))
+    return off.select("source", F.explode("done").alias("d")).select("source", "d.*")
 
 
 def mix_rows(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -129,8 +140,10 @@ def mix_rows(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     rated = rows.alias("r").join(state.alias("s"), F.expr("r.source <=> s.source")).select(
         "r.*", "source_size", "target", _rate("multiplier", "tilt", most).alias("rate"))
     done = cut_lineage(_copies(rated, most))
-    for _ in range(REPAIRS):
-        done = cut_lineage(_repair(done, most))
+    mended = _repairs(done, most).select(
+        F.col("at").alias("_at"), F.col("place").alias("_place"), F.col("source").alias("_source"), "by")
+    done = done.join(mended, F.expr("at = _at AND place = _place AND source <=> _source"), "left")
+    done = done.withColumn("copies", F.col("copies") + F.coalesce("by", F.lit(0))).drop("_at", "_place", "_source", "by")
     return done.withColumn("taken", F.col("copies") * F.col("size"))
 
 

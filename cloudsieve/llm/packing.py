@@ -242,7 +242,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     cut = cut_lineage(pieces(docs, id_col, text_col, capacity, tokenizer))
     strata = 1 + cut.count() // STRATUM
     cut = cut.withColumn("part", F.pmod(F.xxhash64("id", "piece"), F.lit(strata)).cast("int"))
-    counts = cut_lineage(cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")))
+    counts = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     histogram = np.zeros(capacity + 1, np.int64)
     for length, n in counts.groupBy("length").agg(F.sum("n")).toPandas().itertuples(index=False):
         histogram[length] = n

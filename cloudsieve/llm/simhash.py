@@ -177,8 +177,8 @@ def links(prints: DataFrame) -> DataFrame:
     members in that task. An anchor with over ``SLICE`` homes is cut into slices of homes by a hash; copies go to each.
     """
     rows = covered(prints)
-    hot = cut_lineage(rows.where("home").groupBy("anchor").count().where(F.col("count") > SLICE).select(
-        "anchor", F.ceil(F.col("count") / SLICE).cast("int").alias("slices")))
+    hot = rows.where("home").groupBy("anchor").count().where(F.col("count") > SLICE).select(
+        "anchor", F.ceil(F.col("count") / SLICE).cast("int").alias("slices"))
     if hot.isEmpty():
         rows = rows.withColumn("slice", F.lit(0))
     else:
