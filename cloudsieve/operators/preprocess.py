@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import apply_pose, col, dbl, dot3, hash01, hash_normal, is_finite_point, norm3
+from ..session import cut_lineage
 from .prefix import hash_sample, ordered_totals, percentile_of
 
 XYZ = ("x", "y", "z")
@@ -196,6 +197,17 @@ def directional_crop(points: DataFrame, keys: Sequence[str], share: float, seed:
     none does, the draw that keeps most of them is used (the earliest on ties).
     """
     keys = list(keys)
+    first, settled = _cropped(points, keys, share, seed, 1)
+    if draws == 1:
+        return first
+    settled = cut_lineage(settled.where("_good").select(*keys))
+    # only clouds whose first draw loses too many defect points are drawn again
+    again, _ = _cropped(points.join(settled, keys, "left_anti"), keys, share, seed, draws)
+    return first.join(settled, keys, "left_semi").unionByName(again)
+
+
+def _cropped(points: DataFrame, keys: list[str], share: float, seed: int, draws: int) -> tuple[DataFrame, DataFrame]:
+    """The best of ``draws`` crops of every cloud, and whether it keeps half of the defect points (keys, _good)."""
     mean = points.groupBy(*keys).agg(*[F.avg(dbl(c)).alias(f"m{c}") for c in XYZ], F.sum(dbl("gt")).alias("_defects"))
     views = hashed_directions(mean, seed, draws, keys)
     proj = facing(*[dbl(c) - F.col(f"m{c}") for c in XYZ], ("ux", "uy", "uz"))
@@ -207,8 +219,8 @@ def directional_crop(points: DataFrame, keys: Sequence[str], share: float, seed:
     good = F.col("_kept") >= 0.5 * F.col("_defects")
     chosen = quality.groupBy(*keys).agg(F.coalesce(
         F.min(F.when(good, F.col("draw"))),
-        F.max_by("draw", F.struct("_kept", -F.col("draw")))).alias("draw"))
-    return kept.join(chosen, [*keys, "draw"], "left_semi").select(*points.columns)
+        F.max_by("draw", F.struct("_kept", -F.col("draw")))).alias("draw"), F.coalesce(F.bool_or(good), F.lit(False)).alias("_good"))
+    return kept.join(chosen.drop("_good"), [*keys, "draw"], "left_semi").select(*points.columns), chosen.drop("draw")
 
 
 def stride(df: DataFrame, keys: Sequence[str], order: str, most: int) -> DataFrame:
