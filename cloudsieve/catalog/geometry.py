@@ -175,6 +175,30 @@ def surface_normals(spark, sf_dir):
     return rounded(n.select("user_id", "point_idx", "nx", "ny", "nz"), "nx", "ny", "nz")
 
 
+@query("normal_spread", f"""
+WITH {EVENT_POINTS},
+m AS (SELECT user_id, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM pt GROUP BY 1),
+s AS (SELECT user_id, max(sqrt((x-mx)*(x-mx)+(y-my)*(y-my)+(z-mz)*(z-mz))) AS sc FROM pt JOIN m USING (user_id) GROUP BY 1),
+u AS (SELECT user_id, pid, (x-mx)/sc AS x, (y-my)/sc AS y, (z-mz)/sc AS z FROM pt JOIN m USING (user_id) JOIN s USING (user_id)),
+nn AS (SELECT a.user_id, a.pid, b.x - a.x AS x, b.y - a.y AS y, b.z - a.z AS z, row_number() OVER (PARTITION BY a.user_id, a.pid
+  ORDER BY sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)), b.pid) AS rn FROM u a JOIN u b USING (user_id)),
+c AS (SELECT user_id, pid, count(*) AS n, covar_pop(x, x) AS xx, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, y) AS yy,
+  covar_pop(y, z) AS yz, covar_pop(z, z) AS zz FROM nn WHERE rn <= 10 GROUP BY ALL),
+e AS (SELECT *, (xx + yy + zz) / 3 AS t, xx*yy + yy*zz + zz*xx - xy*xy - xz*xz - yz*yz AS k2,
+  xx*(yy*zz - yz*yz) - xy*(xy*zz - yz*xz) + xz*(xy*yz - yy*xz) AS k3 FROM c),
+r AS (SELECT *, sqrt(greatest(t*t - k2 / 3, 0)) AS p FROM e),
+v AS (SELECT *, CASE WHEN p < 1e-12 THEN t ELSE t + 2*p*cos((acos(greatest(-1, least(1, (2*t*t*t - t*k2 + k3) / (2*p*p*p)))) + 2*pi()) / 3) END AS least_ FROM r)
+SELECT user_id, pid AS point_idx, round(CASE WHEN n < 3 THEN zz ELSE least_ END, 5) AS spread FROM v""")
+def normal_spread(spark, sf_dir):
+    """Variance of the ten nearest points along the normal: the smallest eigenvalue of their covariance."""
+    cloud = cut_lineage(unit_event_clouds(spark, sf_dir))
+    n = normals(cloud, ["user_id"], 10).select("user_id", "point_idx", *[F.col(c).alias(f"q{c}") for c in P.XYZ], "nx", "ny", "nz")
+    near = neighbours(n, cloud, 10, ["user_id"], "point_idx", "point_idx", pos=("qx", "qy", "qz"), r_pos=P.XYZ, payload=P.XYZ,
+                      carry=["qx", "qy", "qz", "nx", "ny", "nz"])
+    along = sum(((F.col(c) - F.col(f"q{c}")) * F.col(f"n{c}") for c in P.XYZ), F.lit(0.0))
+    return near.groupBy("user_id", F.col("qid").alias("point_idx")).agg(F.round(F.greatest(F.var_pop(along), F.lit(0.0)), 5).alias("spread"))
+
+
 @query("cloud_descriptors")
 def cloud_descriptors(spark, sf_dir):
     return sample_features(unit_event_clouds(spark, sf_dir), ["user_id"], 10, 2, 16, 8)
@@ -186,7 +210,41 @@ def injected_defects(spark, sf_dir):
     return rounded(info, "radius", "amplitude", "frac")
 
 
-@query("support_plane_removal")
+@query("support_plane_removal", """
+WITH a AS (SELECT l_suppkey, l_quantity AS x, l_extendedprice / 1000 AS y, l_discount * 100 AS z, l_linestatus = 'F' AS border FROM lineitem),
+ex AS (SELECT l_suppkey, sqrt(pow(max(x)-min(x), 2) + pow(max(y)-min(y), 2) + pow(max(z)-min(z), 2)) AS e0 FROM a GROUP BY 1),
+ext AS (SELECT l_suppkey, CASE WHEN e0 > 0 THEN e0 ELSE 1 END AS e FROM ex),
+bo AS (SELECT l_suppkey, x, y, z, row_number() OVER (PARTITION BY l_suppkey ORDER BY z, y, x) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS n
+  FROM a WHERE border),
+big AS (SELECT DISTINCT l_suppkey, n FROM bo WHERE n >= 100),
+dr AS (SELECT l_suppkey, t, j, floor(('0x' || substr(md5('0|' || l_suppkey || '|' || t || '|' || j), 1, 8))::BIGINT / 4294967296.0::DOUBLE * n)::BIGINT AS i
+  FROM big, range(1000) s(t), range(3) r(j)),
+tr AS (SELECT d.l_suppkey, t, max(x) FILTER (j = 0) AS x0, max(y) FILTER (j = 0) AS y0, max(z) FILTER (j = 0) AS z0,
+  max(x) FILTER (j = 1) AS x1, max(y) FILTER (j = 1) AS y1, max(z) FILTER (j = 1) AS z1, max(x) FILTER (j = 2) AS x2, max(y) FILTER (j = 2) AS y2,
+  max(z) FILTER (j = 2) AS z2 FROM dr d JOIN bo USING (l_suppkey, i) GROUP BY ALL),
+cr AS (SELECT l_suppkey, t, x0, y0, z0, (y1-y0)*(z2-z0) - (z1-z0)*(y2-y0) AS a, (z1-z0)*(x2-x0) - (x1-x0)*(z2-z0) AS b,
+  (x1-x0)*(y2-y0) - (y1-y0)*(x2-x0) AS c FROM tr),
+pl AS (SELECT *, sqrt(a*a + b*b + c*c) AS l FROM cr WHERE sqrt(a*a + b*b + c*c) > 0),
+hi AS (SELECT pl.l_suppkey, t, count(*) FILTER (abs(x*(a/l) - x0*(a/l) + (y*(b/l) - y0*(b/l)) + (z*(c/l) - z0*(c/l))) <= 0.002 * e) AS h
+  FROM pl JOIN bo USING (l_suppkey) JOIN ext USING (l_suppkey) GROUP BY ALL),
+be AS (SELECT l_suppkey, arg_max(t, (h, -t)) AS t FROM hi GROUP BY 1),
+inn AS (SELECT l_suppkey, x, y, z FROM be JOIN pl USING (l_suppkey, t) JOIN bo USING (l_suppkey) JOIN ext USING (l_suppkey)
+  WHERE abs(x*(a/l) - x0*(a/l) + (y*(b/l) - y0*(b/l)) + (z*(c/l) - z0*(c/l))) <= 0.002 * e),
+cv AS (SELECT l_suppkey, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, covar_pop(x, x) AS xx, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz,
+  covar_pop(y, y) AS yy, covar_pop(y, z) AS yz, covar_pop(z, z) AS zz FROM inn GROUP BY 1),
+ev AS (SELECT *, (xx + yy + zz) / 3 AS q, xx*yy + yy*zz + zz*xx - xy*xy - xz*xz - yz*yz AS k2,
+  xx*(yy*zz - yz*yz) - xy*(xy*zz - yz*xz) + xz*(xy*yz - yy*xz) AS k3 FROM cv),
+lm AS (SELECT *, q + 2*sqrt(greatest(q*q - k2/3, 0))*cos((acos(greatest(-1, least(1, (2*q*q*q - q*k2 + k3) / (2*pow(greatest(q*q - k2/3, 1e-300), 1.5)))))
+  + 2*pi()) / 3) AS lam FROM ev),
+cs AS (SELECT *, [xy*yz - xz*(yy-lam), xz*xy - (xx-lam)*yz, (xx-lam)*(yy-lam) - xy*xy] AS u,
+  [xy*(zz-lam) - xz*yz, xz*xz - (xx-lam)*(zz-lam), (xx-lam)*yz - xy*xz] AS v, [(yy-lam)*(zz-lam) - yz*yz, yz*xz - xy*(zz-lam), xy*yz - (yy-lam)*xz] AS w FROM lm),
+ax AS (SELECT l_suppkey, mx, my, mz, CASE WHEN list_inner_product(u, u) >= list_inner_product(v, v) AND list_inner_product(u, u) >= list_inner_product(w, w) THEN u
+  WHEN list_inner_product(v, v) >= list_inner_product(w, w) THEN v ELSE w END AS n FROM cs),
+fi AS (SELECT l_suppkey, mx, my, mz, n[1] / sqrt(list_inner_product(n, n)) AS na, n[2] / sqrt(list_inner_product(n, n)) AS nb,
+  n[3] / sqrt(list_inner_product(n, n)) AS nc FROM ax),
+rs AS (SELECT l_suppkey, quantile_cont(abs((x-mx)*na + (y-my)*nb + (z-mz)*nc), 0.5) AS m FROM bo JOIN fi USING (l_suppkey) GROUP BY 1)
+SELECT a.l_suppkey, count(*) FILTER (fi.na IS NULL OR abs((x-mx)*na + (y-my)*nb + (z-mz)*nc) > greatest(3 * m, 0.0025 * e)) AS n_left
+FROM a JOIN ext USING (l_suppkey) LEFT JOIN fi USING (l_suppkey) LEFT JOIN rs USING (l_suppkey) GROUP BY a.l_suppkey""")
 def support_plane_removal(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem").select(
         "l_suppkey", F.xxhash64("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice").alias("point_idx"),

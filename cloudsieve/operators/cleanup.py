@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import dbl, hash_int, norm3
+from ..functions.expr import dbl, norm3
 from ..session import cut_lineage, spread
 from .neighbours import Block, Summary, neighbours
 from .prefix import ordered_totals, percentile_of
@@ -32,25 +33,29 @@ def extents(points: DataFrame, keys: Sequence[str]) -> DataFrame:
 def fit_planes(border: DataFrame, extent: DataFrame, keys: Sequence[str], seed: int = 0) -> DataFrame:
     """Plane of every cloud with at least 100 border points, by consensus: keys, pa, pb, pc, pw (unit normal).
 
-    A border ring is bounded by the image size, so one cloud's border fits one task.
+    Each trial takes three points by a hash of (seed, keys, trial, corner) in the order of z, y, x; the first trial with
+    most points near its plane is refitted to those points. A border ring is bounded by the image size, so one
+    cloud's border fits one task.
     """
     keys = list(keys)
     enough = border.groupBy(*keys).count().where(F.col("count") >= MIN_BORDER_POINTS).select(*keys)
     rows = border.join(enough, keys, "left_semi").join(extent, keys).select(
-        *keys, *[dbl(c).alias(c) for c in XYZ], "extent", hash_int(F.lit(str(seed)), *keys).alias("_rng"))
+        *keys, *[dbl(c).alias(c) for c in XYZ], "extent", F.concat_ws("|", F.lit(str(seed)), *keys).alias("_rng"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf[list(XYZ)].to_numpy()
         x = x[np.lexsort(x.T)]
-        rng = np.random.default_rng(int(pdf["_rng"].iloc[0]))
+        head = pdf["_rng"].iloc[0]
+        drawn = b"".join(md5(f"{head}|{t}|{j}".encode()).digest()[:4] for t in range(PLANE_TRIALS) for j in range(3))
         limit = PLANE_SHARE * float(pdf["extent"].iloc[0])
-        p = x[rng.integers(len(x), size=(PLANE_TRIALS, 3))]
+        p = x[np.floor(np.frombuffer(drawn, ">u4") / 4294967296.0 * len(x)).astype(np.int64).reshape(-1, 3)]
         n = np.cross(p[:, 1] - p[:, 0], p[:, 2] - p[:, 0])
-        length = np.linalg.norm(n, axis=1)
+        length = np.sqrt((n * n).sum(axis=1))
         n, p0 = n[length > 0] / length[length > 0, None], p[length > 0, 0]
         best, most = None, -1
         for s in range(0, len(n), 50):
-            d = np.abs(x @ n[s:s + 50].T - (n[s:s + 50] * p0[s:s + 50]).sum(axis=1)) <= limit
+            m = n[s:s + 50]
+            d = np.abs(sum(x[:, [k]] * m[:, k] - p0[s:s + 50, k] * m[:, k] for k in range(3))) <= limit
             hits = d.sum(axis=0)
             i = int(hits.argmax()) if len(hits) else 0
             if len(hits) and hits[i] > most:
