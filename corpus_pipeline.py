@@ -6,15 +6,11 @@ last return the columns of documents. Stages are written as Parquet and read aga
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudsieve.llm import exact_dedup, language_mixture, mixing, packing, simhash
-from cloudsieve.llm.common import quoted
+from cloudsieve.llm.common import quoted, written
 
 #: A document stays if one language has at least this share of it.
 LEAST_SHARE = 0.5
@@ -54,24 +50,9 @@ STAGES = [("language_id", language_id), ("exact_dedup", exact), ("simhash", near
 ORACLE_SQL = None
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder for stage outputs in the cluster's shared one; a temporary one in local sessions without any."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        shared = tempfile.mkdtemp(prefix="corpus-pipeline-")
-    return f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents of ``sf_dir``."""
-    folder, docs = _folder(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        path = os.path.join(folder, f"{k}-{name}")
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+    """Apply all stages to the documents of ``sf_dir``; between stages tables are written in the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
