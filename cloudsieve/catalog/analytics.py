@@ -114,6 +114,29 @@ def category_differences(spark, sf_dir):
     return rounded(A.category_differences(sample_scores(spark, sf_dir), "a", "b", B), "a", "b", "diff", "lo", "hi")
 
 
+@query("ranked_differences", f"""
+WITH {SCORES}, {PER},
+c AS (SELECT category, 100 * avg(auroc) FILTER (WHERE channel = 'a') - 100 * avg(auroc) FILTER (WHERE channel = 'b') AS diff FROM per GROUP BY ALL)
+SELECT category, round(diff, 6) AS diff, row_number() OVER (ORDER BY diff DESC NULLS LAST, category)::INTEGER AS place FROM c""")
+def ranked_differences(spark, sf_dir):
+    per = A.auroc_by(sample_scores(spark, sf_dir).where(F.col("channel").isin("a", "b")), ["seed", "category", "channel"])
+    only = lambda c: F.avg(F.when(F.col("channel") == c, F.col("auroc"))) * 100
+    d = per.groupBy("category").agg((only("a") - only("b")).alias("diff"))
+    return rounded(A.ranked_differences(d), "diff")
+
+
+@query("metric_choice", """
+WITH m AS (UNPIVOT (SELECT l_returnflag AS category, avg(l_quantity) AS o_auroc, avg(l_tax) AS p_auroc, avg(l_discount) AS p_aupr,
+  avg(l_extendedprice) AS n_test FROM lineitem GROUP BY 1) ON o_auroc, p_auroc, p_aupr, n_test INTO NAME metric VALUE value)
+SELECT category, metric, round(value, 6) AS value FROM m WHERE regexp_full_match(metric, '[op]_au(roc|pr)')""")
+def metric_choice(spark, sf_dir):
+    means = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("category")).agg(
+        F.avg("l_quantity").alias("o_auroc"), F.avg("l_tax").alias("p_auroc"), F.avg("l_discount").alias("p_aupr"),
+        F.avg("l_extendedprice").alias("n_test"))
+    long = means.unpivot("category", ["o_auroc", "p_auroc", "p_aupr", "n_test"], "metric", "value")
+    return rounded(A.choose_metrics(long, "[op]_au(roc|pr)"), "value")
+
+
 @query("operating_points", f"""
 WITH {SCORES}, o AS ({ap_sql('sc', 'seed, category, channel', 'label', 'score')})
 SELECT channel, round(100 * avg(fpr_at_95tpr), 6) AS fpr_at_95tpr, round(100 * avg(tpr_at_5fpr), 6) AS tpr_at_5fpr FROM o GROUP BY channel""")

@@ -87,6 +87,16 @@ def category_differences(scores: DataFrame, a: str, b: str, replicates: int, see
     return files.join(point, "category").withColumn("diff", F.col("a") - F.col("b")).join(ci, "category")
 
 
+def ranked_differences(differences: DataFrame, value: str = "diff", name: str = "category") -> DataFrame:
+    """Differences with their place in the report: largest first, ties by name, undefined ones last. One row per category."""
+    return differences.withColumn("place", F.row_number().over(Window.orderBy(F.col(value).desc_nulls_last(), name)))
+
+
+def choose_metrics(metrics: DataFrame, pattern: str) -> DataFrame:
+    """Rows of the long metric table whose whole name matches a regular expression."""
+    return metrics.where(F.col("metric").rlike(f"^(?:{pattern})$"))
+
+
 def significance_counts(differences: DataFrame) -> DataFrame:
     above, below = F.count_if(F.col("lo") > 0), F.count_if(F.col("hi") < 0)
     return differences.agg(above.alias("above"), below.alias("below"),
