@@ -280,7 +280,7 @@ def cloud_registration(spark, sf_dir):
 @query("tolerance_field")
 def tolerance_field(spark, sf_dir):
     frames = nation_clouds(spark, sf_dir).withColumn("obj", F.col("nation").cast("long"))
-    f = T.build_tolerance(frames, ["region"], "obj", 0.1, refine_frames=False)
+    f = T.build_tolerance(frames, ["region"], "obj", 0.1)
     names = [c for c in f.scalars.columns if c not in ("region", "n_surface")]
     return rounded(f.scalars, *names)
 
