@@ -23,6 +23,7 @@ REAL3D = ("airplane", "candybar", "car", "chicken", "diamond", "duck", "fish", "
 MVTEC = ("bagel", "cable_gland", "carrot", "cookie", "dowel", "foam", "peach", "potato", "rope", "tire")
 CATEGORIES = {"shapenet": SHAPENET, "real3d": REAL3D, "mvtec": MVTEC}
 FEW_SHOT = 4
+CUT_LAYOUTS = ("train_cut", "train/good/xyz")
 CUT_EXTENSIONS = (".asc", ".txt", ".xyz", ".pcd", ".ply", ".tif", ".tiff")
 
 
@@ -181,25 +182,29 @@ def load_test(spark: SparkSession, root: str, dataset: str, classes: Sequence[st
     raise ValueError(dataset)
 
 
+def _train_cuts(spark: SparkSession, root: str, classes: Sequence[str]) -> DataFrame:
+    """Listing (path, category) of single-view scans; one recursive listing serves all categories."""
+    found = C.list_files(spark, root, recursive=True)
+    ext = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(*CUT_EXTENSIONS)
+    tagged = found.where(ext).withColumn("_folder", F.regexp_replace("path", "/[^/]*$", ""))
+    order, category, base = None, None, root.rstrip("/")
+    for i, sub in enumerate(CUT_LAYOUTS):
+        name = F.regexp_extract("_folder", f"([^/]+)/{sub}$", 1)
+        here = F.col("_folder") == F.concat(F.lit(f"{base}/"), name, F.lit(f"/{sub}"))
+        rank = F.when(name != "", F.when(here, F.lit(f"{i}")).otherwise(F.concat(F.lit(f"{i + len(CUT_LAYOUTS)} "), F.col("_folder"))))
+        order = rank if order is None else F.coalesce(order, rank)
+        category = F.nullif(name, F.lit("")) if category is None else F.coalesce(category, F.nullif(name, F.lit("")))
+    tagged = tagged.withColumn("_o", order).withColumn("category", category).where(F.col("category").isin(*classes))
+    first = tagged.groupBy("category").agg(F.min("_o").alias("_o"))
+    return tagged.join(first, ["category", "_o"]).select("path", "category")
+
+
 def find_train_cuts(spark: SparkSession, root: str, category: str) -> DataFrame:
     """Single-view training scans of a category; the first layout that has files wins.
 
     Layouts: <category>/train_cut, <category>/train/good/xyz, then either anywhere below the root.
     """
-    found = C.list_files(spark, root, recursive=True)
-    ext = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(*CUT_EXTENSIONS)
-    folder = F.regexp_replace("path", "/[^/]*$", "")
-    base = root.rstrip("/")
-    layouts = ["train_cut", "train/good/xyz"]
-    rank = None
-    for i, sub in enumerate(layouts):
-        here = F.when(folder == f"{base}/{category}/{sub}", F.lit(f"{i}"))
-        below = F.when(folder.endswith(f"/{category}/{sub}"), F.concat(F.lit(f"{i + len(layouts)} "), folder))
-        rank = [*(rank or []), (here, below)]
-    order = F.coalesce(*[h for h, _ in rank], *[b for _, b in rank])
-    tagged = found.where(ext).withColumn("_o", order).where(F.col("_o").isNotNull())
-    first = tagged.agg(F.min("_o").alias("_o"))
-    out = tagged.join(F.broadcast(first), "_o").select("path").withColumn("category", F.lit(category))
+    out = _train_cuts(spark, root, [category])
     if out.isEmpty():
         raise FileNotFoundError(f"no training cut clouds for '{category}' under {root}")
     return out
@@ -207,11 +212,8 @@ def find_train_cuts(spark: SparkSession, root: str, category: str) -> DataFrame:
 
 def load_train_cuts(spark: SparkSession, root: str, classes: Sequence[str]) -> DataFrame:
     """Scans of all categories: category, cloud_id, path, cloud_rank, point_idx, x, y, z."""
-    listing = None
-    for c in classes:
-        one = find_train_cuts(spark, root, c)
-        listing = one if listing is None else listing.unionByName(one)
-    listing = cut_lineage(ranked(listing))
+    listing = cut_lineage(ranked(_train_cuts(spark, root, classes)))
+    _require(listing, classes, "training cut clouds")
     points = C.read_any(spark, [r["path"] for r in listing.select("path").collect()])
     return _name(points.join(listing, "path"))
 
