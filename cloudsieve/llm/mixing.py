@@ -14,6 +14,9 @@ from .common import WORD, fresh, quoted, text_of
 MOST_COPIES = 3
 WEIGHTS = (1, 2, 3)
 MOST_STEPS = 40
+#: Rates are rounded to this part of a copy.
+UNIT_BITS = 24
+UNIT = 1 << UNIT_BITS
 #: Passes that mend what rounding left over.
 REPAIRS = 3
 
@@ -67,9 +70,8 @@ def entropy_balance(masses: DataFrame, targets: DataFrame, most: int = MOST_COPI
         moved = F.col("mass") * F.col("tilt")
         free = F.when(F.col("multiplier") * F.col("tilt") <= math.log(most), moved * F.col("tilt") * rate).otherwise(0.0)
         sums = met.groupBy("source", "source_size", "target", "multiplier").agg(
-            F.sum(moved * rate).alias("got"), F.sum(free).alias("curve"),
-            F.sum(moved).alias("full"))
-        # a target at the cap is met where every rate is at the cap
+            F.sum(moved * rate).alias("got"), F.sum(free).alias("curve"))
+        # where every rate is at the cap there is nothing left to move
         step = F.when(F.col("curve") > 0, (F.col("target") - F.col("got")) / F.col("curve")).otherwise(0.0)
         step = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), step))
         error = F.abs(F.col("target") - F.col("got")) / F.greatest(F.col("target"), F.lit(1.0))
@@ -82,9 +84,9 @@ def entropy_balance(masses: DataFrame, targets: DataFrame, most: int = MOST_COPI
 
 
 def _copies(rows: DataFrame, most: int) -> DataFrame:
-    """Add ``copies`` to rows (source, size, target, rate, tag...): rates rounded in descending order of size.
+    """Add ``copies`` to rows (source, size, target, units, tag...): rates rounded in descending order of size.
 
-    A running sum of rates is rounded at each row, so a source's copies are never off by more than one half row of its
+    Rates are whole ``UNIT``s, so sums are exact however rows are dealt. A running sum of rates is rounded at each row, so a source's copies are never off by more than one half row of its
     current size. Rows are range-partitioned by (source, size, hash of the tag), whatever is hot; a running sum within a
     partition and the totals of (partition, source) before it give the place in the source.
     """
@@ -93,13 +95,14 @@ def _copies(rows: DataFrame, most: int) -> DataFrame:
     dealt = cut_lineage(dealt)
     order = Window.partitionBy("at", "source").orderBy(F.desc("size"), tag, "tag")
     dealt = dealt.withColumn("place", F.row_number().over(order)).withColumn(
-        "upto", F.sum("rate").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        "upto", F.sum("units").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     ahead = Window.partitionBy("source").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    totals = dealt.groupBy("at", "source").agg(F.sum("rate").alias("rates")).select(
-        "at", "source", F.coalesce(F.sum("rates").over(ahead), F.lit(0.0)).alias("before"))
+    totals = dealt.groupBy("at", "source").agg(F.sum("units").alias("rates")).select(
+        "at", "source", F.coalesce(F.sum("rates").over(ahead), F.lit(0)).alias("before"))
     joined = dealt.alias("d").join(totals.alias("t"), F.expr("d.at = t.at AND d.source <=> t.source")).select("d.*", "before")
     upto = F.col("before") + F.col("upto")
-    count = F.floor(upto + 0.5) - F.floor(upto - F.col("rate") + 0.5)
+    rounded = lambda x: F.shiftright(x + UNIT // 2, UNIT_BITS)
+    count = rounded(upto) - rounded(upto - F.col("units"))
     return joined.withColumn("copies", F.greatest(F.lit(0), F.least(F.lit(most), count)).cast("int"))
 
 
@@ -138,7 +141,7 @@ def mix_rows(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     targets = cut_lineage(source_targets(rows, weights, most))
     state = entropy_balance(rows.select("source", "tilt", F.col("size").alias("mass")), targets, most)
     rated = rows.alias("r").join(state.alias("s"), F.expr("r.source <=> s.source")).select(
-        "r.*", "source_size", "target", _rate("multiplier", "tilt", most).alias("rate"))
+        "r.*", "source_size", "target", F.round(_rate("multiplier", "tilt", most) * UNIT).cast("long").alias("units"))
     done = cut_lineage(_copies(rated, most))
     mended = _repairs(done, most).select(
         F.col("at").alias("_at"), F.col("place").alias("_place"), F.col("source").alias("_source"), "by")
