@@ -1,3 +1,4 @@
+import math
 import re
 from collections import defaultdict
 
@@ -70,3 +71,41 @@ def test_awkward_rows_and_mixture(frame):
 def test_native_plan(frame):
     plan = mixing.mix_sources(frame(AWKWARD))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("ratio", [2.118, 2.2, 2.5, 2.9, 2.999999])
+def test_targets_just_below_the_cap_are_met(spark, ratio):
+    # the first Newton step from 0 is ratio - 1 > ln 3, where all rates are at the cap and nothing is left to move
+    rows = spark.range(4000).selectExpr("'a' AS source", "2L + id % 7 AS size", "id AS tag")
+    size = rows.agg({"size": "sum"}).first()[0]
+    targets = spark.createDataFrame([("a", size, ratio * size)], "source string, source_size long, target double")
+    masses = rows.selectExpr("source", "1D AS tilt", "size AS mass")
+    state = mixing.entropy_balance(masses, targets).first()
+    assert math.exp(state.multiplier) == pytest.approx(ratio, rel=1e-9)
+
+
+def test_small_sources_beside_a_hot_one(frame):
+    rows = [(i, "w " * (3 + i % 5), "en", "a" if i % 3 == 0 else f"s{i % 19:02d}") for i in range(6000)]
+    got = mixing.mix_sources(frame(rows)).toPandas().groupby("source").agg(
+        size=("source_size", "first"), target=("target", "first"), taken=("taken", "sum"))
+    ratio = got.target / got["size"]
+    assert ((ratio > 1 + math.log(3)) & (ratio < 3)).any()
+    assert ((got.taken - got.target).abs() <= 7).all()
+
+
+def test_tilts_above_and_below_zero_meet_constraints(spark):
+    masses = [("a", 0.01, 500.0), ("a", 0.02, 300.0), ("b", 3.0, 70.0), ("b", 0.2, 40.0), ("c", -1.0, 60.0), ("c", 2.0, 80.0)]
+    want = {"a": 2.9 * 11, "b": 2.7 * 218, "c": 2.95 * 160 - 0.35 * 60}
+    frame = spark.createDataFrame(masses, "source string, tilt double, mass double")
+    targets = spark.createDataFrame([(s, 1, t) for s, t in want.items()], "source string, source_size long, target double")
+    state = {r.source: r.multiplier for r in mixing.entropy_balance(frame, targets).collect()}
+    for s, t in want.items():
+        got = sum(m * x * min(3.0, math.exp(min(2.0, state[s] * x))) for n, x, m in masses if n == s)
+        assert got == pytest.approx(t, rel=1e-9)
+
+
+def test_unreachable_target_raises(spark):
+    masses = spark.createDataFrame([("a", 1.0, 10.0)], "source string, tilt double, mass double")
+    targets = spark.createDataFrame([("a", 10, 31.0)], "source string, source_size long, target double")
+    with pytest.raises(ValueError, match="not met"):
+        mixing.entropy_balance(masses, targets)
