@@ -156,7 +156,8 @@ def _compare_batches(batches):
             rows = np.repeat(np.arange(at, stop), n)
             other = row_start[rows] + np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
             x, y = fp[other], fp[rows]
-            near = (x < y) & (np.bitwise_count(x ^ y) <= MAX_BITS)
+            # homes of one batch meet both ways, a held home meets a later one only here
+            near = ((x < y) | (other < carry)) & (x != y) & (np.bitwise_count(x ^ y) <= MAX_BITS)
             for a, b in zip(x[near].view(np.int64).tolist(), y[near].view(np.int64).tolist()):
                 forest.link(a, b)
             at = stop

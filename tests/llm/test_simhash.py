@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from conftest_llm import AWKWARD
 from pyspark.sql import functions as F
@@ -93,6 +94,32 @@ def test_sliced_anchor_links_all(spark, monkeypatch):
     assert sorted(x["count"] for x in got) == sorted(c for c in (roots.count(x) for x in set(roots)) if c > 1)
 
 
+@pytest.mark.parametrize("records", [1, 2, 3])
+def test_homes_of_one_anchor_in_many_batches(spark, records):
+    r = random.Random(records)
+    prints = set()
+    for _ in range(60):  # pairs whose low halves share a home, so that only their high halves tell them apart
+        high, low = r.getrandbits(32), r.getrandbits(32)
+        x = high << 32 | low
+        y = x
+        for b in r.sample(range(32, 64), 3):
+            y ^= 1 << b
+        prints |= {x, y}
+    prints |= {1 << b for b in range(40)}
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    prints = sorted(prints, reverse=True)
+    rows = spark.createDataFrame([(signed(p),) for p in prints], "fp long").coalesce(1)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, str(records))
+        got = simhash.components(simhash.links(rows), "a", "b").groupBy("root").count().collect()
+    finally:
+        spark.conf.set(name, before)
+    roots = plain_components(prints)
+    assert sorted(x["count"] for x in got) == sorted(c for c in (roots.count(x) for x in set(roots)) if c > 1)
+
+
 def test_dense_group_gives_a_forest(spark):
     prints = spark.range(2000).select((F.col("id") % 2048).alias("fp"))
     links = simhash.links(prints).count()
