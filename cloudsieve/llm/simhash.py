@@ -52,9 +52,8 @@ def fingerprint(text: str | None) -> int:
     """64-bit SimHash of the 3-word shingles, repeats included; 0 for a text without words."""
     import xxhash
     h = xxhash.xxh64_intdigest
-    ones, n, first = np.zeros(64, np.int64), 0, None
+    ones, n, words = np.zeros(64, np.int64), 0, []
     for words in _word_blocks((text or "").encode("utf-8", "surrogatepass").lower()):
-        first = words if first is None else first
         if len(words) < 3:
             continue
         hashes = np.fromiter(map(h, map(b" ".join, zip(words, words[1:], words[2:])), repeat(SEED)), np.uint64)
@@ -63,8 +62,8 @@ def fingerprint(text: str | None) -> int:
             bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             ones += bits.sum(0, dtype=np.int64)
         n += len(hashes)
-    if not n:
-        return h(b" ".join(first), SEED) if first else 0
+    if not n:  # under three words, so the last block has them all
+        return h(b" ".join(words), SEED) if words else 0
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 

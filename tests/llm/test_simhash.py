@@ -41,6 +41,14 @@ def test_fingerprint_matches_plain_definition(monkeypatch):
     assert [simhash.fingerprint(t) for t in texts] == [plain_print(t) for t in texts]
 
 
+def test_two_words_that_span_blocks(monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 64)
+    texts = ["x" * 100 + " tail", "x" * 100 + " other", "one" + " " * 200 + "two", " " * 100 + "a" + " " * 100 + "b" + " " * 100,
+             "x" * 100 + " " + "y" * 100 + " z"]
+    assert [simhash.fingerprint(t) for t in texts] == [plain_print(t) for t in texts]
+    assert simhash.fingerprint(texts[0]) != simhash.fingerprint(texts[1])
+
+
 def test_covering_reaches_every_pair(spark):
     r = random.Random(5)
     pairs = []
