@@ -119,9 +119,19 @@ _FIELDS = [("window", pa.int32()), ("formatted", pa.string()),
 _SCHEMA = "window int, formatted string, loss array<struct<start: long, end: long>>, repeated int, turns int, tokens long"
 
 
-def _window_batches(budget: int, history: int, tokenizer: str):
+def _token_batches(tokenizer: str):
+    """Rows (conv_id, turn, role, text) with the number of tokens of the formatted turn."""
     def run(batches):
         encode = encoder(tokenizer)
+        for batch in batches:
+            counts = [len(encode(Turn(escape_role(role.as_py()), escape(text.as_py()), False, 0).formatted))
+                      for role, text in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], names=[*batch.schema.names, "tokens"])
+    return run
+
+
+def _window_batches(budget: int, history: int):
+    def run(batches):
         kind, ids, rows, size = None, [], [], 0
         open_, conv = None, None
 
@@ -130,14 +140,13 @@ def _window_batches(budget: int, history: int, tokenizer: str):
             return pa.RecordBatch.from_arrays(arrays, names=["conv_id", *[n for n, _ in _FIELDS]])
         for batch in batches:
             kind = batch.column(0).type
-            for c, role, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for c, role, text, n in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 done = []
                 if open_ is None or c != conv:
                     if open_ is not None:
                         done += [(conv, w) for w in open_.cut(last=True)]
                     open_, conv = Windows(budget, history), c
                 safe, name = escape(text), escape_role(role)
-                n = len(encode(f"{START}{name}\n{safe}{END}\n"))
                 done += [(conv, w) for w in open_.add(Turn(name, safe, role == "assistant", n))]
                 for i, w in done:
                     ids.append(i)
@@ -166,16 +175,17 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, toke
     repeated ones are masked. Rows without conversation id form one conversation; repeated rows stay repeated turns; an
     empty table gives no windows. Extra columns are not read.
 
-    Rows are dealt and sorted by conversation, and a task streams through them: of a conversation, however long, it
-    holds 4,096 turns.
+    Tokens are counted where the rows are read. Rows are then dealt and sorted by conversation, and a task streams
+    through them with their counts: of a conversation, however long, it holds 4,096 turns.
     """
     rows = turns.select(
         F.col(quoted(conv_col)).alias("conv_id"), F.col(quoted(turn_col)).alias("turn"),
         F.coalesce(F.col(quoted(role_col)), F.lit("")).alias("role"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
-    kind = rows.schema["conv_id"].dataType.simpleString()
+    kind, order = (rows.schema[c].dataType.simpleString() for c in ("conv_id", "turn"))
+    rows = rows.mapInArrow(_token_batches(tokenizer), f"conv_id {kind}, turn {order}, role string, text string, tokens long")
     rows = rows.repartition(partitions(turns), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.select("conv_id", "role", "text").mapInArrow(
-        _window_batches(budget, history, tokenizer), f"conv_id {kind}, {_SCHEMA}")
+    return rows.select("conv_id", "role", "text", "tokens").mapInArrow(
+        _window_batches(budget, history), f"conv_id {kind}, {_SCHEMA}")
 
 
 def read_back(formatted: str, repeated: int, loss: list[dict]) -> tuple[list[tuple[str, str]], list[str]]:

@@ -56,6 +56,12 @@ def test_held_turns_do_not_change_windows(spark, monkeypatch):
     assert list(_all(C.Windows(200, 2), turns)) == whole and want
 
 
+def test_tokens_are_counted_before_a_conversation_meets(spark):
+    plan = C.windows(turns_of(spark, ROWS))._jdf.queryExecution().optimizedPlan().toString()
+    dealt = plan.index("RepartitionByExpression")
+    assert "MapInArrow" in plan[:dealt] and "MapInArrow" in plan[dealt:]
+
+
 def _all(cutter, turns):
     for t in turns:
         yield from cutter.add(t)
