@@ -189,19 +189,21 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mixture itself: every row of ``docs`` as often as it has copies, with all its columns."""
-    a, b, c, n, m, copy = fresh(docs, "_id_hash", "_text_hash", "_source_hash", "_turn", "_found_turn", "_copy")
+    """The mixture itself: every row of ``docs`` as often as it has copies, with all its columns.
+
+    Rows equal in id, text and source are interchangeable: of each such group it is counted how many rows have at least
+    1, 2, ... copies, and rows take copies by their turn. Their work grows with their number, but they meet in one task.
+    """
+    a, b, c, n, m, copy = fresh(docs, "_id_hash", "_text_hash", "_source_hash", "_turn", "_at_least", "_copy")
     turn = F.row_number().over(Window.partitionBy(a, b, c).orderBy(a))
-    found = mix_sources(docs, id_col, text_col, source_col).select(
-        F.xxhash64(F.col(quoted(id_col))).alias(a), F.col("text_hash").alias(b), F.xxhash64("source").alias(c), "copies")
-    found = found.withColumn(m, turn).where(F.col("copies") > 0).withColumnRenamed("copies", copy)
+    found = mix_sources(docs, id_col, text_col, source_col).where(F.col("copies") > 0).groupBy(
+        F.xxhash64(F.col(quoted(id_col))).alias(a), F.col("text_hash").alias(b), F.xxhash64("source").alias(c)).agg(
+        F.array(*[F.count_if(F.col("copies") >= i) for i in range(1, MOST_COPIES + 1)]).alias(m))
     keyed = docs.select(
         *[F.col(quoted(x)) for x in docs.columns], F.xxhash64(F.col(quoted(id_col))).alias(a),
         F.xxhash64(text_of(text_col)).alias(b), F.xxhash64(F.col(quoted(source_col)).cast("string")).alias(c)).withColumn(n, turn)
     # texts are dealt once, by the window's three hashes: the turn must not become a key of the join
-    same = (F.col(n) <= F.col(m)) & (F.col(n) >= F.col(m))
-    left, right = keyed.alias("l"), found.alias("r")
-    met = left.join(right, (F.col(f"l.{a}") == F.col(f"r.{a}")) & (F.col(f"l.{b}") == F.col(f"r.{b}"))
-                    & (F.col(f"l.{c}") == F.col(f"r.{c}")) & same)
+    met = keyed.alias("l").join(found.alias("r"), [F.col(f"l.{x}") == F.col(f"r.{x}") for x in (a, b, c)])
+    met = met.withColumn(copy, F.size(F.filter(m, lambda rows: rows >= F.col(n)))).where(F.col(copy) > 0)
     return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).select(
         *[F.col("l." + quoted(x)) for x in docs.columns])

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import pytest
 from conftest_llm import AWKWARD
+from pyspark.sql import functions as F
 
 from cloudsieve.llm import mixing
 
@@ -109,3 +110,14 @@ def test_unreachable_target_raises(spark):
     targets = spark.createDataFrame([("a", 10, 31.0)], "source string, source_size long, target double")
     with pytest.raises(ValueError, match="not met"):
         mixing.entropy_balance(masses, targets)
+
+
+def test_repeated_rows_are_not_paired(frame):
+    rows = [(1, "a b c", "en", "s")] * 300 + [(2 + i, "w " * (1 + i % 9), "en", "st"[i % 2]) for i in range(200)]
+    docs = frame(rows)
+    mixed = mixing.mixed(docs)
+    want = {r.doc_id: r.n for r in mixing.mix_sources(docs).groupBy("doc_id").agg(F.sum("copies").alias("n")).collect() if r.n}
+    assert {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == want
+    # every row meets one row of counts
+    plan = mixed._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any(x.strip(" :+-").startswith("Aggregate") and "_id_hash" in x and "_text_hash" in x for x in plan)
