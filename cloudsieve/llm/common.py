@@ -50,19 +50,26 @@ def documents(spark, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a compressed table in the shared folder, which cuts its lineage; gone when the application ends.
-
-    The folder is ``spark.checkpoint.dir``; only a local session that names none gets a temporary one.
-    """
-    spark = df.sparkSession
+def shared_folder(spark) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``; only a local session that names none gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         folder = tempfile.mkdtemp(prefix="cloudsieve-tables-")
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return folder.rstrip("/")
+
+
+def fleeting(spark, path: str) -> str:
+    """``path``, to be deleted when the application ends."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed table in the shared folder, which cuts its lineage; gone when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(fleeting(spark, path))
