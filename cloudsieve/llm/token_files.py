@@ -6,6 +6,7 @@ import re
 import uuid
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,63 +14,74 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fleeting, quoted, shared_folder, text_of, written
+from .common import fleeting, quoted, shared_folder, text_of
 
 TOKENIZER = "word_bpe_49k.json"
 END = 1
-#: Tokens of one shard, about; a document is not cut.
-SHARD_TOKENS = 1 << 24
+#: Bytes of text that become one shard, about; a document is not cut.
+SHARD_BYTES = 32 << 20
 #: Bytes of a row group and of a page before encoding.
 GROUP_BYTES = 8 << 20
 PAGE_BYTES = 128 << 10
-#: Distinct words whose ids a task keeps, and the longest kept.
-WORDS = 1 << 17
-WORD_LENGTH = 64
-_WORD = re.compile("[^\x20\x09-\x0d]+")
+#: Distinct pieces of text whose ids a Python worker keeps, across its tasks.
+PIECES = 1 << 19
+# Characters whose normal form, lower case and class are beyond doubt: white space, printable ASCII and Latin-1 letters.
+_OTHER = re.compile("[^\x09-\x0d\x20-\x7eÀ-ÿ]")
+# The pieces that this vocabulary encodes one by one, after lower-casing, for those characters.
+_PIECE = re.compile("[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\x09-\x0d\x20a-z0-9ß-öø-ÿ]+")
 #: Column encodings: each column by dictionary, or delta encoded without one.
 ENCODINGS = ("dictionary", "delta")
 
 
-def encoder(name: str = TOKENIZER, words: int = WORDS):
+class _Known(dict):
+    """piece -> its ids as bytes, encoded at first sight; forgets all when ``PIECES`` are reached."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece.isascii():  # what the vocabulary holds for these is the piece itself
+            ids = [t.id for t in self.tokenizer.model.tokenize(piece)]
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        if len(self) >= PIECES:
+            self.clear()
+        self[piece] = raw = np.array(ids, "<u4").tobytes()
+        return raw
+
+
+@lru_cache(maxsize=4)
+def encoder(name: str = TOKENIZER):
     """text -> ids of the named public tokenizer as little-endian unsigned 32-bit integers, without added special tokens.
 
-    No token and no normalisation of this vocabulary reaches across white space, so each word between white space is encoded once
-    and its ids are kept, ``words`` of them at most; words above ``WORD_LENGTH`` characters are encoded wherever they occur.
+    The default vocabulary is lower-case with word ends. It encodes runs of letters, digits, contractions and runs of signs one by
+    one, so each distinct piece is encoded once and its ids are kept, ``PIECES`` of them at most. Texts with characters beyond
+    printable ASCII and Latin-1 letters, or with what may be a special token, go to the library as a whole, as do all texts
+    under another vocabulary.
     """
     import public_tokenizers
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    known: dict[str, bytes] = {}
-
-    def ids_of(word: str) -> bytes:
-        return np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+    ids_of = _Known(tokenizer).__getitem__
 
     def encode(text: str) -> bytes:
-        out = []
-        for found in _WORD.finditer(text):
-            word = found.group()
-            ids = known.get(word)
-            if ids is None:
-                ids = ids_of(word)
-                if len(word) <= WORD_LENGTH:
-                    if len(known) >= words:
-                        known.clear()
-                    known[word] = ids
-            out.append(ids)
-        return b"".join(out)
+        if name != TOKENIZER or "<|" in text or _OTHER.search(text):
+            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(ids_of, _PIECE.findall(text.lower())))
     return encode
 
 
-def _encode_batches(name: str, end: int):
+def _shard_batches(name: str, end: int):
+    """Encodes the ordered documents of one shard and numbers its tokens."""
     def run(batches):
         encode, last = encoder(name), np.array([end], "<u4").tobytes()
+        place = 0
         for batch in batches:
-            ids, lengths, sums = [], [], []
-            for text in batch.column(1):
-                raw = encode(text.as_py()) + last
-                ids.append(raw)
-                lengths.append(len(raw) // 4)
-                sums.append(zlib.crc32(raw))
+            ids, sums = [], []
+            for text in batch.column("text"):
+                ids.append(encode(text.as_py()) + last)
+                sums.append(zlib.crc32(ids[-1]))
+            lengths = np.array([len(raw) // 4 for raw in ids], np.int64)
             ends = np.concatenate([[0], np.cumsum(lengths)])
             at = 0
             while at < len(lengths):  # list offsets are 32-bit
@@ -77,31 +89,14 @@ def _encode_batches(name: str, end: int):
                 flat = pa.array(np.frombuffer(b"".join(ids[at:to]), "<i4"))
                 lists = pa.ListArray.from_arrays(pa.array((ends[at:to + 1] - ends[at]).astype(np.int32)), flat)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, to - at), lists, pa.array(lengths[at:to], pa.int64()), pa.array(sums[at:to], pa.int64())],
-                    names=["id", "ids", "n_tokens", "crc"])
+                    [batch.column("id").slice(at, to - at), batch.column("shard").slice(at, to - at), pa.array(place + ends[at:to]),
+                     pa.array(lengths[at:to]), pa.array(sums[at:to], pa.int64()), lists],
+                    names=["doc_id", "shard", "start_in_shard", "n_tokens", "crc", "ids"])
                 at = to
+            place += int(ends[-1])
     return run
 
 
-def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end: int = END) -> DataFrame:
-    """(id, ids array<int>, n_tokens, crc): every whole text's ids and the end id; null texts are empty."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    src = docs.select(F.col(quoted(id_col)).alias("id"), text_of(text_col).alias("text"))
-    return src.mapInArrow(_encode_batches(tokenizer, end), f"id {kind}, ids array<int>, n_tokens long, crc long")
-
-
-def _placed(batches):
-    """Numbers the tokens of one shard in the order in which its documents come."""
-    at = 0
-    for batch in batches:
-        counts = batch.column("n_tokens").to_numpy()
-        starts = at + np.cumsum(counts) - counts
-        at += int(counts.sum())
-        yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("id", "shard")] + [pa.array(starts)]
-                                         + [batch.column(n) for n in ("n_tokens", "crc", "ids")],
-                                         names=["id", "shard", "start_in_shard", "n_tokens", "crc", "ids"])
-
-
 @dataclass(frozen=True)
 class TokenFiles:
     """A written token table: ``tokens`` (one row per document, one file per shard) and ``shards`` (first token of each shard)."""
@@ -154,32 +149,33 @@ def _options(encoding: str) -> dict[str, str]:
 
 
 def write(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER,
-          end: int = END, encoding: str = "dictionary", shard_tokens: int = SHARD_TOKENS) -> TokenFiles:
+          end: int = END, encoding: str = "dictionary", shard_bytes: int = SHARD_BYTES) -> TokenFiles:
     """Write the ids of every whole text, in ascending id order, as token files below ``path`` (default: a place in the shared
     folder that goes with the application).
 
-    Null texts are empty and hold the end id only. Null document ids come first; equal ids follow each other by number of
-    tokens, checksum and row, so equal rows keep places of their own. An empty table gives an empty file. Columns other than
-    id and text are not read, whatever their names.
+    Null texts are empty and hold the end id only. Null document ids come first; equal ids keep the order in which their rows are
+    read, so repeated rows have places of their own. An empty table gives an empty file. Columns other than id and text are not
+    read, whatever their names.
 
-    Texts are encoded once, where they are read. Ranges of (id, tokens, checksum, row) become shards, so that neither one id nor
-    repeated rows gather in a task; each is sorted and written by one task, which numbers its tokens from zero. The shards'
-    sizes are then read from the small columns, and only one row per shard is summed up. Ids take dictionary or
-    delta encoding, the other columns delta; row groups are ``GROUP_BYTES`` and pages ``PAGE_BYTES`` of data or 1,000 rows, and the
-    writer adds page indexes, so readers skip by document and by place.
+    Texts cross the network once, compressed, to ranges of (id, row): neither one id nor repeated rows gather in a task. A range is
+    sorted, encoded, numbered from zero and written by one task. The shards' sizes are then read from the small columns and
+    only one row per shard is summed up. Ids take dictionary or delta encoding, the other columns delta; row groups are
+    ``GROUP_BYTES`` and pages ``PAGE_BYTES`` of data or 1,000 rows, and the writer adds page indexes, so readers skip by document
+    and by place.
     """
     spark = docs.sparkSession
     options = _options(encoding)
     if path is None:
         path = fleeting(spark, f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}")
-    rows = written(encoded(docs, id_col, text_col, tokenizer, end).withColumn("row", F.monotonically_increasing_id()))
-    total = rows.agg(F.sum("n_tokens")).head()[0] or 0
-    order = [F.col("id").asc_nulls_first(), F.col("n_tokens"), F.col("crc"), F.col("row")]
-    ranged = rows.repartitionByRange(max(1, -(-total // shard_tokens)), *order).sortWithinPartitions(*order)
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), text_of(text_col).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    order = [F.col("id").asc_nulls_first(), F.col("row")]
+    ranged = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(-(-total // shard_bytes) or 1, *order)
     kind = rows.schema["id"].dataType.simpleString()
-    placed = ranged.withColumn("shard", F.spark_partition_id()).drop("row").mapInArrow(
-        _placed, f"id {kind}, shard int, start_in_shard long, n_tokens long, crc long, ids array<int>")
-    placed.withColumnRenamed("id", "doc_id").write.options(**options).parquet(f"{path}/tokens")
+    sorted_ = ranged.sortWithinPartitions(*order).select("id", F.spark_partition_id().alias("shard"), "text")
+    placed = sorted_.mapInArrow(_shard_batches(tokenizer, end),
+                                f"doc_id {kind}, shard int, start_in_shard long, n_tokens long, crc long, ids array<int>")
+    placed.write.options(**options).parquet(f"{path}/tokens")
     sizes = spark.read.parquet(f"{path}/tokens").groupBy("shard").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents"))
     known = sorted((r["shard"], r["tokens"], r["documents"]) for r in sizes.collect())
     first = np.concatenate([[0], np.cumsum([t for _, t, _ in known], dtype=np.int64)])
