@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import uuid
 import zlib
 from dataclasses import dataclass
@@ -37,16 +38,16 @@ class _Known(dict):
     """piece -> its ids as bytes, encoded at first sight; forgets all when ``PIECES`` are reached."""
 
     def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
+        self.merge = tokenizer.model.tokenize
+        self.spelled = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
 
     def __missing__(self, piece: str) -> bytes:
-        if piece.isascii():  # what the vocabulary holds for these is the piece itself
-            ids = [t.id for t in self.tokenizer.model.tokenize(piece)]
-        else:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        # the vocabulary spells bytes of ASCII as they are
+        tokens = self.merge(piece if piece.isascii() else self.spelled(piece)[0][0])
         if len(self) >= PIECES:
             self.clear()
-        self[piece] = raw = np.array(ids, "<u4").tobytes()
+        self[piece] = raw = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
         return raw
 
 
