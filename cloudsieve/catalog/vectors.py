@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..operators import channels as C
 from ..operators import memory as MEM
 from ..operators.greedy import farthest_first
-from ..operators.neighbours import min_distance, neighbours, radius_summary, smooth
+from ..operators.metric import min_distance
+from ..operators.neighbours import neighbours, radius_summary, smooth
 from .registry import query, r6, rounded, table
 
 MEMORY = """

@@ -205,14 +205,14 @@ def _split(df: DataFrame, keys: list[str], id_col: str, tile_rows: int) -> DataF
 
 
 def _block_join(q: DataFrame, r: DataFrame, keys: list[str], group: list[str], spec: Spec,
-                tile_rows: int, small_refs: bool, small_queries: bool = False) -> DataFrame:
+                tile_rows: int, small_refs: bool, small_queries: bool = False, query_rows: int | None = None) -> DataFrame:
     """Cogroup both sides on ``keys`` in blocks of bounded size and run the kernel on each block."""
     part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     repeat = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     if small_queries:
         q, r = q.withColumn("_qpart", F.lit(0)), r.withColumn("_n_qid", F.lit(1))
     else:
-        nq = _split(q, keys, "_qid", tile_rows)
+        nq = _split(q, keys, "_qid", query_rows or tile_rows)
         q = q.join(nq, keys).withColumn("_qpart", part("_qid", "_n_qid"))
         r = r.join(nq, keys)
     if small_refs:
@@ -268,6 +268,7 @@ def neighbours(
     tile_rows: int = TILE_ROWS,
     summary: bool = False,
     custom: Summary | None = None,
+    query_rows: int | None = None,
 ) -> DataFrame:
     """The k nearest references of every query inside its group, or all within ``radius``.
 
@@ -279,6 +280,7 @@ def neighbours(
 
     With ``custom`` blocks report what its function says, which a caller merges by qid; ``radius`` then only says
     which tiles to visit, and may name a column of the queries (infinite: all). Without ``pos`` every block is visited.
+    ``query_rows`` sets how many queries meet in a task where that is to differ from ``tile_rows``.
     """
     if k is None and radius is None:
         raise ValueError("either k or radius is needed")
@@ -317,8 +319,8 @@ def neighbours(
     most = {row["_side"]: row["n"] for row in sizes.collect()}
     largest = most.get("r", 0)
     if largest <= tile_rows:
-        whole = most.get("q", 0) <= tile_rows
-        return _block_join(q, r, by, group, spec, tile_rows, True, whole).drop("_part")
+        whole = most.get("q", 0) <= (query_rows or tile_rows)
+        return _block_join(q, r, by, group, spec, tile_rows, True, whole, query_rows).drop("_part")
     if not dims:
         return _block_join(q, r, by, group, spec, tile_rows, False).drop("_part")
     if custom is not None and not reach:
@@ -401,14 +403,6 @@ def radius_summary(queries: DataFrame, refs: DataFrame, radius: float, group: Se
     return part.groupBy(*group, "qid").agg(F.sum("n").alias("n"), F.max("dist").alias("reach"), nearest)
 
 
-def min_distance(queries: DataFrame, refs: DataFrame, group: Sequence[str], q_id: str, r_id: str,
-                 vec: tuple[str, str], exclude: tuple[str, str] | None = None, name: str = "dist",
-                 tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Distance of every query vector to its nearest reference vector in the group."""
-    near = neighbours(queries, refs, 1, group, q_id, r_id, vec=vec, exclude=exclude, tile_rows=tile_rows)
-    return near.select(*[c for c in group if c != q_id], F.col("qid").alias(q_id), F.col("dist").alias(name))
-
-
 def smooth(scores: DataFrame, near: DataFrame, group: Sequence[str], r_id: str, values: Sequence[str],
            q_id: str = "point_idx") -> DataFrame:
     """Mean of ``values`` over the neighbours of every query (point interpolation, self-smoothing)."""
