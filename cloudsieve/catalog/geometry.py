@@ -169,12 +169,6 @@ def cluster_clean_up(spark, sf_dir):
         "user_id", "point_idx")
 
 
-@query("surface_normals")
-def surface_normals(spark, sf_dir):
-    n = normals(cut_lineage(unit_event_clouds(spark, sf_dir)), ["user_id"], 10)
-    return rounded(n.select("user_id", "point_idx", "nx", "ny", "nz"), "nx", "ny", "nz")
-
-
 @query("normal_spread", f"""
 WITH {EVENT_POINTS},
 m AS (SELECT user_id, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM pt GROUP BY 1),
@@ -199,9 +193,92 @@ def normal_spread(spark, sf_dir):
     return near.groupBy("user_id", F.col("qid").alias("point_idx")).agg(F.round(F.greatest(F.var_pop(along), F.lit(0.0)), 5).alias("spread"))
 
 
-@query("cloud_descriptors")
+def _axis(lam: str, src: str, name: str, kept: str) -> str:
+    """CTEs that give the unit eigenvector (nx, ny, nz) of ``src``'s covariance for the eigenvalue ``lam``: the longest cross product of rows."""
+    return f"""
+{name}_c AS (SELECT *, {lam} AS la FROM {src}),
+{name}_x AS (SELECT *, xy*yz - xz*(yy-la) AS ux, xz*xy - (xx-la)*yz AS uy, (xx-la)*(yy-la) - xy*xy AS uz,
+  xy*(zz-la) - xz*yz AS vx, xz*xz - (xx-la)*(zz-la) AS vy, (xx-la)*yz - xy*xz AS vz,
+  (yy-la)*(zz-la) - yz*yz AS wx, yz*xz - xy*(zz-la) AS wy, xy*yz - (yy-la)*xz AS wz FROM {name}_c),
+{name}_l AS (SELECT *, ux*ux+uy*uy+uz*uz AS lu, vx*vx+vy*vy+vz*vz AS lv, wx*wx+wy*wy+wz*wz AS lw FROM {name}_x),
+{name} AS (SELECT {kept}, CASE WHEN lu >= lv AND lu >= lw THEN ux / sqrt(lu) WHEN lv >= lw THEN vx / sqrt(lv) ELSE wx / sqrt(lw) END AS nx,
+  CASE WHEN lu >= lv AND lu >= lw THEN uy / sqrt(lu) WHEN lv >= lw THEN vy / sqrt(lv) ELSE wy / sqrt(lw) END AS ny,
+  CASE WHEN lu >= lv AND lu >= lw THEN uz / sqrt(lu) WHEN lv >= lw THEN vz / sqrt(lv) ELSE wz / sqrt(lw) END AS nz FROM {name}_l)"""
+
+
+_MOMENTS = "user_id, pid, n, x, y, z, xx, xy, xz, yy, yz, zz"
+_QUOTIENT = "xx*nx*nx + yy*ny*ny + zz*nz*nz + 2*(xy*nx*ny + xz*nx*nz + yz*ny*nz)"
+
+
+def _oriented(neighbours_: int) -> str:
+    """CTEs from the event points to oriented ones: unit frame u, lists nn, normals o (a closed form and two steps that refine it)."""
+    return f"""
+mn AS (SELECT user_id, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM pt GROUP BY 1),
+sc AS (SELECT user_id, max(sqrt((x-mx)*(x-mx)+(y-my)*(y-my)+(z-mz)*(z-mz))) AS sc FROM pt JOIN mn USING (user_id) GROUP BY 1),
+u AS (SELECT user_id, pid, (x-mx)/sc AS x, (y-my)/sc AS y, (z-mz)/sc AS z FROM pt JOIN mn USING (user_id) JOIN sc USING (user_id)),
+pw AS (SELECT a.user_id, a.pid AS p, b.pid AS q, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz, a.x, a.y, a.z,
+  (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) AS d2 FROM u a JOIN u b USING (user_id)),
+nn AS (SELECT *, row_number() OVER (PARTITION BY user_id, p ORDER BY d2, q) AS rn FROM pw),
+cv AS (SELECT user_id, p AS pid, count(*) AS n, any_value(x) AS x, any_value(y) AS y, any_value(z) AS z, covar_pop(dx, dx) AS xx, covar_pop(dx, dy) AS xy,
+  covar_pop(dx, dz) AS xz, covar_pop(dy, dy) AS yy, covar_pop(dy, dz) AS yz, covar_pop(dz, dz) AS zz FROM nn WHERE rn <= {neighbours_} GROUP BY ALL),
+k3 AS (SELECT *, (xx + yy + zz) / 3 AS t, xx*yy + yy*zz + zz*xx - xy*xy - xz*xz - yz*yz AS k2,
+  xx*(yy*zz - yz*yz) - xy*(xy*zz - yz*xz) + xz*(xy*yz - yy*xz) AS kd FROM cv),
+kp AS (SELECT *, sqrt(greatest(t*t - k2 / 3, 1e-300)) AS h FROM k3),
+{_axis("t + 2*h*cos((acos(greatest(-1, least(1, (2*t*t*t - t*k2 + kd) / (2*h*h*h)))) + 2*pi()) / 3)", "kp", "e0", _MOMENTS)},
+{_axis(_QUOTIENT, "e0", "e1", _MOMENTS)}, {_axis(_QUOTIENT, "e1", "e2", _MOMENTS)},
+o AS (SELECT user_id, pid, x, y, z, CASE WHEN n < 3 THEN 0 ELSE g * nx END AS nx, CASE WHEN n < 3 THEN 0 ELSE g * ny END AS ny,
+  CASE WHEN n < 3 THEN CASE WHEN z < 0 THEN -1 ELSE 1 END ELSE g * nz END AS nz
+  FROM (SELECT *, CASE WHEN nx*x + ny*y + nz*z < 0 THEN -1 ELSE 1 END AS g FROM e2))"""
+
+
+@query("surface_normals", f"""
+WITH {EVENT_POINTS}, {_oriented(10)}
+SELECT user_id, pid AS point_idx, round(nx, 5) AS nx, round(ny, 5) AS ny, round(nz, 5) AS nz FROM o""")
+def surface_normals(spark, sf_dir):
+    n = normals(cut_lineage(unit_event_clouds(spark, sf_dir)), ["user_id"], 10)
+    return n.select("user_id", "point_idx", *[F.round(c, 5).alias(c) for c in ("nx", "ny", "nz")])
+
+
+@query("cloud_descriptors", f"""
+WITH RECURSIVE {EVENT_POINTS}, {_oriented(10)},
+li AS (SELECT user_id, p, q, d2, dx, dy, dz, rn FROM nn WHERE rn BETWEEN 2 AND 20),
+pa AS (SELECT l.*, a.nx AS ax, a.ny AS ay, a.nz AS az, b.nx AS bx, b.ny AS by_, b.nz AS bz, dx/r AS ex, dy/r AS ey, dz/r AS ez
+  FROM (SELECT *, CASE WHEN d2 > 0 THEN sqrt(d2) ELSE 1 END AS r FROM li) l
+  JOIN o a ON a.user_id = l.user_id AND a.pid = l.p JOIN o b ON b.user_id = l.user_id AND b.pid = l.q),
+pb AS (SELECT *, ax*ex + ay*ey + az*ez AS a, bx*ex + by_*ey + bz*ez AS b FROM pa),
+pc AS (SELECT *, abs(b) - abs(a) > 1e-9 AS sw FROM pb),
+pd AS (SELECT user_id, p, q, d2, rn, CASE WHEN sw THEN -b ELSE a END AS phi, CASE WHEN sw THEN -ex ELSE ex END AS ex, CASE WHEN sw THEN -ey ELSE ey END AS ey,
+  CASE WHEN sw THEN -ez ELSE ez END AS ez, CASE WHEN sw THEN bx ELSE ax END AS sx, CASE WHEN sw THEN by_ ELSE ay END AS sy, CASE WHEN sw THEN bz ELSE az END AS sz,
+  CASE WHEN sw THEN ax ELSE bx END AS tx, CASE WHEN sw THEN ay ELSE by_ END AS ty, CASE WHEN sw THEN az ELSE bz END AS tz FROM pc),
+pe AS (SELECT *, ey*sz - ez*sy AS vx0, ez*sx - ex*sz AS vy0, ex*sy - ey*sx AS vz0 FROM pd),
+pf AS (SELECT *, sqrt(vx0*vx0 + vy0*vy0 + vz0*vz0) AS le FROM pe),
+pg AS (SELECT *, d2 > 0 AND le > 1e-9 AS ok, vx0 / greatest(le, 1e-300) AS vx, vy0 / greatest(le, 1e-300) AS vy, vz0 / greatest(le, 1e-300) AS vz FROM pf),
+ph AS (SELECT user_id, p, q, d2, rn, CASE WHEN ok THEN atan2((sy*vz - sz*vy)*tx + (sz*vx - sx*vz)*ty + (sx*vy - sy*vx)*tz, sx*tx + sy*ty + sz*tz) ELSE 0 END AS theta,
+  CASE WHEN ok THEN vx*tx + vy*ty + vz*tz ELSE 0 END AS alpha, CASE WHEN ok THEN phi ELSE 0 END AS phi FROM pg),
+bi AS (SELECT user_id, p, q, rn, unnest([0, 11, 22]) AS o11,
+  unnest([least(10, greatest(0, floor(11 * (CASE WHEN theta < 1e-9 - pi() THEN pi() ELSE theta END + pi()) / (2 * pi())))), least(10, greatest(0, floor(11 * (alpha + 1) / 2))),
+          least(10, greatest(0, floor(11 * (phi + 1) / 2)))])::INTEGER AS bin FROM ph),
+si AS (SELECT user_id, p, s, 33 * s + o11 + bin AS dim, count(*) AS c FROM bi, (VALUES (0), (1)) t(s) WHERE rn <= 10 * (s + 1) GROUP BY ALL),
+le AS (SELECT user_id, p, s, count(*) AS m FROM li, (VALUES (0), (1)) t(s) WHERE rn <= 10 * (s + 1) GROUP BY ALL),
+sh AS (SELECT si.user_id, si.p, si.s, dim, 100.0::DOUBLE / m * c AS v FROM si JOIN le USING (user_id, p, s)),
+wf AS (SELECT li.user_id, li.p, s, dim, sum(v / d2) AS f FROM li JOIN sh ON sh.user_id = li.user_id AND sh.p = li.q AND rn <= 10 * (s + 1) WHERE d2 > 0 GROUP BY ALL),
+wt AS (SELECT *, sum(f) OVER (PARTITION BY user_id, p, dim // 11) AS tot FROM wf),
+ft AS (SELECT user_id, p, dim, sum(v) AS v FROM (SELECT user_id, p, dim, v FROM sh UNION ALL SELECT user_id, p, dim, f * 100 / tot FROM wt WHERE tot > 0) GROUP BY ALL),
+cnt AS (SELECT user_id, count(*) AS n, min(pid) AS f0 FROM u GROUP BY 1),
+fp AS (
+  SELECT 0 AS ord, pw.user_id, q AS pid, d2 AS mind, p AS picked, n FROM pw JOIN cnt USING (user_id) WHERE p = f0
+  UNION ALL
+  SELECT fp.ord + 1, fp.user_id, fp.pid, least(fp.mind, pw.d2), g.pid, fp.n FROM fp
+  JOIN (SELECT user_id, pid FROM (SELECT user_id, pid, row_number() OVER (PARTITION BY user_id ORDER BY mind DESC, pid) AS rk FROM fp) WHERE rk = 1) g USING (user_id)
+  JOIN pw ON pw.user_id = fp.user_id AND pw.p = g.pid AND pw.q = fp.pid WHERE fp.ord < least(16, fp.n) - 1),
+ce AS (SELECT DISTINCT user_id, ord, picked, n FROM fp)
+SELECT ce.user_id, ord::BIGINT AS center_idx, dim::INTEGER AS dim, round(sum(v) / any_value(least(8, ce.n)), 5) AS value
+FROM ce JOIN nn ON nn.user_id = ce.user_id AND nn.p = ce.picked AND nn.rn <= 8 JOIN ft ON ft.user_id = nn.user_id AND ft.p = nn.q GROUP BY ALL HAVING sum(v) > 0""")
 def cloud_descriptors(spark, sf_dir):
-    return sample_features(unit_event_clouds(spark, sf_dir), ["user_id"], 10, 2, 16, 8)
+    """Non-zero entries of the mean descriptor around every centre."""
+    out = sample_features(unit_event_clouds(spark, sf_dir), ["user_id"], 10, 2, 16, 8, kind="double")
+    out = out.select("user_id", "center_idx", F.posexplode("feat").alias("dim", "value")).where("value > 0")
+    return out.select("user_id", "center_idx", "dim", F.round("value", 5).alias("value"))
 
 
 @query("injected_defects")
