@@ -281,10 +281,29 @@ def cloud_descriptors(spark, sf_dir):
     return out.select("user_id", "center_idx", "dim", F.round("value", 5).alias("value"))
 
 
-@query("injected_defects")
+def _h01(*parts: str) -> str:
+    """Hashed uniform number in DuckDB."""
+    return f"(('0x' || substr(md5({" || '|' || ".join(parts)}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+@query("injected_defects", f"""
+WITH {EVENT_POINTS}, {_oriented(20)},
+dc AS (SELECT user_id, arg_min((x, y, z), md5('0|' || user_id || '|' || pid)) AS c FROM u GROUP BY 1),
+um AS (SELECT user_id, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM u GROUP BY 1),
+us AS (SELECT user_id, max(sqrt((x-mx)*(x-mx)+(y-my)*(y-my)+(z-mz)*(z-mz))) AS s0 FROM u JOIN um USING (user_id) GROUP BY 1),
+d0 AS (SELECT user_id, c, CASE WHEN s0 > 0 THEN s0 ELSE 1 END AS s FROM dc JOIN us USING (user_id)),
+dr AS (SELECT *, (0.04 + {_h01("'0'", "user_id", "'radius'")} * (0.12 - 0.04)) * s AS r,
+  CASE WHEN {_h01("'0'", "user_id", "'kind'")} < 0.5 THEN 1.0 ELSE -1.0 END AS g FROM d0),
+da AS (SELECT *, (0.25 + {_h01("'0'", "user_id", "'amplitude'")} * (0.6 - 0.25)) * r * g AS amp FROM dr),
+pw2 AS (SELECT o.*, r, amp, ((o.x-c[1])*(o.x-c[1]) + (o.y-c[2])*(o.y-c[2]) + (o.z-c[3])*(o.z-c[3])) / (r*r) AS q FROM o JOIN da USING (user_id)),
+we AS (SELECT *, greatest(1 - q, 0) * greatest(1 - q, 0) AS w FROM pw2),
+mv AS (SELECT *, CASE WHEN count(*) FILTER (w > 0) OVER (PARTITION BY user_id) >= 3 THEN amp * w ELSE 0 END AS d FROM we)
+SELECT user_id, pid AS point_idx, round(x + d * nx, 5) AS x, round(y + d * ny, 5) AS y, round(z + d * nz, 5) AS z,
+  (abs(d) * sqrt(nx*nx + ny*ny + nz*nz) > 0.01 * r)::INTEGER AS gt FROM mv""")
 def injected_defects(spark, sf_dir):
-    _, info = S.inject_defect(cut_lineage(unit_event_clouds(spark, sf_dir)), ["user_id"], 0)
-    return rounded(info, "radius", "amplitude", "frac")
+    """Every cloud with its surface pushed out or in around a drawn point, and the points that count as defect."""
+    out, _ = S.inject_defect(cut_lineage(unit_event_clouds(spark, sf_dir)), ["user_id"], 0)
+    return out.select("user_id", "point_idx", *[F.round(c, 5).alias(c) for c in P.XYZ], F.col("gt").cast("int").alias("gt"))
 
 
 @query("support_plane_removal", """
