@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import apply_pose
+from ..operators.descriptors import normals
 from ..operators.neighbours import neighbours
 from ..operators.prefix import ordered_totals, percentile_of
-from ..operators.preprocess import XYZ
-from ..operators.registration import Grid, _xyz, icp, pack, plane_normals
-from ..session import cut_lineage, spread
+from ..operators.preprocess import XYZ, voxel_centroid, with_index
+from ..operators.rigid import fit_to_planes
+from ..session import cut_lineage
 
-# Voxel, reach and iterations of the fine motion.
-FINE_VOXEL, FINE_REACH, FINE_ITERATIONS = 0.01, 0.03, 60
+# Voxel, reach and iterations of the fine motion, neighbours of a plane.
+FINE_VOXEL, FINE_REACH, FINE_ITERATIONS, PLANE_NEIGHBOURS = 0.01, 0.03, 60, 30
 SHARES = {"res_med": 0.5, "res_p90": 0.9, "res_p99": 0.99}
 
 
@@ -51,26 +50,17 @@ def leave_one_out(surface: DataFrame, group: Sequence[str], obj: str = "obj", id
 def fine_motion(clouds: DataFrame, surface: DataFrame, group: Sequence[str], cloud: str) -> DataFrame:
     """(group, cloud, pose, ref_rot_deg, ref_trans): what a point-to-plane refinement from the identity would still move.
 
-    A cloud and its reference are packed at the fine voxel, so a task holds one cloud of bounded detail at a time.
+    Both sides are reduced to the fine voxel first.
     """
     group = list(group)
-    level = {"points": 1.0}
-    src = pack(clouds, [*group, cloud], FINE_VOXEL, level)
-    tgt = pack(surface, group, FINE_VOXEL, level).withColumnRenamed("points", "surface")
-    joined = src.join(tgt, group)
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            poses = []
-            for points, target in zip(pdf["points"], pdf["surface"]):
-                y = _xyz(target)
-                poses.append(icp(_xyz(points), Grid(y, FINE_REACH), plane_normals(y, 4 * FINE_VOXEL), np.eye(4), FINE_ITERATIONS)[0])
-            turn = [np.degrees(np.arccos(np.clip((np.trace(t[:3, :3]) - 1) / 2, -1, 1))) for t in poses]
-            yield pdf[[*group, cloud]].assign(
-                pose=[t.ravel() for t in poses], ref_rot_deg=turn, ref_trans=[float(np.linalg.norm(t[:3, 3])) for t in poses])
-
-    head = ", ".join(f"{k} {src.schema[k].dataType.simpleString()}" for k in [*group, cloud])
-    return spread(joined, *group, cloud).mapInPandas(run, f"{head}, pose array<double>, ref_rot_deg double, ref_trans double")
+    keys = [*group, cloud]
+    src = cut_lineage(with_index(voxel_centroid(clouds, keys, FINE_VOXEL)))
+    held = cut_lineage(with_index(voxel_centroid(surface, group, FINE_VOXEL)))
+    held = cut_lineage(normals(held, group, PLANE_NEIGHBOURS, 4 * FINE_VOXEL))
+    fits = fit_to_planes(src, held, keys, group, FINE_REACH, FINE_ITERATIONS)
+    at = lambda i: F.col("pose")[i]
+    turn = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (at(0) + at(5) + at(10) - 1) / 2))))
+    return fits.select(*keys, "pose", turn.alias("ref_rot_deg"), F.sqrt(at(3) * at(3) + at(7) * at(7) + at(11) * at(11)).alias("ref_trans"))
 
 
 def alignment_diagnostic(clouds: DataFrame, surface: DataFrame, group: Sequence[str] = ("category",), cloud: str = "cloud_id",
