@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.expr import hash01
 from ..operators import cleanup as CL
 from ..operators import preprocess as P
 from ..operators import registration as R
+from ..operators import rigid as RG
 from ..operators import synth as S
 from ..operators import tolerance as T
 from ..operators.descriptors import normals, sample_features
@@ -210,8 +212,21 @@ _MOMENTS = "user_id, pid, n, x, y, z, xx, xy, xz, yy, yz, zz"
 _QUOTIENT = "xx*nx*nx + yy*ny*ny + zz*nz*nz + 2*(xy*nx*ny + xz*nx*nz + yz*ny*nz)"
 
 
-def _oriented(neighbours_: int) -> str:
-    """CTEs from the event points to oriented ones: unit frame u, lists nn, normals o (a closed form and two steps that refine it)."""
+def _normals(moments: str, kept: str, sign: str, few: str = "1") -> str:
+    """CTEs from covariances (``moments``) to oriented points o: a closed form of the eigenvector and two steps that refine it."""
+    return f"""
+k3 AS (SELECT *, (xx + yy + zz) / 3 AS t, xx*yy + yy*zz + zz*xx - xy*xy - xz*xz - yz*yz AS k2,
+  xx*(yy*zz - yz*yz) - xy*(xy*zz - yz*xz) + xz*(xy*yz - yy*xz) AS kd FROM {moments}),
+kp AS (SELECT *, sqrt(greatest(t*t - k2 / 3, 1e-300)) AS h FROM k3),
+{_axis("t + 2*h*cos((acos(greatest(-1, least(1, (2*t*t*t - t*k2 + kd) / (2*h*h*h)))) + 2*pi()) / 3)", "kp", "e0", kept)},
+{_axis(_QUOTIENT, "e0", "e1", kept)}, {_axis(_QUOTIENT, "e1", "e2", kept)},
+o AS (SELECT * EXCLUDE (nx, ny, nz, g, n, xx, xy, xz, yy, yz, zz), CASE WHEN n < 3 THEN 0 ELSE g * nx END AS nx, CASE WHEN n < 3 THEN 0 ELSE g * ny END AS ny,
+  CASE WHEN n < 3 THEN {few} ELSE g * nz END AS nz
+  FROM (SELECT *, CASE WHEN {sign} < 0 THEN -1 ELSE 1 END AS g FROM e2))"""
+
+
+def _oriented(neighbours_: int, few: str = "1") -> str:
+    """CTEs from the event points to oriented ones: unit frame u, lists nn, normals o."""
     return f"""
 mn AS (SELECT user_id, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM pt GROUP BY 1),
 sc AS (SELECT user_id, max(sqrt((x-mx)*(x-mx)+(y-my)*(y-my)+(z-mz)*(z-mz))) AS sc FROM pt JOIN mn USING (user_id) GROUP BY 1),
@@ -221,14 +236,7 @@ pw AS (SELECT a.user_id, a.pid AS p, b.pid AS q, b.x - a.x AS dx, b.y - a.y AS d
 nn AS (SELECT *, row_number() OVER (PARTITION BY user_id, p ORDER BY d2, q) AS rn FROM pw),
 cv AS (SELECT user_id, p AS pid, count(*) AS n, any_value(x) AS x, any_value(y) AS y, any_value(z) AS z, covar_pop(dx, dx) AS xx, covar_pop(dx, dy) AS xy,
   covar_pop(dx, dz) AS xz, covar_pop(dy, dy) AS yy, covar_pop(dy, dz) AS yz, covar_pop(dz, dz) AS zz FROM nn WHERE rn <= {neighbours_} GROUP BY ALL),
-k3 AS (SELECT *, (xx + yy + zz) / 3 AS t, xx*yy + yy*zz + zz*xx - xy*xy - xz*xz - yz*yz AS k2,
-  xx*(yy*zz - yz*yz) - xy*(xy*zz - yz*xz) + xz*(xy*yz - yy*xz) AS kd FROM cv),
-kp AS (SELECT *, sqrt(greatest(t*t - k2 / 3, 1e-300)) AS h FROM k3),
-{_axis("t + 2*h*cos((acos(greatest(-1, least(1, (2*t*t*t - t*k2 + kd) / (2*h*h*h)))) + 2*pi()) / 3)", "kp", "e0", _MOMENTS)},
-{_axis(_QUOTIENT, "e0", "e1", _MOMENTS)}, {_axis(_QUOTIENT, "e1", "e2", _MOMENTS)},
-o AS (SELECT user_id, pid, x, y, z, CASE WHEN n < 3 THEN 0 ELSE g * nx END AS nx, CASE WHEN n < 3 THEN 0 ELSE g * ny END AS ny,
-  CASE WHEN n < 3 THEN CASE WHEN z < 0 THEN -1 ELSE 1 END ELSE g * nz END AS nz
-  FROM (SELECT *, CASE WHEN nx*x + ny*y + nz*z < 0 THEN -1 ELSE 1 END AS g FROM e2))"""
+{_normals("cv", _MOMENTS, "nx*x + ny*y + nz*z", few)}"""
 
 
 @query("surface_normals", f"""
@@ -240,7 +248,7 @@ def surface_normals(spark, sf_dir):
 
 
 @query("cloud_descriptors", f"""
-WITH RECURSIVE {EVENT_POINTS}, {_oriented(10)},
+WITH RECURSIVE {EVENT_POINTS}, {_oriented(10, "CASE WHEN z < 0 THEN -1 ELSE 1 END")},
 li AS (SELECT user_id, p, q, d2, dx, dy, dz, rn FROM nn WHERE rn BETWEEN 2 AND 20),
 pa AS (SELECT l.*, a.nx AS ax, a.ny AS ay, a.nz AS az, b.nx AS bx, b.ny AS by_, b.nz AS bz, dx/r AS ex, dy/r AS ey, dz/r AS ez
   FROM (SELECT *, CASE WHEN d2 > 0 THEN sqrt(d2) ELSE 1 END AS r FROM li) l
@@ -381,6 +389,74 @@ def tolerance_field(spark, sf_dir):
     return rounded(f.scalars, *names)
 
 
+@query("rigid_fit_recovery", f"""
+WITH {EVENT_POINTS}, n AS (SELECT user_id FROM pt GROUP BY 1 HAVING count(*) >= 50),
+m AS (SELECT user_id, ({_h01("'0'", "user_id", "'turn'")} - 0.5) * 0.02 AS a, ({_h01("'0'", "user_id", "'x'")} - 0.5) * 0.01 AS x,
+  ({_h01("'0'", "user_id", "'y'")} - 0.5) * 0.01 AS y, ({_h01("'0'", "user_id", "'z'")} - 0.5) * 0.01 AS z FROM n),
+p AS (SELECT user_id, unnest(range(12)) AS place, unnest([cos(a), sin(a), 0, -(cos(a)*x + sin(a)*y), -sin(a), cos(a), 0, sin(a)*x - cos(a)*y, 0, 0, 1, -z]) AS v FROM m)
+SELECT user_id, place::INTEGER AS place, round(v, 4) + 0.0 AS value, 1.0::DOUBLE AS fitness, 0.0::DOUBLE AS rmse FROM p""")
+def rigid_fit_recovery(spark, sf_dir):
+    """Every cloud is moved by a drawn rotation and shift and fitted back to itself in rounds: the pose is the inverse motion."""
+    cloud = unit_event_clouds(spark, sf_dir)
+    cloud = cut_lineage(cloud.join(cloud.groupBy("user_id").count().where("count >= 50").select("user_id"), "user_id"))
+    drawn = lambda t: hash01(F.lit("0"), F.col("user_id"), F.lit(t)) - 0.5
+    a = drawn("turn") * 0.02
+    x, y, z = (F.col(c) for c in P.XYZ)
+    moved = cloud.withColumns({"x": F.cos(a) * x - F.sin(a) * y + drawn("x") * 0.01, "y": F.sin(a) * x + F.cos(a) * y + drawn("y") * 0.01,
+                               "z": z + drawn("z") * 0.01})
+    fits = RG.fit_to_planes(moved, normals(cloud, ["user_id"], 10), ["user_id"], ["user_id"], 0.05, 30, whole=0)
+    entry = fits.select("user_id", F.posexplode("pose").alias("place", "v"), "fitness", "rmse").where("place < 12")
+    return entry.select("user_id", "place", (F.round("v", 4) + 0.0).alias("value"), F.round("fitness", 4).alias("fitness"),
+                        F.round("rmse", 4).alias("rmse"))
+
+
+_KEPT = "region, nation, pid, n, x, y, z, gx, gy, gz, xx, xy, xz, yy, yz, zz"
+_D2 = "(a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)"
+
+
+@query("prototype_tolerance", f"""
+WITH ln AS (SELECT n_regionkey AS region, n_nationkey AS nation, l_quantity AS x, l_extendedprice / 1000 AS y, l_discount * 100 AS z
+  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey),
+mn AS (SELECT region, nation, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM ln GROUP BY ALL),
+sc AS (SELECT region, nation, max(sqrt((x-mx)*(x-mx)+(y-my)*(y-my)+(z-mz)*(z-mz))) AS sc FROM ln JOIN mn USING (region, nation) GROUP BY ALL),
+u AS (SELECT region, nation, (x-mx)/sc AS x, (y-my)/sc AS y, (z-mz)/sc AS z FROM ln JOIN mn USING (region, nation) JOIN sc USING (region, nation)),
+lo AS (SELECT region, nation, min(x) AS lx, min(y) AS ly, min(z) AS lz FROM u GROUP BY ALL),
+ce AS (SELECT region, nation, floor((x - (lx - 0.1)) / 0.2)::BIGINT AS i, floor((y - (ly - 0.1)) / 0.2)::BIGINT AS j, floor((z - (lz - 0.1)) / 0.2)::BIGINT AS k,
+  avg(x) AS x, avg(y) AS y, avg(z) AS z FROM u JOIN lo USING (region, nation) GROUP BY ALL),
+v AS (SELECT region, nation, row_number() OVER (ORDER BY region, nation, i, j, k) AS pid, x, y, z FROM ce),
+pw AS (SELECT a.region, a.nation, b.nation AS other, a.pid AS p, b.pid AS q, {_D2} AS d2 FROM v a JOIN v b USING (region)),
+nn AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY d2, q) AS rn FROM pw WHERE nation = other),
+g AS (SELECT region, nation, avg(x) AS gx, avg(y) AS gy, avg(z) AS gz FROM v GROUP BY ALL),
+cv AS (SELECT region, nation, p AS pid, count(*) AS n, any_value(a.x) AS x, any_value(a.y) AS y, any_value(a.z) AS z, any_value(gx) AS gx, any_value(gy) AS gy,
+  any_value(gz) AS gz, covar_pop(b.x-a.x, b.x-a.x) AS xx, covar_pop(b.x-a.x, b.y-a.y) AS xy, covar_pop(b.x-a.x, b.z-a.z) AS xz,
+  covar_pop(b.y-a.y, b.y-a.y) AS yy, covar_pop(b.y-a.y, b.z-a.z) AS yz, covar_pop(b.z-a.z, b.z-a.z) AS zz
+  FROM nn JOIN (SELECT pid AS p, x, y, z FROM v) a USING (p) JOIN (SELECT pid AS q, x, y, z FROM v) b USING (q) JOIN g USING (region, nation)
+  WHERE rn <= 20 AND sqrt(d2) <= 0.8 GROUP BY ALL),
+{_normals("cv", _KEPT, "nx*(x-gx) + ny*(y-gy) + nz*(z-gz)")},
+sp AS (SELECT region, nation AS other, greatest(quantile_cont(sqrt(d2), 0.5), 0.2) AS spacing FROM nn WHERE rn = 2 GROUP BY ALL),
+ot AS (SELECT region, other, p, arg_min(q, (d2, q)) AS q FROM pw WHERE nation <> other GROUP BY ALL),
+od AS (SELECT ot.region, ot.p, spacing, abs((a.x-b.x)*b.nx + (a.y-b.y)*b.ny + (a.z-b.z)*b.nz) AS off, {_D2} AS d2
+  FROM ot JOIN o a ON a.pid = ot.p JOIN o b ON b.pid = ot.q JOIN sp ON sp.region = ot.region AND sp.other = ot.other),
+lo2 AS (SELECT p, min(off + greatest(sqrt(greatest(d2 - off*off, 0)) - spacing, 0)) AS loo FROM od GROUP BY 1),
+su AS (SELECT v.*, coalesce(loo, 0) AS loo FROM v LEFT JOIN lo2 ON p = pid),
+ar AS (SELECT p, q, d2, row_number() OVER (PARTITION BY p ORDER BY d2, q) AS rn FROM pw),
+sg AS (SELECT ar.p AS pid, avg(loo) AS sigma FROM ar JOIN su ON su.pid = ar.q WHERE rn <= 16 GROUP BY 1),
+al AS (SELECT region, nation, loo, sigma, pid FROM su JOIN sg USING (pid)),
+ws AS (SELECT region, greatest(quantile_cont(d, 0.5), 0.2) AS spacing FROM (SELECT region, ar.p, min(sqrt(d2)) AS d FROM ar JOIN v ON v.pid = ar.p WHERE rn = 2 GROUP BY ALL) GROUP BY 1),
+st AS (SELECT region, count(DISTINCT nation) AS k, avg(loo) AS m, quantile_cont(sigma, 0.5) AS s50, quantile_cont(sigma, 0.9) AS s90, count(*) AS n FROM al GROUP BY 1),
+ep AS (SELECT st.*, spacing, CASE WHEN k > 1 AND s50 > 0 THEN s50 ELSE 0.2 END AS eps, CASE WHEN k > 1 AND m > 0 THEN m ELSE spacing END AS uniform FROM st JOIN ws USING (region)),
+uu AS (SELECT region, loo / (sigma + eps) AS u FROM al JOIN ep USING (region)),
+ur AS (SELECT region, avg(u) AS u_mean, stddev_pop(u) AS u_std, quantile_cont(u, 0.99) AS u_p99 FROM uu GROUP BY 1)
+SELECT region, n AS n_surface, round(spacing, 5) AS spacing, round(s50, 5) AS sigma_median, round(s90, 5) AS sigma_p90, round(eps, 5) AS eps, round(uniform, 5) AS uniform,
+  round(u_mean, 5) AS u_mean, round(u_std, 5) AS u_std, round(u_p99, 5) AS u_p99 FROM ep JOIN ur USING (region)""")
+def prototype_tolerance(spark, sf_dir):
+    """Tolerance of every region from its nations' clouds as they stand, without a fine motion between them."""
+    frames = nation_clouds(spark, sf_dir).withColumn("obj", F.col("nation").cast("long"))
+    f = T.build_tolerance(frames, ["region"], "obj", 0.2, refine_frames=False)
+    names = ["spacing", "sigma_median", "sigma_p90", "eps", "uniform", "u_mean", "u_std", "u_p99"]
+    return f.scalars.select("region", "n_surface", *[F.round(c, 5).alias(c) for c in names])
+
+
 @query("anomaly_benchmark")
 def anomaly_benchmark(spark, sf_dir):
     """Suppliers in good standing train the memory, the others are tested; category is the line status."""
