@@ -13,6 +13,7 @@ from ..functions import pooling
 from ..functions.expr import hash01
 from ..plans import analytics as A
 from ..plans import selection as S
+from ..plans.bootstrap import MIX, STEPS
 from .detection import ap_sql, auroc_sql
 from .registry import query, r6, rounded, table
 
@@ -79,11 +80,27 @@ def category_seed_report(spark, sf_dir):
 
 
 B = 2000
+
+
+def _mixed_sql(src: str, h: str, kept: str) -> str:
+    """Subquery with the 32-bit number ``h`` of ``src`` mixed, as ``v``."""
+    return f"""(SELECT {kept}, xor(d, d // 65536) AS v FROM (SELECT *, (c * {MIX[1]}) % 4294967296 AS d FROM (SELECT *, xor(b2, b2 // 8192) AS c
+    FROM (SELECT *, (a2 * {MIX[0]}) % 4294967296 AS b2 FROM (SELECT *, xor(h0, h0 // 65536) AS a2 FROM (SELECT *, (({h}) % 4294967296)::UBIGINT AS h0 FROM {src}))))))"""
+
+
+def draws_sql(strata: str, kept: str, text: str) -> str:
+    """Subquery (kept, b, idx): the position of every draw of every replicate of strata of up to one part (kept, n)."""
+    base = f"(SELECT *, ('0x' || substr(md5('0|' || {text}), 1, 8))::UBIGINT AS h FROM {strata}, range(1, {B + 1}) t(b))"
+    first = _mixed_sql(base, f"h + b::UBIGINT * {STEPS['b']}", f"{kept}, n, b")
+    each = f"(SELECT *, unnest(range(n)) AS i FROM {first})"
+    return f"(SELECT {kept}, b, floor(v / 4294967296.0::DOUBLE * n)::BIGINT AS idx FROM {_mixed_sql(each, 'v::UBIGINT + i::UBIGINT * %d' % STEPS['draw'], f'{kept}, n, b')})"
+
+
 BOOT = f"""
 mem AS (SELECT category, label, file, row_number() OVER (PARTITION BY category, label ORDER BY md5(file::VARCHAR), file) - 1 AS idx,
   count(*) OVER (PARTITION BY category, label) AS n FROM (SELECT DISTINCT category, label, file FROM sc)),
-drw AS (SELECT b, category, label, floor(('0x' || substr(md5('0|' || b || '|' || category || '|' || label || '|' || idx), 1, 8))::BIGINT
-   / 4294967296.0::DOUBLE * n)::BIGINT AS idx FROM mem, range(1, {B + 1}) t(b)),
+stz AS (SELECT DISTINCT category, label, n FROM mem),
+drw AS (SELECT * FROM {draws_sql("stz", "category, label", "category || '|' || label")}),
 bs AS (SELECT b, seed, category, channel, label, score FROM drw JOIN mem USING (category, label, idx) JOIN sc USING (category, label, file)),
 ba AS ({auroc_sql('bs', 'b, seed, category, channel', 'label', 'score')})"""
 
@@ -341,8 +358,7 @@ d AS (SELECT a.key AS option, a.dataset, a.unit, a.auroc - r.auroc AS diff FROM
   WHERE a.key LIKE '%\\_p99' ESCAPE '\\' AND r.key = best.k AND a.key <> best.k AND a.auroc - r.auroc IS NOT NULL),
 mm AS (SELECT *, row_number() OVER (PARTITION BY option, dataset ORDER BY md5(unit), unit) - 1 AS idx,
   count(*) OVER (PARTITION BY option, dataset) AS n FROM d),
-dr AS (SELECT b, option, dataset, floor(('0x' || substr(md5('0|' || b || '|' || dataset || '|' || idx), 1, 8))::BIGINT
-  / 4294967296.0::DOUBLE * n)::BIGINT AS idx FROM mm, range(1, {B + 1}) t(b)),
+sz AS (SELECT DISTINCT option, dataset, n FROM mm), dr AS (SELECT * FROM {draws_sql("sz", "option, dataset", "dataset")}),
 e AS (SELECT b, option, dataset, 100 * avg(diff) AS m FROM dr JOIN mm USING (option, dataset, idx) GROUP BY ALL),
 g AS (SELECT b, option, avg(m) AS m FROM e GROUP BY ALL)
 SELECT option, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM g GROUP BY option""")

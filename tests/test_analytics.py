@@ -57,19 +57,85 @@ def test_significance_and_round_robin(spark):
     assert [r.worker for r in A.round_robin(j, "job", 2).orderBy("job").collect()] == [0, 1, 0, 1, 0]
 
 
-def test_bootstrap_weights_and_blocks(spark, monkeypatch):
+def test_small_strata_draw_by_hash():
     import hashlib
 
     import numpy as np
 
     from cloudsieve.plans import bootstrap as B
-    w = B.draw_weights("c|1", 7, 3, 5, 0)
+
+    def mix(h):
+        h ^= h >> 16
+        h = h * B.MIX[0] % 2**32
+        h ^= h >> 13
+        h = h * B.MIX[1] % 2**32
+        return h ^ h >> 16
     want = np.zeros((7, 3), int)
     for b in (3, 4, 5):
+        h = mix((int(hashlib.md5(b"0|c|1").hexdigest()[:8], 16) + b * B.STEPS["b"]) % 2**32)
         for i in range(7):
-            h = int(hashlib.md5(f"0|{b}|c|1|{i}".encode()).hexdigest()[:8], 16)
-            want[int(h / 4294967296.0 * 7), b - 3] += 1
-    assert (w == want).all()
+            want[int(mix((h + i * B.STEPS["draw"]) % 2**32) / 4294967296.0 * 7), b - 3] += 1
+    assert (B.draw_weights("c|1", 7, 3, 5, 0) == want).all()
+
+
+def test_parts_of_a_large_stratum_make_up_its_draws():
+    """Every replicate draws n times in all; weights look multinomial, within and between parts and replicates."""
+    import numpy as np
+
+    from cloudsieve.plans import bootstrap as B
+    n, reps = 1003, 400
+    assert B.parts_of(n, 40) == 32 and B.parts_of(40, 40) == 1 and B.parts_of(41, 40) == 2
+    w = np.concatenate([B.draw_weights("c|0", n, 1, reps, 5, p, 40) for p in range(32)]).astype(int)
+    assert w.shape == (n, reps) and (w.sum(0) == n).all()
+    assert abs(w.var() - (1 - 1 / n)) < 0.02 and np.abs(w.mean(1) - 1).max() < 0.3
+    half = w[:500].sum(0)  # binomial(n, 500 / n)
+    assert abs(half.var() / (n * 500 / n * (1 - 500 / n)) - 1) < 0.25
+    share = np.bincount(w.ravel(), minlength=4)[:4] / w.size
+    assert np.abs(share - np.exp(-1) / np.array([1, 1, 2, 6])).max() < 0.005
+    assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.15 and abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.2
+    again = B.draw_weights("c|0", n, 1, reps, 5, 17, 40)
+    assert (again == w[B._edge(n, 32, 17):B._edge(n, 32, 18)]).all()
+
+
+def test_large_strata_in_spark(spark):
+    import numpy as np
+
+    from cloudsieve.plans import bootstrap as B
+    strata = spark.createDataFrame([("a", 95), ("b", 10), ("c", 11)], "k string, n long")
+    rows = B.weight_blocks(strata, ["k"], 30, block=12, part_members=10).toPandas()
+    for k, n in (("a", 95), ("b", 10), ("c", 11)):
+        for first in (1, 13, 25):
+            mine = rows[(rows.k == k) & (rows._first == first)].sort_values("idx")
+            assert mine.idx.tolist() == list(range(n))
+            w = np.array([list(v) for v in mine.w])
+            assert (w.sum(0) == n).all()
+
+
+def test_unit_bootstrap_matches_its_weights(spark):
+    import numpy as np
+
+    from cloudsieve.plans import bootstrap as B
+    rng = np.random.default_rng(1)
+    rows = [(o, d, u, float(rng.normal())) for o in ("p", "q") for d in ("x", "y") for u in range(9)]
+    got = {r["option"]: r for r in B.unit_bootstrap(spark.createDataFrame(rows, "option string, dataset string, unit int, diff double"), 60).collect()}
+    index = {r["unit"]: r["idx"] for r in B.hash_index(spark.createDataFrame([("p", u) for u in range(9)], "option string, unit int"), ["option"], "unit").collect()}
+    for o in ("p", "q"):
+        means = []
+        for d in ("x", "y"):
+            w = B.draw_weights(d, 9, 1, 60, 0).astype(float)
+            v = np.zeros(9)
+            for oo, dd, u, x in rows:
+                if (oo, dd) == (o, d):
+                    v[index[u]] = x
+            means.append(v @ w / w.sum(0) * 100)
+        m = np.mean(means, axis=0)
+        assert np.allclose([got[o]["lo"], got[o]["hi"]], np.percentile(m, [2.5, 97.5]))
+
+
+def test_bootstrap_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from cloudsieve.plans import bootstrap as B
     rng = np.random.default_rng(0)
     rows = [(s, ch, c, f"{c}{i}", int(i % 3 == 0), float(np.round(rng.normal(), 1))) for s in (0, 1) for ch in ("a", "b")
             for c in ("x", "y") for i in range(40)]
