@@ -60,6 +60,7 @@ def bootstrap_summary(scores: DataFrame, a: str, b: str, replicates: int, seed:
     boot = bootstrap_auroc(scores, replicates, seed)
     per = boot.groupBy("b", "category", "channel").agg(F.avg("auroc").alias("m")).groupBy("b", "channel").agg(
         (F.avg("m") * 100).alias("m"))
+    per = cut_lineage(per)  # read for the channels and for their difference
     point = seed_table(scores)[0].groupBy("channel").agg(F.avg("auroc").alias("estimate"))
     by_channel = per.groupBy("channel").agg(*interval("m")).join(point, "channel")
     only = lambda c, v: F.max(F.when(F.col("channel") == c, F.col(v)))

@@ -81,22 +81,45 @@ class Selection:
     mhr: bool
 
 
+@dataclass(frozen=True)
+class Step:
+    """One decision: its options in order of simplicity, each with the key that is scored, as SQL over what is decided so far.
+
+    ``options`` are (value, key expression); the columns ``k``, ``rule``, ``views`` and ``pooling`` hold earlier choices. The
+    step is skipped, and ``otherwise`` taken, where ``asked`` is false.
+    """
+
+    name: str
+    options: tuple[tuple[str, str], ...]
+    asked: str = "true"
+    otherwise: str | None = None
+
+
+_ONE_POSE = ", ".join(f"'{r}'" for r in SINGLE_POSE_RULES)
+_FAMILY = "CASE WHEN startswith(rule, 'glob') THEN 'glob_full' ELSE 'loc10' END"
+#: After the scale, whose options are the scales at hand.
+STEPS = (
+    Step("rule", tuple((r, f"'{r}_p99'") for r in RULES)),
+    Step("views", tuple((v, f"concat({_FAMILY}, '{'' if v == 'V012' else '_' + v}_p99')") for v in VIEWS)),
+    Step("pooling", tuple((p, f"concat(rule, '_{p}')") for p in POOLING)),
+    Step("mhr", (("false", "concat('h1_', rule, '_', pooling)"), ("true", "concat(rule, '_', pooling)")), f"rule IN ({_ONE_POSE})", "true"),
+)
+
+
+def decide(scores: DataFrame, state: DataFrame, step: Step) -> DataFrame:
+    """``state`` (one row of choices) with the choice of ``step`` added, from ``scores`` (k, key, mean)."""
+    listed = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(v).alias("option"), F.expr(key).alias("key")) for i, (v, key) in enumerate(step.options)])
+    options = state.where(F.expr(step.asked)).select("k", F.inline(listed))
+    best = pick(options.join(scores.where(F.col("mean").isNotNull()), ["k", "key"])).select(F.col("option").alias(step.name))
+    return state.join(F.broadcast(best), F.lit(True), "left").withColumn(step.name, F.coalesce(step.name, F.lit(step.otherwise)))
+
+
 def select_configuration(units: DataFrame) -> Selection:
-    """Five dependent decisions over the small table of option scores."""
-    scores = {(r["k"], r["key"]): r["mean"] for r in config_scores(units).collect()}
-
-    def choose(options):
-        known = [(n, scores.get(key)) for n, key in options]
-        known = [(n, v) for n, v in known if v is not None]
-        best = max(v for _, v in known)
-        return next(n for n, v in known if v >= best - TIE)
-
-    k = choose([(k, (k, "loc10_p99")) for k in sorted({k for k, _ in scores})])
-    rule = choose([(r, (k, f"{r}_p99")) for r in RULES])
-    family = "glob_full" if rule.startswith("glob") else "loc10"
-    views = choose([(v, (k, f"{family}_p99" if v == "V012" else f"{family}_{v}_p99")) for v in VIEWS])
-    pooling = choose([(p, (k, f"{rule}_{p}")) for p in POOLING])
-    mhr = True
-    if rule in SINGLE_POSE_RULES:
-        mhr = choose([(False, (k, f"h1_{rule}_{pooling}")), (True, (k, f"{rule}_{pooling}"))])
-    return Selection(k, rule, views, pooling, mhr)
+    """Five decisions, each among the scored options that the earlier ones leave open."""
+    scores = cut_lineage(config_scores(units))
+    scales = scores.where((F.col("key") == "loc10_p99") & F.col("mean").isNotNull()).withColumn("ord", F.col("k"))
+    state = cut_lineage(pick(scales).select("k"))
+    for step in STEPS:
+        state = cut_lineage(decide(scores, state, step))
+    row = state.first()
+    return Selection(row["k"], row["rule"], row["views"], row["pooling"], row["mhr"] == "true")
