@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from hashlib import md5
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.expr import dbl, norm3
+from ..functions.expr import dbl, hash01, norm3
 from ..session import cut_lineage, spread
+from .descriptors import smallest_axis
 from .neighbours import Block, Summary, neighbours
-from .prefix import ordered_totals, percentile_of
+from .prefix import GROUP_LIMIT, ordered_index, ordered_totals, percentile_of
 from .preprocess import XYZ
 
 # Fixed values of the cleaning rule.
@@ -22,6 +22,8 @@ MIN_BORDER_POINTS, PLANE_SHARE, PLANE_TRIALS = 100, 0.002, 1000
 RESIDUAL_FACTOR, DISTANCE_SHARE = 3.0, 0.0025
 MIN_CLUSTER_POINTS, CLUSTER_SHARE = 50, 0.03
 CORE_NEIGHBOURS, SIZE_SHARE = 5, 0.05
+#: Border points that meet all trials in one task.
+BLOCK_ROWS = 1 << 14
 
 
 def extents(points: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -30,46 +32,68 @@ def extents(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     return points.groupBy(*keys).agg(F.when(span > 0, span).otherwise(F.lit(1.0)).alias("extent"))
 
 
-def fit_planes(border: DataFrame, extent: DataFrame, keys: Sequence[str], seed: int = 0) -> DataFrame:
+def _hits(keys: list[str], schema: pa.Schema):
+    """Points of a block near each hypothesis."""
+    def run(points: pa.Table, planes: pa.Table) -> pa.Table:
+        if not points.num_rows or not planes.num_rows:
+            return schema.empty_table()
+        x = np.column_stack([points[c].to_numpy() for c in XYZ])
+        n, p = (np.column_stack([planes[c].to_numpy() for c in names]) for names in (_NORMAL, _PLACE))
+        limit, hits = planes["_limit"].to_numpy(), np.zeros(len(n), np.int64)
+        step = max(1, (1 << 20) // len(n))
+        for s in range(0, len(x), step):
+            d = np.abs(sum(x[s:s + step, [k]] * n[:, k] - p[:, k] * n[:, k] for k in range(3)))
+            hits += (d <= limit).sum(axis=0)
+        return pa.table([*[planes[k] for k in keys], planes["_t"], pa.array(hits)], schema=schema)
+    return run
+
+
+_NORMAL, _PLACE = ("_a", "_b", "_c"), ("_px", "_py", "_pz")
+
+
+def fit_planes(border: DataFrame, extent: DataFrame, keys: Sequence[str], seed: int = 0, block_rows: int = BLOCK_ROWS,
+               limit: int = GROUP_LIMIT) -> DataFrame:
     """Plane of every cloud with at least 100 border points, by consensus: keys, pa, pb, pc, pw (unit normal).
 
     Each trial takes three points by a hash of (seed, keys, trial, corner) in the order of z, y, x; the first trial with
-    most points near its plane is refitted to those points. A border ring is bounded by the image size, so one
-    cloud's border fits one task.
+    most points near its plane is refitted to those points. The trials of a cloud are a small table. Blocks of at most about
+    ``block_rows`` points report how many lie near each of them; the best is a grouped maximum and the refit a grouped covariance.
     """
     keys = list(keys)
-    enough = border.groupBy(*keys).count().where(F.col("count") >= MIN_BORDER_POINTS).select(*keys)
-    rows = border.join(enough, keys, "left_semi").join(extent, keys).select(
-        *keys, *[dbl(c).alias(c) for c in XYZ], "extent", F.concat_ws("|", F.lit(str(seed)), *keys).alias("_rng"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[list(XYZ)].to_numpy()
-        x = x[np.lexsort(x.T)]
-        head = pdf["_rng"].iloc[0]
-        drawn = b"".join(md5(f"{head}|{t}|{j}".encode()).digest()[:4] for t in range(PLANE_TRIALS) for j in range(3))
-        limit = PLANE_SHARE * float(pdf["extent"].iloc[0])
-        p = x[np.floor(np.frombuffer(drawn, ">u4") / 4294967296.0 * len(x)).astype(np.int64).reshape(-1, 3)]
-        n = np.cross(p[:, 1] - p[:, 0], p[:, 2] - p[:, 0])
-        length = np.sqrt((n * n).sum(axis=1))
-        n, p0 = n[length > 0] / length[length > 0, None], p[length > 0, 0]
-        best, most = None, -1
-        for s in range(0, len(n), 50):
-            m = n[s:s + 50]
-            d = np.abs(sum(x[:, [k]] * m[:, k] - p0[s:s + 50, k] * m[:, k] for k in range(3))) <= limit
-            hits = d.sum(axis=0)
-            i = int(hits.argmax()) if len(hits) else 0
-            if len(hits) and hits[i] > most:
-                best, most = d[:, i], int(hits[i])
-        out = pdf[keys].iloc[:1].copy()
-        if best is None:
-            return out.iloc[:0].assign(pa=0.0, pb=0.0, pc=0.0, pw=0.0)
-        inner = x[best]
-        centre = inner.mean(axis=0)
-        axis = np.linalg.svd(inner - centre, full_matrices=False)[2][2]
-        return out.assign(pa=axis[0], pb=axis[1], pc=axis[2], pw=-float(axis @ centre))
-
-    head = ", ".join(f"{k} {border.schema[k].dataType.simpleString()}" for k in keys)
-    return spread(rows, *keys).groupBy(*keys).applyInPandas(run, f"{head}, pa double, pb double, pc double, pw double")
+    sizes = border.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= MIN_BORDER_POINTS)
+    rows = border.join(sizes, keys).select(*keys, *[dbl(c).alias(c) for c in XYZ], "_n")
+    rows = cut_lineage(ordered_index(rows, keys, ["z", "y", "x"], "_i", limit=limit))
+    trials = sizes.join(extent, keys).select(*keys, "_n", (F.lit(PLANE_SHARE) * F.col("extent")).alias("_limit"),
+                                             F.explode(F.sequence(F.lit(0), F.lit(PLANE_TRIALS - 1))).alias("_t"))
+    corner = lambda j: F.floor(hash01(F.lit(str(seed)), *keys, F.col("_t"), F.lit(j)) * F.col("_n"))
+    drawn = trials.select(*keys, "_t", "_limit", F.posexplode(F.array(*[corner(j) for j in range(3)])).alias("_j", "_i"))
+    drawn = drawn.join(rows.select(*keys, "_i", *XYZ), [*keys, "_i"])
+    at = lambda c, j: F.max(F.when(F.col("_j") == j, F.col(c))).alias(f"_{c}{j}")
+    planes = drawn.groupBy(*keys, "_t", "_limit").agg(*[at(c, j) for j in range(3) for c in XYZ])
+    side = {f"_{m}{c}": F.col(f"_{c}{j}") - F.col(f"_{c}0") for m, j in (("u", 1), ("v", 2)) for c in XYZ}
+    planes = planes.withColumns(side).withColumns({
+        "_a": F.col("_uy") * F.col("_vz") - F.col("_uz") * F.col("_vy"), "_b": F.col("_uz") * F.col("_vx") - F.col("_ux") * F.col("_vz"),
+        "_c": F.col("_ux") * F.col("_vy") - F.col("_uy") * F.col("_vx")}).withColumn("_l", norm3(*_NORMAL)).where(F.col("_l") > 0)
+    planes = cut_lineage(planes.select(*keys, "_t", "_limit", *[(F.col(c) / F.col("_l")).alias(c) for c in _NORMAL],
+                                       *[F.col(f"_{c}0").alias(f"_p{c}") for c in XYZ]))
+    parts = F.ceil(F.col("_n") / F.lit(block_rows)).cast("int")
+    blocks = rows.withColumn("_part", F.pmod("_i", parts).cast("int"))
+    asked = planes.join(sizes.select(*keys, F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part")), keys)
+    on = [*keys, "_part"]
+    fresh = lambda d: spread(d.select(*[F.col(c).alias(c) for c in d.columns]), *on).groupBy(*on)
+    heads = ", ".join(f"{k} {border.schema[k].dataType.simpleString()}" for k in keys)
+    schema = to_arrow_schema(planes.select(*keys, "_t", F.lit(0).cast("long").alias("_hits")).schema)
+    hits = fresh(blocks).cogroup(fresh(asked)).applyInArrow(_hits(keys, schema), f"{heads}, _t int, _hits long")
+    hits = hits.groupBy(*keys, "_t").agg(F.sum("_hits").alias("_hits"))
+    best = hits.groupBy(*keys).agg(F.min_by("_t", F.struct(-F.col("_hits"), F.col("_t"))).alias("_t")).join(planes, [*keys, "_t"])
+    off = F.abs(sum((F.col(c) * F.col(n) - F.col(p) * F.col(n) for c, n, p in zip(XYZ, _NORMAL, _PLACE)), F.lit(0.0)))
+    inner = rows.join(best, keys).where(off <= F.col("_limit"))
+    pairs = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
+    fit = inner.groupBy(*keys).agg(F.array(*[F.covar_pop(a, b) for a, b in pairs]).alias("_m"), *[F.avg(c).alias(f"_m{c}") for c in XYZ])
+    fit = fit.withColumn("_n", smallest_axis("_m"))
+    axis = [F.col("_n")[i] for i in range(3)]
+    return fit.select(*keys, *[a.alias(n) for a, n in zip(axis, ("pa", "pb", "pc"))],
+                      (-sum((a * F.col(f"_m{c}") for a, c in zip(axis, XYZ)), F.lit(0.0))).alias("pw"))
 
 
 def remove_plane(points: DataFrame, keys: Sequence[str], border: str = "border", seed: int = 0) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import col, dbl
+from ..session import cut_lineage
 
 GROUP_LIMIT = 1_000_000
 MOST_RANGES = 8192
@@ -183,3 +184,26 @@ def hash_index(df: DataFrame, keys: Sequence[str], id_col: str, name: str = "idx
     inside = F.row_number().over(Window.partitionBy(*keys, "_s").orderBy("_h", id_col)) - 1
     return tagged.withColumn("_i", inside).join(sizes, [*keys, "_s"]).withColumn(
         name, F.col("_o") + F.col("_i")).drop("_h", "_s", "_i", "_o")
+
+
+def ordered_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "idx", first: int = 0,
+                  limit: int = GROUP_LIMIT) -> DataFrame:
+    """Number the rows of every group ``first``, ``first`` + 1 .. in the order of the columns ``order``.
+
+    Groups up to ``limit`` rows need one window. Otherwise rows are dealt by ranges of (keys, order) and sorted inside them; a row's
+    number is its place in the range plus what lies in the group's earlier ranges, one short row per range and group.
+    Rows that are equal in ``order`` come in any order.
+    """
+    keys, order = list(keys), list(order)
+    if largest_group(df, keys) <= limit:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1 + first)
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / limit))
+    placed = df.repartitionByRange(ranges, *keys, *order).sortWithinPartitions(*keys, *order)
+    placed = cut_lineage(placed.withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", F.spark_partition_id()))
+    ends = placed.groupBy(*keys, "_p").agg(F.min("_m").alias("_f"), F.count(F.lit(1)).alias("_c"))
+    ahead = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_o", F.coalesce(F.sum("_c").over(ahead), F.lit(0))).withColumnsRenamed({k: f"_k{k}" for k in keys} | {"_p": "_q"})
+    on = F.col("_p") == F.col("_q")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{k}"))
+    return placed.join(ends, on).withColumn(name, F.col("_m") - F.col("_f") + F.col("_o") + first).select(*df.columns, name)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions.expr import defect_fraction
-from ..operators.prefix import ordered_totals, percentile_of
+from ..operators.prefix import ordered_index, ordered_totals, percentile_of
 from ..session import cut_lineage
 from .bootstrap import bootstrap_auroc, interval
 
@@ -238,5 +238,5 @@ def split_counts(listing: DataFrame) -> DataFrame:
 
 
 def round_robin(jobs: DataFrame, order: str, workers: int) -> DataFrame:
-    """Worker of every job by its position; the job list is a small control table."""
-    return jobs.withColumn("worker", F.pmod(F.row_number().over(Window.orderBy(order)) - 1, F.lit(workers)))
+    """Worker of every job by its position."""
+    return ordered_index(jobs, [], [order], "worker").withColumn("worker", F.pmod("worker", F.lit(workers)).cast("int"))

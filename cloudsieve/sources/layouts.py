@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.prefix import ordered_index
 from ..functions.expr import file_stem, on_border
 from ..operators.cleanup import clean_scan
 from ..session import cut_lineage
@@ -47,7 +48,7 @@ def attach_mask(points: DataFrame, mask: DataFrame, keys: Sequence[str]) -> Data
 
 def ranked(listing: DataFrame, category: str = "category", path: str = "path", name: str = "cloud_rank") -> DataFrame:
     """Position of every file in its category's sorted listing, from 1."""
-    return listing.withColumn(name, F.row_number().over(Window.partitionBy(category).orderBy(path)))
+    return ordered_index(listing, [category], [path], name, first=1).withColumn(name, F.col(name).cast("int"))
 
 
 def take_slice(listing: DataFrame, start: int, n: int, rank: str = "cloud_rank") -> DataFrame:

@@ -48,3 +48,49 @@ def test_scan_loses_table_and_stray_points(spark):
     pdf["border"] = np.concatenate([np.zeros(1500, bool), border, np.zeros(5, bool)])
     got = C.clean_scan(spark.createDataFrame(pdf), ["c"]).toPandas().point_idx
     assert set(got) == set(range(1500))
+
+
+def consensus(x, head):
+    """Trial by trial, in one place."""
+    from hashlib import md5
+    x = x[np.lexsort(x.T)]
+    limit = C.PLANE_SHARE * np.linalg.norm(np.ptp(x, axis=0))
+    best, most = None, -1
+    for t in range(C.PLANE_TRIALS):
+        p = x[[int(int(md5(f"{head}|{t}|{j}".encode()).hexdigest()[:8], 16) / 4294967296.0 * len(x)) for j in range(3)]]
+        n = np.cross(p[1] - p[0], p[2] - p[0])
+        if np.linalg.norm(n) > 0:
+            near = np.abs((x - p[0]) @ (n / np.linalg.norm(n))) <= limit
+            if near.sum() > most:
+                best, most = near, near.sum()
+    inner = x[best]
+    axis = np.linalg.svd(inner - inner.mean(0), full_matrices=False)[2][2]
+    return axis, -axis @ inner.mean(0)
+
+
+def test_planes_from_blocks_match_the_sequential_consensus(spark):
+    rng = np.random.default_rng(4)
+    frames, clouds = [], {}
+    for name, n in (("a", 400), ("b", 130), ("c", 60)):
+        x = np.column_stack([rng.uniform(size=(n, 2)), 0.2 + 0.0004 * rng.normal(size=n)])
+        x[:n // 4] = rng.uniform(size=(n // 4, 3))
+        clouds[name] = x
+        frames.append(pd.DataFrame(x, columns=["x", "y", "z"]).assign(k=name))
+    df = spark.createDataFrame(pd.concat(frames))
+    got = {r["k"]: r for r in C.fit_planes(df, C.extents(df, ["k"]), ["k"], block_rows=50, limit=100).collect()}
+    assert set(got) == {"a", "b"}  # c has too few points
+    for k, r in got.items():
+        axis, w = consensus(clouds[k], f"0|{k}")
+        sign = np.sign(axis @ [r["pa"], r["pb"], r["pc"]])
+        assert np.allclose(sign * axis, [r["pa"], r["pb"], r["pc"]], atol=1e-9) and np.isclose(sign * w, r["pw"])
+
+
+def test_numbers_across_ranges_are_those_of_one_window(spark):
+    from cloudsieve.operators.prefix import ordered_index
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b", None], 500, p=[0.8, 0.1, 0.1]), "p": [f"f{v:05d}" for v in rng.permutation(500)], "v": 1})
+    df = spark.createDataFrame(pdf, "g string, p string, v int")
+    for keys in (["g"], []):
+        many, one = (ordered_index(df, keys, ["p"], "i", first=1, limit=m) for m in (30, 10**6))
+        assert sorted(map(tuple, many.select("p", "i").collect())) == sorted(map(tuple, one.select("p", "i").collect()))
+        assert many.columns == ["g", "p", "v", "i"]
