@@ -47,14 +47,6 @@ def dist3(a: Sequence, b: Sequence) -> Column:
     return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
 
 
-def is_point(x, y, z) -> Column:
-    """Finite and not the all-zero filler of organised scans."""
-    def finite(c):
-        return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
-    cs = [dbl(x), dbl(y), dbl(z)]
-    return finite(cs[0]) & finite(cs[1]) & finite(cs[2]) & ((cs[0] != 0) | (cs[1] != 0) | (cs[2] != 0))
-
-
 def is_finite_point(x, y, z) -> Column:
     out = None
     for c in (dbl(x), dbl(y), dbl(z)):
