@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import is_finite_point, nearest_index
 from ..operators.preprocess import drop_missing
 from .formats import parse_pcd, parse_ply, parse_tiff
+from .ranges import RANGE_BYTES, contents, extension, file_ranges, numbered, range_lines, range_points
 
 POINT_SCHEMA = "path string, point_idx long, x float, y float, z float"
 BINARY_EXTENSIONS = ("pcd", "ply")
@@ -46,18 +47,30 @@ def _decode(files: DataFrame, parse, schema: str) -> DataFrame:
     return files.select(local_path(F.col("path")).alias("path"), "content").mapInPandas(run, schema)
 
 
-def read_pcd(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """PCD and PLY files. A file without points raises."""
+def _whole_or_cut(spark: SparkSession, paths, range_bytes: int, whole, cut) -> DataFrame:
+    """Files up to ``range_bytes`` read whole by Spark, ``whole`` of their contents; larger ones ``cut`` from a listing of ranges."""
+    small = whole(spark.read.format("binaryFile").load(paths).where(F.col("length") <= range_bytes))
+    large = list_files(spark, paths).where(F.col("length") > range_bytes)
+    return small if large.isEmpty() else small.unionByName(cut(numbered(file_ranges(large, range_bytes))))
+
+
+def read_pcd(spark: SparkSession, paths: str | Sequence[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """PCD and PLY files, in byte ranges where larger than ``range_bytes``. A file without points raises."""
     def parse(path, content):
         x = parse_ply(content) if path.lower().endswith(".ply") else parse_pcd(content)
         if not len(x):
             raise ValueError(f"empty point cloud: {path}")
         return pd.DataFrame({"path": path, "point_idx": np.arange(len(x)), "x": x[:, 0], "y": x[:, 1], "z": x[:, 2]})
-    return _decode(spark.read.format("binaryFile").load(paths), parse, POINT_SCHEMA)
+    return _whole_or_cut(spark, paths, range_bytes, lambda files: _decode(files, parse, POINT_SCHEMA), range_points)
 
 
 def read_organised(spark: SparkSession, paths: str | Sequence[str], keep_missing: bool = False) -> DataFrame:
-    """Organised xyz images: every pixel is a row with its flat index and the image size.
+    """Organised xyz images by path, see :func:`organised`."""
+    return organised(spark.read.format("binaryFile").load(paths), keep_missing)
+
+
+def organised(files: DataFrame, keep_missing: bool = False) -> DataFrame:
+    """Organised xyz images from (path, content): every pixel is a row with its flat index and the image size.
 
     Missing pixels (not finite or all zero) are dropped unless asked for.
     """
@@ -67,26 +80,30 @@ def read_organised(spark: SparkSession, paths: str | Sequence[str], keep_missing
         x = a.reshape(h * w, -1)[:, :3]
         return pd.DataFrame({"path": path, "point_idx": np.arange(h * w), "x": x[:, 0], "y": x[:, 1], "z": x[:, 2],
                              "pix": np.arange(h * w), "height": h, "width": w})
-    out = _decode(spark.read.format("binaryFile").load(paths), parse,
-                  f"{POINT_SCHEMA}, pix long, height int, width int")
+    out = _decode(files, parse, f"{POINT_SCHEMA}, pix long, height int, width int")
     return out if keep_missing else drop_missing(out)
 
 
-def read_text(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Text clouds, comma or whitespace separated by file, '#' comments allowed.
+def read_text(spark: SparkSession, paths: str | Sequence[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Text clouds, comma or whitespace separated by file, '#' comments allowed, in byte ranges where larger than ``range_bytes``.
 
     A fourth column above 0.5 marks anomalous points; without one gt is 0. A field that is no number raises, and so
     does a row of fewer than three fields.
     """
-    whole = spark.read.text(paths, wholetext=True).select(
-        local_path(F.col("_metadata.file_path")).alias("path"), "value")
-    lines = whole.select(
-        "path", F.when(F.contains(F.element_at(F.split("value", "\n"), 1), F.lit(",")), r"\s*,\s*").otherwise(r"\s+").alias("_sep"),
-        F.posexplode(F.split("value", "\r?\n")).alias("point_idx", "_line"))
-    text = F.trim(F.regexp_replace("_line", "#.*$", ""))
+    def whole(files):
+        read = files.select(local_path(F.col("path")).alias("path"), F.col("content").cast("string").alias("value"))
+        comma = F.contains(F.element_at(F.split("value", "\n"), 1), F.lit(","))
+        return read.select("path", F.posexplode(F.split("value", "\n")).alias("point_idx", "value"), comma.alias("comma")).withColumn(
+            "point_idx", F.col("point_idx").cast("long"))
+    return _numbers(_whole_or_cut(spark, paths, range_bytes, whole, range_lines))
+
+
+def _numbers(lines: DataFrame) -> DataFrame:
+    """Points of lines (path, point_idx, value, comma)."""
+    text = F.trim(F.regexp_replace("value", r"#.*$|\r$", ""))
     lines = lines.withColumn("_line", text).where(F.col("_line") != "")
-    parts = F.split(F.col("_line"), F.col("_sep"))
-    cells = lines.select("path", F.col("point_idx").cast("long").alias("point_idx"), parts.alias("_c"))
+    parts = F.when(F.col("comma"), F.split("_line", r"\s*,\s*")).otherwise(F.split("_line", r"\s+"))
+    cells = lines.select("path", "point_idx", parts.alias("_c"))
     def num(i: int, needed: bool = True):
         cell = F.try_element_at("_c", F.lit(i))
         value = cell.try_cast("float")
@@ -98,24 +115,22 @@ def read_text(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
                         (flag > 0.5).cast("float").alias("gt"))
 
 
-def read_any(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Any supported cloud file by extension, xyz only, rows that are not finite dropped."""
-    by = {"binary": [], "image": [], "text": []}
-    for p in paths:
-        ext = p.rsplit(".", 1)[-1].lower()
-        by["binary" if ext in BINARY_EXTENSIONS else "image" if ext in ("tif", "tiff") else "text"].append(p)
+def read_listed(listing: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Every file of a listing (path, length) by extension, xyz only: path, point_idx, x, y, z.
+
+    The listing stays a table: tasks open the ranges they are dealt, and no other file. Text and images lose rows that are not finite.
+    """
     cols = ["path", "point_idx", "x", "y", "z"]
-    parts = []
-    if by["binary"]:
-        parts.append(read_pcd(spark, by["binary"]).select(*cols))
-    if by["image"]:
-        parts.append(read_organised(spark, by["image"]).select(*cols))
-    if by["text"]:
-        parts.append(read_text(spark, by["text"]).select(*cols).where(is_finite_point("x", "y", "z")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    cloud, image = extension().isin(*BINARY_EXTENSIONS), extension().isin("tif", "tiff")
+    files = listing.select("path", "length")
+    points = range_points(numbered(file_ranges(files.where(cloud), range_bytes)))
+    text = _numbers(range_lines(numbered(file_ranges(files.where(~cloud & ~image), range_bytes)))).where(is_finite_point("x", "y", "z"))
+    return points.select(*cols).unionByName(organised(contents(files.where(image))).select(*cols)).unionByName(text.select(*cols))
+
+
+def read_any(spark: SparkSession, paths: str | Sequence[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Any supported cloud file by extension, see :func:`read_listed`."""
+    return read_listed(list_files(spark, paths), range_bytes)
 
 
 def read_masks(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

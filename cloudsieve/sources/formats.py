@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -38,8 +39,31 @@ def unpack_lzf(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
-def parse_pcd(data: bytes) -> np.ndarray:
-    """xyz of a PCD file (ascii, binary or binary_compressed)."""
+@dataclass(frozen=True)
+class PointLayout:
+    """Where a file keeps its points: kind of data, first byte, number of points, type of a binary row (``row``) with the
+    fields that hold x, y, z, and for ascii rows the numbers in a row and the places of x, y, z."""
+
+    kind: str
+    body: int
+    n: int
+    row: np.dtype
+    fields: tuple[str, ...]
+    width: int
+    places: tuple[int, ...]
+
+    def xyz(self, rows: np.ndarray) -> np.ndarray:
+        """Coordinates of binary rows."""
+        return np.column_stack([rows[f].reshape(len(rows), -1)[:, 0] for f in self.fields]).astype(np.float32)
+
+    def numbers(self, text: bytes, n: int) -> np.ndarray:
+        """Coordinates of ``n`` ascii rows."""
+        rows = np.array(text.split(), dtype=np.float64).reshape(n, self.width)
+        return rows[:, list(self.places)].astype(np.float32)
+
+
+def pcd_layout(data: bytes) -> PointLayout:
+    """Layout from the head of a PCD file. A head that is not complete raises ValueError."""
     head, body = {}, 0
     while "DATA" not in head:
         end = data.index(b"\n", body)
@@ -51,28 +75,34 @@ def parse_pcd(data: bytes) -> np.ndarray:
     counts = [int(c) for c in head.get("COUNT", ["1"] * len(names))]
     n = int(head["POINTS"][0]) if "POINTS" in head else int(head["WIDTH"][0]) * int(head["HEIGHT"][0])
     types = [_PCD_TYPES[(t, int(s))] for t, s in zip(head["TYPE"], head["SIZE"])]
-    kind = head["DATA"][0].lower()
-    if kind == "ascii":
-        at = np.cumsum([0, *counts])
-        rows = np.array(data[body:].split(), dtype=np.float64).reshape(n, at[-1])
-        return rows[:, [at[names.index(c)] for c in "xyz"]].astype(np.float32)
-    if kind == "binary":
-        row = np.dtype([(f"f{i}", t, (c,)) for i, (t, c) in enumerate(zip(types, counts))])
-        rows = np.frombuffer(data, dtype=row, count=n, offset=body)
-        return np.column_stack([rows[f"f{names.index(c)}"][:, 0] for c in "xyz"]).astype(np.float32)
-    if kind == "binary_compressed":
-        packed, full = struct.unpack_from("<II", data, body)
-        raw = unpack_lzf(data[body + 8:body + 8 + packed], full)
+    at = np.cumsum([0, *counts])
+    row = np.dtype([(f"f{i}", t, (c,)) for i, (t, c) in enumerate(zip(types, counts))])
+    places = [names.index(c) for c in "xyz"]
+    return PointLayout(head["DATA"][0].lower(), body, n, row, tuple(f"f{i}" for i in places), int(at[-1]),
+                       tuple(int(at[i]) for i in places))
+
+
+def parse_pcd(data: bytes) -> np.ndarray:
+    """xyz of a PCD file (ascii, binary or binary_compressed)."""
+    form = pcd_layout(data)
+    if form.kind == "ascii":
+        return form.numbers(data[form.body:], form.n)
+    if form.kind == "binary":
+        return form.xyz(np.frombuffer(data, dtype=form.row, count=form.n, offset=form.body))
+    if form.kind == "binary_compressed":
+        packed, full = struct.unpack_from("<II", data, form.body)
+        raw = unpack_lzf(data[form.body + 8:form.body + 8 + packed], full)
         cols, at = {}, 0
-        for name, t, c in zip(names, types, counts):
-            cols[name] = np.frombuffer(raw, dtype=t, count=n * c, offset=at)[::c]
-            at += n * c * np.dtype(t).itemsize
-        return np.column_stack([cols[c] for c in "xyz"]).astype(np.float32)
-    raise ValueError(f"unknown PCD data kind '{kind}'")
+        for name in form.row.names:
+            kind, (count,) = form.row[name].subdtype
+            cols[name] = np.frombuffer(raw, dtype=kind, count=form.n * count, offset=at)[::count]
+            at += form.n * form.row[name].itemsize
+        return np.column_stack([cols[f] for f in form.fields]).astype(np.float32)
+    raise ValueError(f"unknown PCD data kind '{form.kind}'")
 
 
-def parse_ply(data: bytes) -> np.ndarray:
-    """xyz of the vertices of a PLY file (ascii or binary); vertices must be its first element."""
+def ply_layout(data: bytes) -> PointLayout:
+    """Layout from the head of a PLY file, whose vertices must be its first element. A head that is not complete raises ValueError."""
     end = data.index(b"end_header")
     body = data.index(b"\n", end) + 1
     lines = [line.split() for line in data[:end].decode("ascii", "replace").splitlines()]
@@ -80,19 +110,24 @@ def parse_ply(data: bytes) -> np.ndarray:
     first = next(i for i, line in enumerate(lines) if line[:1] == ["element"])
     if lines[first][1] != "vertex":
         raise ValueError("vertices are not the first element")
-    n = int(lines[first][2])
     props = []
     for line in lines[first + 1:]:
         if line[:1] != ["property"]:
             break
         props.append((line[2], line[1]))
     names = [p for p, _ in props]
-    if kind == "ascii":
-        rows = np.array(b"\n".join(data[body:].split(b"\n")[:n]).split(), dtype=np.float64).reshape(n, -1)
-        return rows[:, [names.index(c) for c in "xyz"]].astype(np.float32)
     order = "<" if kind == "binary_little_endian" else ">"
-    rows = np.frombuffer(data, dtype=np.dtype([(p, order + _PLY_TYPES[t]) for p, t in props]), count=n, offset=body)
-    return np.column_stack([rows[c] for c in "xyz"]).astype(np.float32)
+    row = np.dtype([(p, order + _PLY_TYPES[t]) for p, t in props])
+    return PointLayout("ascii" if kind == "ascii" else "binary", body, int(lines[first][2]), row, ("x", "y", "z"), len(props),
+                       tuple(names.index(c) for c in "xyz"))
+
+
+def parse_ply(data: bytes) -> np.ndarray:
+    """xyz of the vertices of a PLY file (ascii or binary)."""
+    form = ply_layout(data)
+    if form.kind == "ascii":
+        return form.numbers(b"\n".join(data[form.body:].split(b"\n")[:form.n]), form.n)
+    return form.xyz(np.frombuffer(data, dtype=form.row, count=form.n, offset=form.body))
 
 
 # Byte width of TIFF field types and the tags read here.

@@ -12,6 +12,7 @@ from ..functions.expr import file_stem, on_border
 from ..operators.cleanup import clean_scan
 from ..session import cut_lineage
 from . import clouds as C
+from .ranges import contents
 
 # Category lists of the public benchmarks in official order, and the few-shot size.
 SHAPENET = (
@@ -107,9 +108,7 @@ def load_train_slice(spark: SparkSession, root: str, classes: Sequence[str], sta
     """Training goods start .. start + n of the organised benchmark, background removed."""
     listing = cut_lineage(take_slice(ranked(_files(spark, root, classes, "train/good/xyz/*.tif*", 4)), start, n))
     _require(listing, classes, "training scans")
-    # only the files of the slice are decoded
-    paths = [r["path"] for r in listing.select("path").collect()]
-    points = read_clean_scans(spark, paths)
+    points = read_clean_scans(listing)      # only the files of the slice are opened
     return _name(points.join(listing.select("path", "category", "cloud_rank"), "path"))
 
 
@@ -120,9 +119,9 @@ def load_train_extra(spark: SparkSession, root: str, dataset: str, classes: Sequ
     return load_train_slice(spark, root, classes, start, n)
 
 
-def read_clean_scans(spark: SparkSession, paths: Sequence[str], border: int = 10) -> DataFrame:
-    """Organised scans without support plane and stray clusters; pixel indices are kept."""
-    p = C.read_organised(spark, list(paths))
+def read_clean_scans(listing: DataFrame, border: int = 10) -> DataFrame:
+    """Listed organised scans without support plane and stray clusters; pixel indices are kept."""
+    p = C.organised(contents(listing))
     p = cut_lineage(p.withColumn("border", on_border("pix", "height", "width", border)))
     return clean_scan(p, ["path"]).drop("border")
 
@@ -150,8 +149,7 @@ def load_test(spark: SparkSession, root: str, dataset: str, classes: Sequence[st
         listing = cut_lineage(listing.withColumn("good", F.contains(_part(-1), F.lit("good"))).withColumn(
             "stem", file_stem("path")))
         _require(listing, classes, "test clouds")
-        good = [r["path"] for r in listing.where("good").select("path").collect()]
-        normal = C.read_pcd(spark, good).withColumn("gt", F.lit(0.0).cast("float")) if good else None
+        normal = C.read_listed(listing.where("good")).withColumn("gt", F.lit(0.0).cast("float"))
         flags = C.read_text(spark, _existing(root, classes, "gt/*.txt")).withColumn(
             "category", _part(-3)).withColumn("stem", file_stem("path")).drop("path")
         named = C.list_files(spark, _existing(root, classes, "gt/*.txt")).withColumn("category", _part(-3)).withColumn(
@@ -159,14 +157,12 @@ def load_test(spark: SparkSession, root: str, dataset: str, classes: Sequence[st
         _require_partner(listing.where("NOT good"), named, ["category", "stem"], "ground truth file")
         bad = flags.join(listing.where("NOT good").select("category", "stem", "path"), ["category", "stem"])
         bad = bad.withColumn("label", F.lit(1)).select(*cols)
-        if normal is None:
-            return _name(bad)
         normal = normal.withColumn("label", F.lit(0)).withColumn("category", _part(-3)).select(*cols)
         return _name(normal.unionByName(bad))
     if dataset == "mvtec":
         listing = cut_lineage(_files(spark, root, classes, "test/*/xyz/*.tif*", 4).withColumn("kind", _part(-3)))
         _require(listing, classes, "test scans")
-        points = read_clean_scans(spark, [r["path"] for r in listing.select("path").collect()])
+        points = read_clean_scans(listing)
         points = points.join(listing.select("path", "category", "kind"), "path").withColumn("stem", file_stem("path"))
         masks = C.read_masks(spark, _existing(root, classes, "test/*/gt/*.png")).withColumn(
             "category", _part(-5)).withColumn("kind", _part(-3)).withColumn("stem", file_stem("path")).drop("path")
@@ -197,7 +193,7 @@ def _train_cuts(spark: SparkSession, root: str, classes: Sequence[str]) -> DataF
         category = F.nullif(name, F.lit("")) if category is None else F.coalesce(category, F.nullif(name, F.lit("")))
     tagged = tagged.withColumn("_o", order).withColumn("category", category).where(F.col("category").isin(*classes))
     first = tagged.groupBy("category").agg(F.min("_o").alias("_o"))
-    return tagged.join(first, ["category", "_o"]).select("path", "category")
+    return tagged.join(first, ["category", "_o"]).select("path", "length", "category")
 
 
 def find_train_cuts(spark: SparkSession, root: str, category: str) -> DataFrame:
@@ -215,8 +211,7 @@ def load_train_cuts(spark: SparkSession, root: str, classes: Sequence[str]) -> D
     """Scans of all categories: category, cloud_id, path, cloud_rank, point_idx, x, y, z."""
     listing = cut_lineage(ranked(_train_cuts(spark, root, classes)))
     _require(listing, classes, "training cut clouds")
-    points = C.read_any(spark, [r["path"] for r in listing.select("path").collect()])
-    return _name(points.join(listing, "path"))
+    return _name(C.read_listed(listing).join(listing.drop("length"), "path"))
 
 
 def structure_report(spark: SparkSession, root: str, dataset: str, classes: Sequence[str] | None = None) -> DataFrame:

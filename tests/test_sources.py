@@ -218,3 +218,61 @@ def test_maps_are_written_whole(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "maps")).count() == 40_000
     results.write_maps(points, str(tmp_path / "few"), 100)
     assert spark.read.parquet(str(tmp_path / "few")).count() == 100
+
+
+@pytest.mark.parametrize("kind", ["ascii", "binary", "binary_compressed"])
+def test_large_clouds_are_read_in_ranges(spark, tmp_path, kind):
+    x = sphere(np.random.default_rng(7), 700).astype(np.float32)
+    pcd(tmp_path / "a b.pcd", x, kind)
+    size = (tmp_path / "a b.pcd").stat().st_size
+    for step in (977, size - 1):
+        got = C.read_pcd(spark, str(tmp_path / "*.pcd"), range_bytes=step)
+        parts = got.withColumn("p", F.spark_partition_id()).toPandas().sort_values("point_idx")
+        assert parts.point_idx.tolist() == list(range(700))
+        assert np.allclose(parts[["x", "y", "z"]].values, x, atol=1e-5)
+        assert kind == "binary_compressed" or step > 977 or parts.p.nunique() > 2
+    whole = C.read_pcd(spark, str(tmp_path / "*.pcd")).select("path").distinct().first().path
+    assert C.read_pcd(spark, str(tmp_path / "*.pcd"), range_bytes=977).select("path").distinct().first().path == whole
+
+
+def test_large_texts_and_plys_are_read_in_ranges(spark, tmp_path):
+    x = np.arange(900, dtype=np.float32).reshape(300, 3)
+    lines = ["# head, with a comma"] + [",".join(f"{v:.1f}" for v in (*r, i % 2)) for i, r in enumerate(x)]
+    lines.insert(50, "")
+    (tmp_path / "crlf.txt").write_bytes("\r\n".join(lines).encode())
+    (tmp_path / "plain.txt").write_text("\n".join(" ".join(f"{v:.1f}" for v in r) for r in x) + "\n")
+    head = "ply\nformat {} 1.0\nelement vertex 300\nproperty float x\nproperty float y\nproperty float z\nelement face 1\nend_header\n"
+    (tmp_path / "a.ply").write_text(head.format("ascii") + "\n".join(" ".join(map(str, r)) for r in x) + "\n3 0 1 2\n")
+    (tmp_path / "b.ply").write_bytes(head.format("binary_big_endian").encode() + x.astype(">f4").tobytes() + b"\0" * 400)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for step in (61, 1000):
+        assert rows(C.read_text(spark, str(tmp_path / "*.txt"), step)) == rows(C.read_text(spark, str(tmp_path / "*.txt")))
+        assert C.read_any(spark, str(tmp_path / "*"), step).count() == 1200
+    got = C.read_any(spark, str(tmp_path / "*.ply"), 61).toPandas()
+    for _, one in got.groupby("path"):
+        assert (one.sort_values("point_idx")[["x", "y", "z"]].values == x).all()
+
+
+def test_lines_of_ranges_are_a_partition(tmp_path):
+    import pyarrow as pa
+    from cloudsieve.sources.ranges import line_portions
+    rng = np.random.default_rng(8)
+    for text in (b"", b"a", b"\n", b"\n\na\n\nbb", *[bytes(rng.choice(list(b"ab\n"), 60)) for _ in range(20)]):
+        expected = text.split(b"\n")[:-1] if text.endswith(b"\n") or not text else text.split(b"\n")
+        for step in (1, 3, 7, 100):
+            f = pa.PythonFile(__import__("io").BytesIO(text), mode="r")
+            found = []
+            for s in range(0, max(len(text), 1), step):
+                for data, n in line_portions(f, 0, s, min(s + step, len(text))):
+                    found += data.split(b"\n")[:n]
+            assert found == expected, (text, step)
+
+
+def test_a_short_cloud_raises(spark, tmp_path):
+    x = sphere(np.random.default_rng(9), 100)
+    for kind in ("ascii", "binary"):
+        pcd(tmp_path / f"{kind}.pcd", x, kind)
+        data = (tmp_path / f"{kind}.pcd").read_bytes()
+        (tmp_path / f"{kind}.pcd").write_bytes(data[:data.rindex(b"\n", 0, -200) + 1] if kind == "ascii" else data[:-200])
+        with pytest.raises(Exception, match="ends"):
+            C.read_pcd(spark, str(tmp_path / f"{kind}.pcd"), 500).collect()
