@@ -3,8 +3,8 @@
 AUROC, average precision, operating points, exact percentiles, medians, top-k means and average
 ranks all need "how much lies before this value in my group". Equal values are first collapsed by a
 partial aggregate. Groups up to ``GROUP_LIMIT`` rows then need one window. The values of larger groups
-are cut into as many ranges as their size asks for, the window runs inside one range, and the ranges'
-totals (one short row each) give the offset.
+are cut into ranges, and ranges into ranges again until none is too large. The window runs inside one
+range, and the ranges' totals (one short row each) give the offset.
 """
 
 from __future__ import annotations
@@ -19,7 +19,10 @@ from ..functions.expr import col, dbl
 from ..session import cut_lineage
 
 GROUP_LIMIT = 1_000_000
-MOST_RANGES = 8192
+#: Parts of a cell a level of cuts makes.
+FANOUT = 128
+#: Shares of a table above which a single value's rows are spread; so many values at most are joined by broadcast.
+HEAVY_SHARES = 4096
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -27,26 +30,47 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
 
-def range_cuts(df: DataFrame, keys: Sequence[str], value: str, limit: int = GROUP_LIMIT) -> DataFrame | None:
-    """Cut points (keys, ``_cuts``) of the groups above ``limit`` rows, or None when there are none."""
-    keys = list(keys)
-    counts = df.groupBy(*keys).count()
-    largest = counts.agg(F.max("count")).first()[0] or 0
-    if largest <= limit:
-        return None
-    ranges = min(MOST_RANGES, 2 * math.ceil(largest / limit))
-    hot = df.join(counts.where(F.col("count") > limit).select(*keys), keys, "left_semi")
-    probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    return hot.groupBy(*keys).agg(F.percentile_approx(F.col(value), probs, F.lit(ranges * 50)).alias("_cuts"))
+def range_cuts(df: DataFrame, keys: Sequence[str], value: str, limit: int = GROUP_LIMIT,
+               fanout: int = FANOUT) -> list[DataFrame] | None:
+    """Cut points of the groups above ``limit`` rows, level by level, or None when there are none.
 
-
-def with_range(df: DataFrame, cuts: DataFrame | None, keys: Sequence[str], value: str) -> DataFrame:
-    """Add ``_range``, the value range of a row within its group (0 where the group is not cut)."""
-    if cuts is None:
-        return df.withColumn("_range", F.lit(0))
-    below = F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(value)))
-    return df.join(cuts, list(keys), "left").withColumn(
-        "_range", F.when(F.col("_cuts").isNull(), 0).otherwise(below)).drop("_cuts")
+    A level cuts every cell that is still too large at ``fanout`` - 1 quantiles (keys, ranges so far, ``_cuts``). A quantile is
+    a cell of its own, so a frequent value ends alone and all other cells shrink by about ``fanout`` a level.
+    """
+    keys = list(keys)
+    largest = largest_group(df, keys)
+    probs = F.array(*[F.lit(i / fanout) for i in range(1, fanout)])
+    levels, ranged = [], df.select(*keys, value)
+    while largest > limit:
+        by = [*keys, *[f"_r{i}" for i in range(len(levels))]]
+        sizes = ranged.groupBy(*by).agg(F.count(F.lit(1)).alias("_c"), F.min(value).alias("_low"), F.max(value).alias("_high"))
+        hot = sizes.where((F.col("_c") > limit) & (F.col("_low") < F.col("_high"))).select(*by)
+        cuts = ranged.join(hot, by, "left_semi").groupBy(*by).agg(
+            F.array_sort(F.array_distinct(F.percentile_approx(F.col(value), probs, F.lit(fanout * 50)))).alias("_cuts"))
+        levels.append(cut_lineage(cuts))
+        ranged = _next_range(ranged, levels[-1], keys, value, len(levels) - 1)
+        open_cells = ranged.groupBy(*by, f"_r{len(levels) - 1}").agg(
+            F.count(F.lit(1)).alias("_c"), F.min(value).alias("_low"), F.max(value).alias("_high"))
+        largest = open_cells.where(F.col("_low") < F.col("_high")).agg(F.max("_c")).first()[0] or 0
+    return levels or None
+
+
+def _next_range(df: DataFrame, cuts: DataFrame, keys: Sequence[str], value: str, level: int) -> DataFrame:
+    """Add ``_r<level>``: even numbers lie between two cuts, odd ones are a cut itself, 0 where the cell is not cut."""
+    below = F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(value))) * 2
+    equal = F.array_contains("_cuts", F.col(value)).cast("int")
+    on = [*keys, *[f"_r{i}" for i in range(level)]]
+    return df.join(cuts, on, "left").withColumn(
+        f"_r{level}", F.when(F.col("_cuts").isNull(), 0).otherwise(below + equal)).drop("_cuts")
+
+
+def with_range(df: DataFrame, cuts: list[DataFrame] | None, keys: Sequence[str], value: str, fanout: int = FANOUT) -> DataFrame:
+    """Add ``_range``, a number that grows with the value range of a row within its group (0 where the group is not cut)."""
+    place = F.lit(0).cast("long")
+    for level, each in enumerate(cuts or []):
+        df = _next_range(df, each, keys, value, level)
+        place = place * (2 * fanout) + F.col(f"_r{level}")
+    return df.withColumn("_range", place).drop(*[f"_r{i}" for i in range(len(cuts or []))])
 
 
 def ordered_totals(
@@ -121,18 +145,31 @@ def top_mean_of(k: Column | int, name: str = "v") -> Column:
     return F.sum(take * F.col(name)) / F.max(kk)
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, limit: int = GROUP_LIMIT) -> DataFrame:
-    """Attach the ascending average rank of ``value`` within its group (ties share their mean rank)."""
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, limit: int = GROUP_LIMIT, heavy_shares: int = HEAVY_SHARES) -> DataFrame:
+    """Attach the ascending average rank of ``value`` within its group (ties share their mean rank).
+
+    Rows of a value meet its rank in one task. Values with more than ``limit`` rows and more than one of ``heavy_shares``
+    parts of the table, of which there are fewer than ``heavy_shares``, are broadcast to their rows instead.
+    """
     t = ordered_totals(df, keys, value, descending=False, limit=limit)
-    t = t.select(*keys, F.col("v").alias("_v"), (F.col("cnt_before") + (F.col("cnt") + 1) / 2).alias("avg_rank"))
-    on = [df[k] == t[k] for k in keys] + [dbl(df[value]) == t["_v"]]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    out = df.join(t, cond)
-    for k in keys:
-        out = out.drop(t[k])
-    return out.drop("_v")
+    t = t.select(*[F.col(k).alias(f"_k{k}") for k in keys], F.col("v").alias("_v"), F.col("cnt").alias("_cnt"),
+                 (F.col("cnt_before") + (F.col("cnt") + 1) / 2).alias("avg_rank"))
+
+    def ranked(rows: DataFrame, ranks: DataFrame) -> DataFrame:
+        on = dbl(rows[value]) == ranks["_v"]
+        for k in keys:
+            on = on & (rows[k] == ranks[f"_k{k}"])
+        return rows.join(ranks, on).select(*df.columns, "avg_rank")
+
+    if largest_group(df, keys) <= limit:
+        return ranked(df, t)
+    t = cut_lineage(t)
+    least = F.col("_cnt") > max(limit, t.agg(F.sum("_cnt")).first()[0] / heavy_shares)
+    heavy = t.where(least)
+    if heavy.isEmpty():
+        return ranked(df, t)
+    return ranked(df, F.broadcast(heavy)).unionByName(ranked(df.join(
+        F.broadcast(heavy), [dbl(df[value]) == heavy["_v"], *[df[k] == heavy[f"_k{k}"] for k in keys]], "left_anti"), t.where(~least)))
 
 
 def hash_text(*parts) -> Column:
@@ -159,7 +196,7 @@ def hash_sample(df: DataFrame, keys: Sequence[str], n: Column | int, *parts, lim
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_h"))
     if largest <= limit:
         return tagged.withColumn("_r", rank).where(F.col("_r") <= many).drop("_h", "_r")
-    tagged = tagged.withColumn("_s", stratum("_h", min(MOST_RANGES, 4 * math.ceil(largest / limit))))
+    tagged = tagged.withColumn("_s", stratum("_h", min(GROUP_LIMIT, 4 * math.ceil(largest / limit))))
     w = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = tagged.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_n")).withColumn("_upto", F.sum("_n").over(w))
     joined = tagged.join(upto, [*keys, "_s"]).withColumn("_limit", many).withColumn("_before", F.col("_upto") - F.col("_n"))
@@ -175,7 +212,7 @@ def hash_index(df: DataFrame, keys: Sequence[str], id_col: str, name: str = "idx
     Only one hash stratum of a large group is ever sorted in one task.
     """
     keys = list(keys)
-    strata = min(MOST_RANGES, max(1, 4 * math.ceil(largest_group(df, keys) / limit) - 4) or 1)
+    strata = min(GROUP_LIMIT, max(1, 4 * math.ceil(largest_group(df, keys) / limit) - 4))
     tagged = df.withColumn("_h", hash_text(id_col)).withColumn("_s", stratum("_h", strata))
     whole = Window.partitionBy(*keys)
     ahead = whole.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)

@@ -186,7 +186,7 @@ def bootstrap_auroc(scores: DataFrame, replicates: int, seed: int = 0, category:
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
     rows = rows.select(*by, "_range", "_first", "label", "score", "w")
     sums = spread(rows, *by, "_range", "_first").groupBy(*by, "_range", "_first").applyInArrow(
-        _range_sums(by), f"{kinds}, _range int, _first long, u array<double>, p array<double>, n array<double>")
+        _range_sums(by), f"{kinds}, _range long, _first long, u array<double>, p array<double>, n array<double>")
     part = sums.select(*by, "_range", "_first", F.posexplode(F.arrays_zip("u", "p", "n")).alias("_k", "_s")).select(
         (F.col("_first") + F.col("_k")).cast("int").alias("b"), *by, "_range", "_s.u", "_s.p", "_s.n")
     ahead = Window.partitionBy("b", *by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

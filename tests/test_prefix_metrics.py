@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from cloudsieve.functions import metrics as M
 from cloudsieve.functions import pooling
 from cloudsieve.operators.prefix import (average_ranks, hash_index, hash_sample, lower_quantile_of, ordered_totals,
-                                         percentile_of)
+                                         percentile_of, range_cuts, with_range)
 
 
 def skewed(n=4000, seed=0):
@@ -70,3 +70,23 @@ def test_unknown_rule_raises_and_custom_rules_work(spark):
     pooling.register_rule("spread", lambda: F.max("v") - F.min("v"))
     got = pooling.object_scores(spark.createDataFrame(skewed(300)), ["g"], "s", ["spread", "max"]).toPandas()
     assert (got.spread >= 0).all()
+
+
+def test_ranges_are_cut_again_until_none_is_large(spark):
+    rng = np.random.default_rng(4)
+    # a frequent greatest value, a frequent inner one, and a dense place beside wide tails
+    v = np.concatenate([np.full(900, 9.0), np.full(700, 0.25), rng.random(1200), rng.normal(scale=1e-6, size=900), rng.normal(scale=99, size=300).clip(-500, 9)])
+    pdf = pd.DataFrame({"g": np.where(np.arange(len(v)) % 5 == 0, "a", "b"), "s": v, "id": np.arange(len(v))})
+    df = spark.createDataFrame(pdf).cache()
+    cuts = range_cuts(df, ["g"], "s", 20, 4)
+    assert len(cuts) > 2
+    cells = with_range(df, cuts, ["g"], "s", 4).groupBy("g", "_range").agg(
+        F.count(F.lit(1)).alias("n"), F.min("s").alias("low"), F.max("s").alias("high")).toPandas().sort_values(["g", "_range"])
+    assert (cells.n[cells.low < cells.high] <= 20).all() and len(cells) > 60
+    for _, one in cells.groupby("g"):
+        assert (one.high.to_numpy()[:-1] < one.low.to_numpy()[1:]).all()
+    assert range_cuts(df, ["g"], "s", 10**6) is None
+    rank = average_ranks(df, ["g"], "s", limit=20, heavy_shares=16).toPandas()
+    assert sorted(rank.columns) == ["avg_rank", "g", "id", "s"] and len(rank) == len(pdf)
+    expected = pdf.set_index("id").groupby("g").s.rank()
+    assert np.allclose(rank.set_index("id").avg_rank.sort_index(), expected.sort_index())
