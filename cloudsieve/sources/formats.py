@@ -130,14 +130,57 @@ def parse_ply(data: bytes) -> np.ndarray:
     return form.xyz(np.frombuffer(data, dtype=form.row, count=form.n, offset=form.body))
 
 
+def unpack_lzw(data: bytes) -> bytes:
+    """LZW strip or tile of a TIFF: codes of 9 to 12 bits, highest bit first, 256 clears the table, 257 ends."""
+    table = [bytes([i]) for i in range(256)] + [b"", b""]
+    out, last, width, bits, held = [], b"", 9, 0, 0
+    for byte in data:
+        held, bits = held << 8 | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code, held = held >> bits, held & (1 << bits) - 1
+        if code == 257:
+            break
+        if code == 256:
+            del table[258:]
+            last = b""
+        else:
+            if code > len(table) - (not last):
+                raise ValueError("damaged LZW block")
+            entry = table[code] if code < len(table) else last + last[:1]
+            if last:
+                table.append(last + entry[:1])
+            out.append(entry)
+            last = entry
+        width = min(12, (len(table) + 1).bit_length())
+    return b"".join(out)
+
+
 # Byte width of TIFF field types and the tags read here.
 _TIFF_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 16: 8}
-_WIDTH, _HEIGHT, _BITS, _COMPRESSION, _OFFSETS, _SAMPLES, _ROWS, _COUNTS, _PLANAR, _FORMAT = (
-    256, 257, 258, 259, 273, 277, 278, 279, 284, 339)
+_WIDTH, _HEIGHT, _BITS, _COMPRESSION, _OFFSETS, _SAMPLES, _ROWS, _COUNTS, _PLANAR, _PREDICTOR, _FORMAT = (
+    256, 257, 258, 259, 273, 277, 278, 279, 284, 317, 339)
+_TILE_WIDTH, _TILE_HEIGHT, _TILE_OFFSETS, _TILE_COUNTS = 322, 323, 324, 325
+_UNPACK = {1: bytes, 5: unpack_lzw, 8: zlib.decompress, 32946: zlib.decompress}
+
+
+def _samples(raw: bytes, shape: tuple[int, int, int], kind: np.dtype, predictor: int) -> np.ndarray:
+    """Samples of one strip or tile after undoing its predictor: none (1), differences along a row (2), of float bytes (3)."""
+    rows, columns, depth = shape
+    if predictor == 2:
+        whole = np.dtype(f"{kind.str[0]}u{kind.itemsize}") if kind.itemsize > 1 else np.dtype("u1")
+        steps = np.frombuffer(raw, whole, rows * columns * depth).reshape(shape)
+        return np.cumsum(steps, axis=1, dtype=whole.newbyteorder("=")).astype(whole).view(kind)
+    if predictor == 3:
+        steps = np.frombuffer(raw, np.uint8, rows * columns * depth * kind.itemsize).reshape(rows, -1, depth)
+        planes = np.cumsum(steps, axis=1, dtype=np.uint8).reshape(rows, kind.itemsize, columns * depth)
+        return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(f">f{kind.itemsize}").reshape(shape)
+    return np.frombuffer(raw, kind, rows * columns * depth).reshape(shape)
 
 
 def parse_tiff(data: bytes) -> np.ndarray:
-    """First image of a stripped TIFF (uncompressed or deflate) as (height, width, samples)."""
+    """First image of a TIFF in strips or tiles (uncompressed, LZW or deflate) as (height, width, samples)."""
     order = {b"II": "<", b"MM": ">"}[data[:2]]
     at = struct.unpack_from(order + "I", data, 4)[0]
     tags = {}
@@ -148,14 +191,23 @@ def parse_tiff(data: bytes) -> np.ndarray:
             where = struct.unpack_from(order + "I", data, where)[0]
         if kind in (3, 4):
             tags[tag] = struct.unpack_from(f"{order}{count}{'H' if kind == 3 else 'I'}", data, where)
-    width, height, samples = tags[_WIDTH][0], tags[_HEIGHT][0], tags.get(_SAMPLES, (1,))[0]
-    packed = tags.get(_COMPRESSION, (1,))[0]
-    if packed not in (1, 8, 32946):
+    one = lambda tag, default=1: tags.get(tag, (default,))[0]
+    width, height, samples, packed = tags[_WIDTH][0], tags[_HEIGHT][0], one(_SAMPLES), one(_COMPRESSION)
+    if packed not in _UNPACK:
         raise ValueError(f"TIFF compression {packed} is not supported")
-    strips = [data[o:o + c] for o, c in zip(tags[_OFFSETS], tags[_COUNTS])]
-    raw = b"".join(s if packed == 1 else zlib.decompress(s) for s in strips)
-    letter = {1: "u", 2: "i", 3: "f"}[tags.get(_FORMAT, (1,))[0]]
-    a = np.frombuffer(raw, dtype=f"{order}{letter}{tags[_BITS][0] // 8}")
-    if tags.get(_PLANAR, (1,))[0] == 2:
-        return a.reshape(samples, height, width).transpose(1, 2, 0)
-    return a.reshape(height, width, samples)
+    letter = {1: "u", 2: "i", 3: "f"}[one(_FORMAT)]
+    kind = np.dtype(f"{order}{letter}{tags[_BITS][0] // 8}")
+    tiled = _TILE_OFFSETS in tags
+    offsets, counts = (tags[_TILE_OFFSETS], tags[_TILE_COUNTS]) if tiled else (tags[_OFFSETS], tags[_COUNTS])
+    high, wide = (one(_TILE_HEIGHT), one(_TILE_WIDTH)) if tiled else (min(one(_ROWS, height), height), width)
+    down, across = -(-height // high), -(-width // wide)
+    planes = samples if one(_PLANAR) == 2 else 1
+    depth = samples // planes
+    out = np.zeros((height, width, samples), kind)
+    for i, (offset, count) in enumerate(zip(offsets, counts)):
+        plane, place = divmod(i, down * across)
+        top, left = place // across * high, place % across * wide
+        rows = high if tiled else min(high, height - top)
+        part = _samples(_UNPACK[packed](data[offset:offset + count]), (rows, wide, depth), kind, one(_PREDICTOR))
+        out[top:top + rows, left:left + wide, plane * depth:(plane + 1) * depth] = part[:height - top, :width - left]
+    return out

@@ -276,3 +276,90 @@ def test_a_short_cloud_raises(spark, tmp_path):
         (tmp_path / f"{kind}.pcd").write_bytes(data[:data.rindex(b"\n", 0, -200) + 1] if kind == "ascii" else data[:-200])
         with pytest.raises(Exception, match="ends"):
             C.read_pcd(spark, str(tmp_path / f"{kind}.pcd"), 500).collect()
+
+
+def lzw(data):
+    """Encoder of TIFF's LZW: widths grow when the table does, and it is cleared before codes need 13 bits."""
+    codes, known, run, width = [(256, 9)], {bytes([i]): i for i in range(256)}, b"", 9
+    size = 258
+    for i in range(len(data)):
+        b = data[i:i + 1]
+        if run + b in known:
+            run += b
+            continue
+        codes.append((known[run], width))
+        known[run + b] = size
+        size += 1
+        run = b
+        if size == 4095:
+            codes.append((256, 12))
+            known, size = {bytes([i]): i for i in range(256)}, 258
+        width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
+    if run:
+        codes.append((known[run], width))
+        size += 1
+    codes.append((257, 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12))
+    bits = "".join(format(c, f"0{w}b") for c, w in codes)
+    bits += "0" * (-len(bits) % 8)
+    return int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+
+def test_lzw_of_plain_and_repeated_bytes():
+    rng = np.random.default_rng(10)
+    for data in (b"", b"a", b"a" * 5000, bytes(rng.integers(0, 4, 30_000, dtype=np.uint8)), rng.bytes(9000),
+                 *[rng.bytes(n) for n in range(250, 262)]):
+        assert formats.unpack_lzw(lzw(data)) == data
+    with pytest.raises(ValueError):
+        formats.unpack_lzw(bytes([128, 127, 255, 255]))
+
+
+def tiff_parts(a, order, tile, packed, predictor, planar):
+    """TIFF bytes of an image cut into tiles (or strips of ``tile`` rows), each packed on its own."""
+    h, w, s = a.shape
+    high, wide = tile if isinstance(tile, tuple) else (tile, w)
+    sheets = [a[..., i:i + 1] for i in range(s)] if planar == 2 else [a]
+    parts = []
+    for sheet in sheets:
+        for top in range(0, h, high):
+            for left in range(0, w, wide):
+                part = sheet[top:top + high, left:left + wide]
+                if isinstance(tile, tuple):
+                    full = np.zeros((high, wide, part.shape[2]), a.dtype)
+                    full[:part.shape[0], :part.shape[1]] = part
+                    part = full
+                if predictor == 2:
+                    part = np.diff(part, axis=1, prepend=part.dtype.type(0))
+                    raw = part.astype(part.dtype.newbyteorder(order)).tobytes()
+                elif predictor == 3:
+                    planes = np.frombuffer(part.astype(">f4").tobytes(), np.uint8).reshape(part.shape[0], -1, 4).transpose(0, 2, 1)
+                    planes = planes.reshape(part.shape[0], -1, part.shape[2])
+                    raw = np.diff(planes, axis=1, prepend=np.uint8(0)).tobytes()
+                else:
+                    raw = part.astype(part.dtype.newbyteorder(order)).tobytes()
+                parts.append({1: bytes, 5: lzw, 8: zlib.compress}[packed](raw))
+    places = 8 + np.cumsum([0, *map(len, parts)])
+    at = int(places[-1])
+    n = len(parts)
+    lists = struct.pack(f"{order}{2 * n}I", *map(int, places[:-1]), *map(len, parts))
+    first, second = (at, at + 4 * n) if n > 1 else (8, len(parts[0]))
+    cut = [(322, 3, 1, wide), (323, 3, 1, high), (324, 4, n, first), (325, 4, n, second)] if isinstance(tile, tuple) else [
+        (273, 4, n, first), (278, 4, 1, high), (279, 4, n, second)]
+    tags = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, 1, 8 * a.itemsize), (259, 3, 1, packed), (277, 3, 1, s), (284, 3, 1, planar),
+            (317, 3, 1, predictor), (339, 3, 1, 3 if a.dtype.kind == "f" else 1), *cut]
+    head = struct.pack(f"{order}H", len(tags)) + b"".join(struct.pack(f"{order}HHI", t, k, c) + (
+        struct.pack(f"{order}HH", v, 0) if k == 3 else struct.pack(f"{order}I", v)) for t, k, c, v in sorted(tags))
+    mark = b"II" if order == "<" else b"MM"
+    return mark + struct.pack(f"{order}HI", 42, at + len(lists)) + b"".join(parts) + lists + head + b"\0" * 4
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("tile", [(16, 32), 7, 100])
+def test_tiffs_in_tiles_and_strips(order, tile):
+    rng = np.random.default_rng(11)
+    for kind, predictors in (("f4", (1, 3)), ("u2", (1, 2)), ("u1", (1, 2))):
+        a = (rng.normal(size=(45, 70, 3)) * 50 + 100).clip(0, 255).astype(kind)
+        for packed in (1, 5, 8):
+            for planar in (1, 2):
+                for p in predictors:
+                    got = formats.parse_tiff(tiff_parts(a, order, tile, packed, p, planar))
+                    assert got.shape == a.shape and (got == a).all(), (kind, packed, planar, p)
