@@ -90,6 +90,9 @@ class Page:
         self.blocks: list[list[tuple[int, str]]] = []
         self._block: list[tuple[int, str]] = []
         self._stack = [0]
+        # places in the stack of the open elements of each name, and of all that end a block
+        self._places: dict[str, list[int]] = {}
+        self._breaking: list[int] = []
         self._parse(source)
         self._flush()
 
@@ -104,15 +107,16 @@ class Page:
 
     def _close(self, names, stop=frozenset()) -> None:
         """Close the innermost open element of these names, unless one of ``stop`` is nearer."""
-        for k in range(len(self._stack) - 1, 0, -1):
-            tag = self.tags[self._stack[k]]
-            if tag in names:
-                if any(self.tags[x] not in INLINE for x in self._stack[k:]):
-                    self._flush()
-                del self._stack[k:]
-                return
-            if tag in stop:
-                return
+        k = max((self._places[n][-1] for n in names if self._places.get(n)), default=0)
+        if not k or any(self._places[n][-1] > k for n in stop if self._places.get(n)):
+            return
+        if self._breaking and self._breaking[-1] >= k:
+            self._flush()
+        for element in self._stack[k:]:
+            self._places[self.tags[element]].pop()
+        while self._breaking and self._breaking[-1] >= k:
+            self._breaking.pop()
+        del self._stack[k:]
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag not in INLINE:
@@ -137,6 +141,9 @@ class Page:
         self.masks.append(mask)
         self.marked.append(marked)
         if tag not in VOID:
+            self._places.setdefault(tag, []).append(len(self._stack))
+            if tag not in INLINE:
+                self._breaking.append(len(self._stack))
             self._stack.append(len(self.tags) - 1)
 
     def _parse(self, source: str) -> None:
@@ -151,7 +158,7 @@ class Page:
             tag, attributes = m[2].lower(), source[at:end - 1]
             at = end
             if m[1]:
-                if tag == "p" and not any(self.tags[x] == "p" for x in self._stack):
+                if tag == "p" and not self._places.get("p"):
                     self._flush()
                 self._close({tag}, frozenset() if tag not in INLINE else CLOSES_P - {"p"})
             else:

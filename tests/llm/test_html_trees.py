@@ -83,3 +83,13 @@ def test_awkward_rows(spark):
     assert got.columns == ["page_id", "url", "html", "text"]
     assert sorted(len(r.text) for r in got.collect()) == [0, 0, 0, 11, 200_000]
     assert H.extract(pages.limit(0)).count() == 0
+
+
+def test_nesting_and_stray_end_tags_cost_linear_time():
+    import time
+    n = 100_000
+    at = time.monotonic()
+    page = H.Page("<div>" * n + "deep" + "</span>" * n + "</b></p>" * n + "end" + "</div>" * n + "after")
+    assert time.monotonic() - at < 4
+    assert len(page.tags) == n + 1
+    assert ["".join(t for _, t in b) for b in page.blocks] == ["deep", "end", "after"]
