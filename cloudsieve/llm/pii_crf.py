@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -338,9 +339,29 @@ def _chunks(text: bytes):
     yield at, text[at:]
 
 
+def _code_points(text: bytes) -> np.ndarray:
+    """Places where a code point of UTF-8 text begins."""
+    return np.flatnonzero((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)
+
+
+class _Taken:
+    """Which places of a text the base spans and the field's spans so far cover; the field's come in ascending order."""
+
+    def __init__(self, base: list[tuple[str, int, int]]):
+        inside = sorted((s, e) for _, s, e in base)
+        self.starts = [s for s, _ in inside]
+        self.ends = np.maximum.accumulate([e for _, e in inside]).tolist() if inside else []
+        self.last = 0
+
+    def free(self, start: int, end: int) -> bool:
+        before = bisect_left(self.starts, end)
+        return start >= self.last and not (before and self.ends[before - 1] > start)
+
+
 def added_spans(texts: list[str], bases: list[list[tuple[str, int, int]]], shapes: _Shapes) -> list[list[tuple[str, int, int]]]:
     """Spans that the field adds to each text: contiguous words of one label that touch no base span and agree."""
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    taken: dict[int, _Taken] = {}
     group, size = [], 0
 
     def flush():
@@ -352,26 +373,34 @@ def added_spans(texts: list[str], bases: list[list[tuple[str, int, int]]], shape
             return
         first = np.cumsum([0, *[len(part) + 3 for _, _, part in group]])
         owner = np.searchsorted(first, places[:, 1], "right") - 1
+        points = _code_points(buffer)
         breaks = np.flatnonzero((np.diff(places[:, 0]) > 1) | (np.diff(labels) != 0) | (np.diff(owner) != 0)) + 1
         for rows in np.split(np.arange(len(labels)), breaks):
-            i, offset, part = group[owner[rows[0]]]
-            start, end = int(places[rows[0], 1] - first[owner[rows[0]]]), int(places[rows[-1], 2] - first[owner[rows[0]]])
+            i, lead, part = group[owner[rows[0]]]
+            base = int(first[owner[rows[0]]])
+            start, end = int(places[rows[0], 1]) - base, int(places[rows[-1], 2]) - base
             raw = part[start:end]
             found = raw.strip(_EDGE).decode("utf-8", "surrogatepass")
             kind = LABELS[labels[rows[0]]]
             if not found or not agrees(kind, found):
                 continue
             start += len(raw) - len(raw.lstrip(_EDGE))
-            at = len(texts[i].encode("utf-8", "surrogatepass")[:offset + start].decode("utf-8", "surrogatepass"))
+            at = lead + int(np.searchsorted(points, base + start) - np.searchsorted(points, base))
             span = (kind, at, at + len(found))
-            if all(span[2] <= s or e <= span[1] for _, s, e in [*bases[i], *out[i]]):
+            if i not in taken:
+                taken[i] = _Taken(bases[i])
+            if taken[i].free(span[1], span[2]):
+                taken[i].last = span[2]
                 out[i].append(span)
     for i, text in enumerate(texts):
-        for offset, part in _chunks(text.encode("utf-8", "surrogatepass")):
+        whole, seen, lead = text.encode("utf-8", "surrogatepass"), 0, 0
+        for offset, part in _chunks(whole):
+            lead += len(_code_points(whole[seen:offset]))
+            seen = offset
             if size + len(part) > CHUNK and group:
                 flush()
                 group, size = [], 0
-            group.append((i, offset, part.replace(_BORDER, b"\x01")))
+            group.append((i, lead, part.replace(_BORDER, b"\x01")))
             size += len(part)
     flush()
     return out

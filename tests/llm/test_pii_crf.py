@@ -114,3 +114,22 @@ def test_awkward_rows(frame):
     assert (row.n_email, row.n_ip, row.n_card, row.n_phone) == tuple(sum(k == x for k, *_ in plain_spans(rows[-1][1])) for x in C.KINDS)
     assert all(r.spans == "" for r in got if r.doc_id != 30)
     assert C.digest(C.find(frame([]))).count() == 0
+
+
+def test_many_spans_cost_linear_time():
+    import time
+    from cloudsieve.llm import pii_crf
+    shapes, took = pii_crf._Shapes(pii_crf.trained()), []
+    one = "h\u00e9 call me at 555-867-5309 tomorrow morning, or write to bob at example dot com about it. "
+    pii_crf.added_spans([one], [pii_crf.base_spans(one)], shapes)
+    each = pii_crf.added_spans([one], [pii_crf.base_spans(one)], shapes)[0]
+    for n in (4_000, 16_000):
+        text = one * n
+        at = time.monotonic()
+        found, = pii_crf.added_spans([text], [[]], shapes)
+        took.append(time.monotonic() - at)
+        assert found == sorted(found, key=lambda s: s[1])
+        assert all(pii_crf.agrees(k, text[s:e]) for k, s, e in found)
+        if each:
+            assert len(found) >= n * len(each) * 0.9
+    assert took[1] < 12 * took[0] + 2
