@@ -10,6 +10,7 @@ summed in that one pass.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 from hashlib import md5
 
@@ -99,7 +100,19 @@ def draw_weights(text: str, n: int, first: int, last: int, seed: int, part: int
     return out
 
 
-def _weight_batches(seed: int, members: int):
+def _packed(row: bytes) -> bytes:
+    """Weights with their byte frequencies coded: they are small numbers, so about a third is left."""
+    coder = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+    return coder.compress(row) + coder.flush()
+
+
+def _unpacked(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(zlib.decompress(r, -15) for r in rows), np.uint8).reshape(len(rows), -1)
+
+
+def _weight_batches(seed: int, members: int, packed: bool):
+    code = _packed if packed else bytes
+
     def run(batches):
         for batch in batches:
             names = [n for n in batch.schema.names if n not in ("_text", "_n", "_last", "_p")]
@@ -113,14 +126,14 @@ def _weight_batches(seed: int, members: int):
                     same = pa.array(np.full(len(rows), i))
                     yield pa.RecordBatch.from_arrays(
                         [*[batch.column(batch.schema.names.index(c)).take(same) for c in names],
-                         pa.array(np.arange(base + at, base + at + len(rows))), pa.array([r.tobytes() for r in rows], pa.binary())],
+                         pa.array(np.arange(base + at, base + at + len(rows))), pa.array([code(r.tobytes()) for r in rows], pa.binary())],
                         names=[*names, "idx", "w"])
     return run
 
 
 def weight_blocks(strata: DataFrame, keys: Sequence[str], replicates: int, seed: int = 0, block: int = BLOCK,
-                  hashed: Sequence[str] | None = None, part_members: int = PART_MEMBERS) -> DataFrame:
-    """(keys, _first, idx, w) from strata (keys, n): ``w`` has a byte per replicate from ``_first`` on.
+                  hashed: Sequence[str] | None = None, part_members: int = PART_MEMBERS, packed: bool = False) -> DataFrame:
+    """(keys, _first, idx, w) from strata (keys, n): ``w`` has a byte per replicate from ``_first`` on, coded if ``packed``.
 
     ``hashed`` names the key columns that the draws depend on (default: all); strata of one size that agree in them
     share their draws.
@@ -135,15 +148,14 @@ def weight_blocks(strata: DataFrame, keys: Sequence[str], replicates: int, seed:
     rows = rows.select("*", starts.alias("_first")).withColumn("_last", F.least(F.col("_first") + block - 1, F.lit(replicates)))
     rows = spread(rows, *keys, "_first", "_p")
     schema = ", ".join([*(f"{k} {strata.schema[k].dataType.simpleString()}" for k in keys), "_first long, idx long, w binary"])
-    return rows.mapInArrow(_weight_batches(seed, part_members), schema)
+    return rows.mapInArrow(_weight_batches(seed, part_members, packed), schema)
 
 
 def _range_sums(by: Sequence[str]):
     def run(t: pa.Table) -> pa.Table:
         score, positive = t["score"].to_numpy(), t["label"].to_numpy() > 0
-        raw = t["w"].combine_chunks()
-        size = len(raw[0].as_py())
-        w = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(-1, size)
+        w = _unpacked(t["w"].to_pylist())
+        size = w.shape[1]
         neg = np.flatnonzero(~positive)
         neg = neg[np.argsort(score[neg], kind="stable")]
         below = np.zeros((len(neg) + 1, size), np.int32)  # weight of the negatives up to a place
@@ -178,11 +190,12 @@ def bootstrap_auroc(scores: DataFrame, replicates: int, seed: int = 0, category:
     strata = [category, "label"]
     same_samples(scores, [*strata, "file"], series)
     members = cut_lineage(hash_index(scores.select(*strata, "file").distinct(), strata, "file"))
-    weights = weight_blocks(members.groupBy(*strata).agg(F.max("n").alias("n")), strata, replicates, seed)
+    weights = weight_blocks(members.groupBy(*strata).agg(F.max("n").alias("n")), strata, replicates, seed, packed=True)
     by = [*series, category]
     base = scores.where(F.col("score").isNotNull()).select(*by, "label", "file", F.col("score").cast("double").alias("score"))
     base = with_range(base, range_cuts(base, by, "score", RANGE_ROWS), by, "score")
-    rows = base.join(members.select(*strata, "file", "idx"), [*strata, "file"]).join(weights, [*strata, "idx"])
+    # a weight row is many times the size of the stratum row that the planner sees, so weights are never broadcast
+    rows = base.join(members.select(*strata, "file", "idx"), [*strata, "file"]).join(weights.hint("merge"), [*strata, "idx"])
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
     rows = rows.select(*by, "_range", "_first", "label", "score", "w")
     sums = spread(rows, *by, "_range", "_first").groupBy(*by, "_range", "_first").applyInArrow(
@@ -233,7 +246,7 @@ def unit_bootstrap(values: DataFrame, replicates: int, seed: int = 0) -> DataFra
     strata = ["option", "dataset"]
     members = cut_lineage(hash_index(values.select(*strata, "unit", "diff"), strata, "unit"))
     weights = weight_blocks(members.groupBy(*strata).agg(F.max("n").alias("n")), strata, replicates, seed, hashed=["dataset"])
-    rows = members.select(*strata, "idx", F.col("diff").cast("double").alias("value")).join(weights, [*strata, "idx"])
+    rows = members.select(*strata, "idx", F.col("diff").cast("double").alias("value")).join(weights.hint("merge"), [*strata, "idx"])
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in strata)
     sums = rows.select(*strata, "_first", "value", "w").mapInArrow(
         _weighted_sums(strata), f"{kinds}, _first long, s array<double>, c array<double>")

@@ -175,3 +175,24 @@ def test_alignment_diagnostic(spark):
     d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
     assert np.isclose(got.loo_med.iloc[0], (np.median(d.min(1)) + np.median(d.min(0))) / 2)
     assert got.loc["off", "ref_trans"] > got.loc["near", "ref_trans"] and got.loc["off", "ref_res_med"] < got.loc["off", "res_med"]
+
+
+def test_bootstrap_weights_are_never_broadcast(spark):
+    from cloudsieve.plans import bootstrap as B
+    rng = np.random.default_rng(2)
+    rows = [(s, ch, "c", i % 2, i, float(rng.normal())) for s in (0, 1) for ch in ("a", "b") for i in range(40)]
+    scores = spark.createDataFrame(rows, "seed int, channel string, category string, label int, file int, score double")
+    values = spark.createDataFrame([(o, "x", u, 1.0) for o in ("p", "q") for u in range(9)], "option string, dataset string, unit int, diff double")
+    for out in (B.bootstrap_auroc(scores, 300), B.unit_bootstrap(values, 60)):
+        assert out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+        at = next(i for i, line in enumerate(plan) if "MapInArrow" in line and "_first" in line and " w#" in line)
+        above = [line for i, line in enumerate(plan[:at]) if len(line) - len(line.lstrip(" :+-")) < len(plan[at]) - len(plan[at].lstrip(" :+-"))]
+        assert not any("BroadcastExchange" in line for line in above)
+
+
+def test_packed_weights_are_the_same_weights(spark):
+    from cloudsieve.plans import bootstrap as B
+    strata = spark.createDataFrame([("x", 41), ("y", 3)], "k string, n int")
+    plain, packed = (B.weight_blocks(strata, ["k"], 30, block=12, packed=p).orderBy("k", "_first", "idx").toPandas() for p in (False, True))
+    assert [bytes(w) for w in plain.w] == [B._unpacked([bytes(w)]).tobytes() for w in packed.w]
