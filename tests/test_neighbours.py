@@ -84,3 +84,17 @@ def test_radius_summary_matches_pairs(spark):
     pairs = pd.DataFrame(list(brute(q, r, None, None, 0.3)), columns=["g", "qid", "rid", "d"]).groupby("qid").d
     assert (got.n.sort_index() == pairs.size().sort_index()).all()
     assert np.allclose(got.reach.sort_index(), pairs.max().sort_index())
+
+
+def test_small_groups_share_a_call(spark):
+    rng = np.random.default_rng(5)
+    rows = [(None if g == 7 else f"g{g}", i, *map(float, rng.uniform(size=3))) for g in range(60) for i in range(1 + g % 5)]
+    df = spark.createDataFrame(rows, "g string, point_idx int, x double, y double, z double")
+    near = neighbours(df, df, 2, ["g"])
+    assert "_lot" in near._jdf.queryExecution().analyzed().toString()
+    got = {(r["g"], r["qid"], r["rank"]): (r["rid"], r["dist"]) for r in near.collect()}
+    want = {}
+    for g, i, *p in rows:
+        d = sorted((float(np.linalg.norm(np.subtract(p, o))), j) for h, j, *o in rows if h == g)
+        want |= {(g, i, k + 1): (j, v) for k, (v, j) in enumerate(d[:2])}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and np.isclose(got[k][1], want[k][1]) for k in want)
