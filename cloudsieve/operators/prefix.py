@@ -2,7 +2,7 @@
 
 AUROC, average precision, operating points, exact percentiles, medians, top-k means and average
 ranks all need "how much lies before this value in my group". Equal values are first collapsed by a
-partial aggregate. Groups up to ``GROUP_LIMIT`` rows then need one window. The values of larger groups
+partial aggregate. Groups up to ``GROUP_LIMIT`` rows or distinct values then need one window. The values of larger groups
 are cut into ranges, and ranges into ranges again until none is too large. The window runs inside one
 range, and the ranges' totals (one short row each) give the offset.
 """
@@ -21,6 +21,8 @@ from ..session import cut_lineage
 GROUP_LIMIT = 1_000_000
 #: Parts of a cell a level of cuts makes.
 FANOUT = 128
+#: Of the cuts of a cell, every so many-th is looked at first.
+STRIDE = 12
 #: Shares of a table above which a single value's rows are spread; so many values at most are joined by broadcast.
 HEAVY_SHARES = 4096
 
@@ -57,11 +59,16 @@ def range_cuts(df: DataFrame, keys: Sequence[str], value: str, limit: int = GROU
 
 def _next_range(df: DataFrame, cuts: DataFrame, keys: Sequence[str], value: str, level: int) -> DataFrame:
     """Add ``_r<level>``: even numbers lie between two cuts, odd ones are a cut itself, 0 where the cell is not cut."""
-    below = F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(value))) * 2
-    equal = F.array_contains("_cuts", F.col(value)).cast("int")
+    v, less = F.col(value), lambda c: c < F.col(value)
+    # cuts are in order: look among every STRIDE-th of them, then among those that follow it
+    ahead = F.size(F.filter(F.col("_strides"), less)) * STRIDE
+    found = F.col("_ahead") + F.size(F.filter(F.slice("_cuts", F.col("_ahead") + 1, STRIDE), less))
+    equal = F.coalesce(F.get("_cuts", F.col("_below")) == v, F.when(v.isNotNull(), False)).cast("int")
     on = [*keys, *[f"_r{i}" for i in range(level)]]
-    return df.join(cuts, on, "left").withColumn(
-        f"_r{level}", F.when(F.col("_cuts").isNull(), 0).otherwise(below + equal)).drop("_cuts")
+    cuts = cuts.withColumn("_strides", F.filter("_cuts", lambda c, i: i % STRIDE == STRIDE - 1))
+    out = df.join(cuts, on, "left").withColumn("_ahead", ahead).withColumn("_below", found)
+    return out.withColumn(f"_r{level}", F.when(F.col("_cuts").isNull(), 0).otherwise(F.col("_below") * 2 + equal)).drop(
+        "_cuts", "_strides", "_ahead", "_below")
 
 
 def with_range(df: DataFrame, cuts: list[DataFrame] | None, keys: Sequence[str], value: str, fanout: int = FANOUT) -> DataFrame:
@@ -98,7 +105,10 @@ def ordered_totals(
     names = ["cnt", *sums]
     amounts = [F.count(F.lit(1)).cast("double").alias("cnt"), *[F.sum(dbl(s)).alias(s) for s in sums]]
     flat = src.groupBy(*by, name).agg(*amounts)
-    cuts = range_cuts(src.select(*by, name), by, name, limit)
+    cuts = None
+    if largest_group(src, by) > limit:
+        flat = cut_lineage(flat)  # from here on only distinct values are read
+        cuts = range_cuts(flat.select(*by, name), by, name, limit)
     order = F.col(name).desc() if descending else F.col(name).asc()
     before = lambda w: [F.coalesce(F.sum(s).over(w), F.lit(0.0)).alias(f"{s}_before") for s in names]
     if cuts is None:
@@ -107,7 +117,7 @@ def ordered_totals(
         return flat.select(*keys, name, *names, *before(ahead), *[F.sum(s).over(whole).alias(f"{s}_total") for s in names])
     flat = with_range(flat, cuts, by, name)
     # per range and group only totals are left, so this window is short
-    totals = with_range(src, cuts, by, name).groupBy(*by, "_range").agg(*amounts)
+    totals = flat.groupBy(*by, "_range").agg(*[F.sum(s).alias(s) for s in names])
     whole = Window.partitionBy(*by)
     step = F.col("_range").desc() if descending else F.col("_range").asc()
     ahead = whole.orderBy(step).rowsBetween(Window.unboundedPreceding, -1)

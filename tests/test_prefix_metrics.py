@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cloudsieve.functions import metrics as M
 from cloudsieve.functions import pooling
+from cloudsieve.operators import prefix
 from cloudsieve.operators.prefix import (average_ranks, hash_index, hash_sample, lower_quantile_of, ordered_totals,
                                          percentile_of, range_cuts, with_range)
 
@@ -90,3 +91,20 @@ def test_ranges_are_cut_again_until_none_is_large(spark):
     assert sorted(rank.columns) == ["avg_rank", "g", "id", "s"] and len(rank) == len(pdf)
     expected = pdf.set_index("id").groupby("g").s.rank()
     assert np.allclose(rank.set_index("id").avg_rank.sort_index(), expected.sort_index())
+
+
+def test_ranges_are_cut_from_distinct_values(spark):
+    rows = [("g", float(i % 5)) for i in range(600)] + [("h", float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    t = ordered_totals(df, ["k"], "v", limit=100)
+    assert "_range" not in t._jdf.queryExecution().analyzed().toString()
+    got = {r["v"]: (r["cnt"], r["cnt_before"], r["cnt_total"]) for r in t.where("k = 'g'").collect()}
+    assert got == {float(i): (120.0, (4 - i) * 120.0, 600.0) for i in range(5)}
+
+
+def test_ranges_grow_with_the_value(spark):
+    cuts = [float(c) for c in range(0, 254, 2)]
+    df = spark.createDataFrame([("g", i / 2) for i in range(-4, 520)] + [("h", 1.0)], "k string, v double")
+    side = spark.createDataFrame([("g", cuts)], "k string, _cuts array<double>")
+    got = {(r["k"], r["v"]): r["_r0"] for r in prefix._next_range(df, side, ["k"], "v", 0).collect()}
+    assert all(got["g", v] == 2 * sum(c < v for c in cuts) + (v in cuts) for v in [i / 2 for i in range(-4, 520)]) and got["h", 1.0] == 0
