@@ -94,3 +94,13 @@ def test_numbers_across_ranges_are_those_of_one_window(spark):
         many, one = (ordered_index(df, keys, ["p"], "i", first=1, limit=m) for m in (30, 10**6))
         assert sorted(map(tuple, many.select("p", "i").collect())) == sorted(map(tuple, one.select("p", "i").collect()))
         assert many.columns == ["g", "p", "v", "i"]
+
+
+def test_small_clouds_share_the_calls_of_a_summary(spark):
+    from cloudsieve.operators.neighbours import neighbours
+    rows = [(g, i, float(i), 0.0, 0.0, 1 + i) for g in range(40) for i in range(1 + g % 4)]
+    df = spark.createDataFrame(rows, "c int, point_idx int, x double, y double, z double, _w int")
+    near = neighbours(df, df, None, ["c"], radius=1.5, payload=["_w"], custom=C._weight_around(1.5))
+    assert "_lot" in near._jdf.queryExecution().analyzed().toString()
+    got = {(r["c"], r["qid"]): r["_n"] for r in near.collect()}
+    assert got == {(g, i): sum(1 + j for j in range(1 + g % 4) if abs(i - j) <= 1) for g, i, *_ in rows}
