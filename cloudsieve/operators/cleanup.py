@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.expr import dbl, hash01, norm3
-from ..session import cut_lineage, spread
+from ..session import cut_lineage, rewritten, spread
 from .descriptors import smallest_axis
-from .neighbours import Block, Summary, neighbours
+from .neighbours import TILE_ROWS, Block, Summary, _square_distances, codes, neighbours
 from .prefix import GROUP_LIMIT, ordered_index, ordered_totals, percentile_of
 from .preprocess import XYZ
 
@@ -24,6 +24,8 @@ MIN_CLUSTER_POINTS, CLUSTER_SHARE = 50, 0.03
 CORE_NEIGHBOURS, SIZE_SHARE = 5, 0.05
 #: Border points that meet all trials in one task.
 BLOCK_ROWS = 1 << 14
+#: Points of small clouds that share a call.
+LOT_ROWS = 1 << 14
 
 
 def extents(points: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -139,23 +141,70 @@ def _least_around(radius: float) -> Summary:
     return Summary((("_t", pa.int64()),), fn)
 
 
+def _clustered(x: np.ndarray, ids: np.ndarray, radius: float, min_points: int) -> tuple[np.ndarray, np.ndarray]:
+    """Density clusters of one cloud whose ids ascend: rows that belong to one, and its smallest core id."""
+    inside = _square_distances(x, x) <= radius * radius * (1 + 1e-12)
+    core = inside.sum(axis=1) >= min_points
+    name = np.full(len(x), -1)
+    for i in np.flatnonzero(core):
+        edge = np.array([i]) if name[i] < 0 else np.zeros(0, int)
+        while len(edge):
+            name[edge] = i
+            edge = np.flatnonzero(inside[edge].any(axis=0) & core & (name < 0))
+    # names are places in ascending ids, so the least name is the least id
+    touch = np.where(inside[:, core], name[core], len(x)).min(axis=1, initial=len(x))
+    name = np.where(core, name, touch)
+    rows = np.flatnonzero(name < len(x))
+    return rows, ids[name[rows]]
+
+
+def _clusters_of_lot(keys: list[str], id_col: str, radius: float, min_points: int, schema: pa.Schema):
+    def run(points: pa.Table) -> pa.Table:
+        code, ids = codes([points], keys)[0], points[id_col].to_numpy()
+        order = np.lexsort((ids, code))
+        x, ids = np.column_stack([points[c].to_numpy() for c in XYZ])[order], ids[order]
+        ends = [*np.flatnonzero(np.diff(code[order], prepend=-1)), len(order)]
+        found = [(rows + s, name) for s, e in zip(ends, ends[1:]) for rows, name in [_clustered(x[s:e], ids[s:e], radius, min_points)]]
+        at = pa.array(order[np.concatenate([rows for rows, _ in found])])
+        cluster = pa.array(np.concatenate([name for _, name in found]))
+        return pa.table([*[points[c].take(at) for c in (*keys, id_col)], cluster], schema=schema)
+    return run
+
+
 def density_clusters(points: DataFrame, keys: Sequence[str], radius_share: float = CLUSTER_SHARE,
-                     min_points: int = CORE_NEIGHBOURS, id_col: str = "point_idx") -> DataFrame:
+                     min_points: int = CORE_NEIGHBOURS, id_col: str = "point_idx", limit: int = TILE_ROWS) -> DataFrame:
     """Density clusters (keys, id, cluster) with the radius a share of the cloud's extent; noise is absent.
 
     Core points have at least ``min_points`` points within the radius (themselves included). Connected
     core points share a cluster, named by its smallest id; other points join a core point they touch.
 
-    No pairs of points are made: points are put in cells whose diagonal is the radius. A cell with ``min_points`` points
+    Clouds of at most ``limit`` points are clustered whole, many in one call. No pairs of points are made of larger ones:
+    points are put in cells whose diagonal is the radius. A cell with ``min_points`` points
     is core throughout, other points are counted inside the blocks of the radius join; core points of a cell belong together,
     so the graph to be labelled joins cells, at most 124 per cell.
     """
     keys = list(keys)
+    # NaN is no place a block could compare, cells take it as one
+    odd = F.count_if(F.isnan(dbl("x")) | F.isnan(dbl("y")) | F.isnan(dbl("z")) | F.col(id_col).isNull())
+    sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), odd.alias("_odd"))
+    sizes = sizes.select(*keys, ((F.col("_n") <= limit) & (F.col("_odd") == 0)).alias("_small"), "_n")
+    known = extents(points, keys).join(sizes, keys)
     # dividing by the extent makes one radius fit all clouds
-    scaled = points.join(extents(points, keys), keys).select(
-        *keys, id_col, *[(dbl(c) / F.col("extent")).alias(c) for c in XYZ])
+    scaled = cut_lineage(points.join(known, keys).select(
+        *keys, id_col, *[(dbl(c) / F.col("extent")).alias(c) for c in XYZ], "_small"))
+    counts = {r["_small"]: r["count"] for r in scaled.groupBy("_small").count().collect()}
+    small, large = scaled.where("_small").drop("_small"), scaled.where("NOT _small").drop("_small")
+    lots = max(scaled.sparkSession.sparkContext.defaultParallelism, -(-counts.get(True, 0) // LOT_ROWS))
+    schema = to_arrow_schema(small.select(*keys, id_col, F.col(id_col).alias("cluster")).schema)
+    dealt = small.dropna(subset=list(XYZ)).withColumn("_lot", F.pmod(F.xxhash64(*keys), F.lit(lots)))
+    run = _clusters_of_lot(keys, id_col, radius_share, min_points, schema)
+    out = spread(dealt, "_lot").groupBy("_lot").applyInArrow(run, small.select(*keys, id_col, F.col(id_col).alias("cluster")).schema)
+    return out.unionByName(_cell_clusters(large, keys, radius_share, min_points, id_col)) if counts.get(False) else out
+
+
+def _cell_clusters(scaled: DataFrame, keys: list[str], radius_share: float, min_points: int, id_col: str) -> DataFrame:
+    """Density clusters of large clouds over a graph of cells."""
     # equal positions act as one point with a weight, so copies cannot blow up the work
-    scaled = cut_lineage(scaled)
     places = scaled.groupBy(*keys, *XYZ).agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("_w"))
     side = radius_share / 3 ** 0.5
     cell = [f"_g{c}" for c in XYZ]
@@ -178,7 +227,7 @@ def density_clusters(points: DataFrame, keys: Sequence[str], radius_share: float
         near = edges.join(label.withColumnRenamed("_a", "_b"), [*keys, "_b"]).groupBy(*keys, "_a").agg(F.min("cluster").alias("_c"))
         hop = near.select(*keys, F.col("_a").alias("_c"), F.col("_c").alias("_d"))
         new = label.join(near, [*keys, "_a"]).join(hop, [*keys, "_c"], "left")
-        new = cut_lineage(new.select(*keys, "_a", F.least("cluster", "_c", F.coalesce("_d", "_c")).alias("_new"), "cluster"))
+        new = rewritten(new.select(*keys, "_a", F.least("cluster", "_c", F.coalesce("_d", "_c")).alias("_new"), "cluster"))
         moved = new.where(F.col("_new") != F.col("cluster")).limit(1).count()
         label = new.select(*keys, "_a", F.col("_new").alias("cluster"))
         if not moved:

@@ -104,3 +104,19 @@ def test_small_clouds_share_the_calls_of_a_summary(spark):
     assert "_lot" in near._jdf.queryExecution().analyzed().toString()
     got = {(r["c"], r["qid"]): r["_n"] for r in near.collect()}
     assert got == {(g, i): sum(1 + j for j in range(1 + g % 4) if abs(i - j) <= 1) for g, i, *_ in rows}
+
+
+def test_small_clouds_are_clustered_in_one_call_as_by_cells(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    frames = []
+    for k, n in (("a", 180), ("b", 60), ("c", 1), ("d", 4)):
+        x = np.vstack([rng.normal(scale=0.05, size=(n, 3)), rng.uniform(-1, 1, size=(n // 3, 3))])
+        x[: n // 4] = x[0]
+        frames.append(pd.DataFrame(x, columns=["x", "y", "z"]).assign(c=k, point_idx=rng.permutation(len(x)) + 7))
+    df = spark.createDataFrame(pd.concat(frames))
+    rows = lambda d: sorted(map(tuple, d.select("c", "point_idx", "cluster").collect()))
+    cells = rows(C.density_clusters(df, ["c"], 0.06, limit=0))
+    assert len(cells) > 60
+    assert rows(C.density_clusters(df, ["c"], 0.06, limit=100)) == cells
+    monkeypatch.setattr(C, "neighbours", None)  # small clouds need no joins
+    assert rows(C.density_clusters(df, ["c"], 0.06)) == cells
