@@ -354,7 +354,6 @@ def support_plane_removal(spark, sf_dir):
         "l_suppkey", F.xxhash64("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice").alias("point_idx"),
         F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"),
         (F.col("l_discount") * 100).alias("z"), (F.col("l_linestatus") == "F").alias("border"))
-    line = cut_lineage(line)
     left = CL.remove_plane(line, ["l_suppkey"]).groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
     # a cloud that lies in its plane is left with nothing, which is a result
     return line.select("l_suppkey").distinct().join(left, "l_suppkey", "left").select("l_suppkey", F.coalesce("n", F.lit(0)).alias("n_left"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,11 @@ def extents(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     return points.groupBy(*keys).agg(F.when(span > 0, span).otherwise(F.lit(1.0)).alias("extent"))
 
 
+def _near_plane(x: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Distances of points to planes given by unit normals and a place each."""
+    return np.abs(sum(x[:, [k]] * n[:, k] - p[:, k] * n[:, k] for k in range(3)))
+
+
 def _hits(keys: list[str], schema: pa.Schema):
     """Points of a block near each hypothesis."""
     def run(points: pa.Table, planes: pa.Table) -> pa.Table:
@@ -44,8 +50,7 @@ def _hits(keys: list[str], schema: pa.Schema):
         limit, hits = planes["_limit"].to_numpy(), np.zeros(len(n), np.int64)
         step = max(1, (1 << 20) // len(n))
         for s in range(0, len(x), step):
-            d = np.abs(sum(x[s:s + step, [k]] * n[:, k] - p[:, k] * n[:, k] for k in range(3)))
-            hits += (d <= limit).sum(axis=0)
+            hits += (_near_plane(x[s:s + step], n, p) <= limit).sum(axis=0)
         return pa.table([*[planes[k] for k in keys], planes["_t"], pa.array(hits)], schema=schema)
     return run
 
@@ -53,20 +58,15 @@ def _hits(keys: list[str], schema: pa.Schema):
 _NORMAL, _PLACE = ("_a", "_b", "_c"), ("_px", "_py", "_pz")
 
 
-def fit_planes(border: DataFrame, extent: DataFrame, keys: Sequence[str], seed: int = 0, block_rows: int = BLOCK_ROWS,
-               limit: int = GROUP_LIMIT) -> DataFrame:
-    """Plane of every cloud with at least 100 border points, by consensus: keys, pa, pb, pc, pw (unit normal).
+def _wide_planes(rows: DataFrame, sizes: DataFrame, keys: list[str], seed: int, block_rows: int, limit: int) -> DataFrame:
+    """Planes of clouds with more than ``block_rows`` border points, whose 1,000 trials are few beside their points.
 
-    Each trial takes three points by a hash of (seed, keys, trial, corner) in the order of z, y, x; the first trial with
-    most points near its plane is refitted to those points. The trials of a cloud are a small table. Blocks of at most about
-    ``block_rows`` points report how many lie near each of them; the best is a grouped maximum and the refit a grouped covariance.
+    The trials of a cloud are a small table. Blocks of at most about ``block_rows`` points report how many lie near each of
+    them; the best is a grouped maximum and the refit a grouped covariance.
     """
-    keys = list(keys)
-    sizes = border.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= MIN_BORDER_POINTS)
-    rows = border.join(sizes, keys).select(*keys, *[dbl(c).alias(c) for c in XYZ], "_n")
+    rows = rows.join(sizes.select(*keys, "_n"), keys)
     rows = cut_lineage(ordered_index(rows, keys, ["z", "y", "x"], "_i", limit=limit))
-    trials = sizes.join(extent, keys).select(*keys, "_n", (F.lit(PLANE_SHARE) * F.col("extent")).alias("_limit"),
-                                             F.explode(F.sequence(F.lit(0), F.lit(PLANE_TRIALS - 1))).alias("_t"))
+    trials = sizes.select(*keys, "_n", "_limit", F.explode(F.sequence(F.lit(0), F.lit(PLANE_TRIALS - 1))).alias("_t"))
     corner = lambda j: F.floor(hash01(F.lit(str(seed)), *keys, F.col("_t"), F.lit(j)) * F.col("_n"))
     drawn = trials.select(*keys, "_t", "_limit", F.posexplode(F.array(*[corner(j) for j in range(3)])).alias("_j", "_i"))
     drawn = drawn.join(rows.select(*keys, "_i", *XYZ), [*keys, "_i"])
@@ -83,7 +83,7 @@ def fit_planes(border: DataFrame, extent: DataFrame, keys: Sequence[str], seed:
     asked = planes.join(sizes.select(*keys, F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part")), keys)
     on = [*keys, "_part"]
     fresh = lambda d: spread(d.select(*[F.col(c).alias(c) for c in d.columns]), *on).groupBy(*on)
-    heads = ", ".join(f"{k} {border.schema[k].dataType.simpleString()}" for k in keys)
+    heads = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
     schema = to_arrow_schema(planes.select(*keys, "_t", F.lit(0).cast("long").alias("_hits")).schema)
     hits = fresh(blocks).cogroup(fresh(asked)).applyInArrow(_hits(keys, schema), f"{heads}, _t int, _hits long")
     hits = hits.groupBy(*keys, "_t").agg(F.sum("_hits").alias("_hits"))
@@ -98,6 +98,70 @@ def fit_planes(border: DataFrame, extent: DataFrame, keys: Sequence[str], seed:
                       (-sum((a * F.col(f"_m{c}") for a, c in zip(axis, XYZ)), F.lit(0.0))).alias("pw"))
 
 
+def _consensus(x: np.ndarray, head: str, limit: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """Normal and centre of the plane of one cloud's ordered border points, from the same trials as :func:`_wide_planes` takes."""
+    drawn = [int(md5(f"{head}|{t}|{j}".encode()).hexdigest()[:8], 16) / 4294967296.0 for t in range(PLANE_TRIALS) for j in range(3)]
+    corner = x[np.floor(np.array(drawn) * len(x)).astype(np.int64)].reshape(-1, 3, 3)
+    n = np.cross(corner[:, 1] - corner[:, 0], corner[:, 2] - corner[:, 0])
+    length = np.sqrt((n * n).sum(axis=1))
+    good = length > 0
+    if not good.any():
+        return None
+    n, p, hits = n[good] / length[good, None], corner[good, 0], np.zeros(good.sum(), np.int64)
+    step = max(1, (1 << 20) // len(n))
+    for s in range(0, len(x), step):
+        hits += (_near_plane(x[s:s + step], n, p) <= limit).sum(axis=0)
+    best = [int(hits.argmax())]
+    inner = x[_near_plane(x, n[best], p[best])[:, 0] <= limit]
+    centre = inner.mean(axis=0)
+    return np.linalg.eigh(np.cov(inner.T, bias=True))[1][:, 0], centre
+
+
+def _planes_of_clouds(keys: list[str], schema: pa.Schema):
+    """Planes of a lot of clouds; points in the order of z, y, x, absent values first."""
+    def run(points: pa.Table, clouds: pa.Table) -> pa.Table:
+        if not points.num_rows or not clouds.num_rows:
+            return schema.empty_table()
+        code, of = codes([points, clouds], keys)
+        places = [k for c in XYZ for k in (points[c].to_numpy(), points[c].is_valid().to_numpy())]
+        order = np.lexsort((*places, code))
+        x, code = np.column_stack(places[::2])[order], code[order]
+        ends = [np.searchsorted(code, of, side) for side in ("left", "right")]
+        found = [_consensus(x[a:b], h, m) for a, b, h, m in zip(*ends, clouds["_head"].to_pylist(), clouds["_limit"].to_pylist())]
+        at = pa.array([i for i, f in enumerate(found) if f is not None], pa.int64())
+        axis, centre = (np.array([f[i] for f in found if f is not None]).reshape(-1, 3) for i in range(2))
+        return pa.table([*[clouds[k].take(at) for k in keys], *axis.T, -(axis * centre).sum(axis=1)], schema=schema)
+    return run
+
+
+def fit_planes(border: DataFrame, extent: DataFrame, keys: Sequence[str], seed: int = 0, block_rows: int = BLOCK_ROWS,
+               limit: int = GROUP_LIMIT) -> DataFrame:
+    """Plane of every cloud with at least 100 border points, by consensus: keys, pa, pb, pc, pw (unit normal).
+
+    Each trial takes three points by a hash of (seed, keys, trial, corner) in the order of z, y, x; the first trial with
+    most points near its plane is refitted to those points. Border points of a cloud of at most ``block_rows`` meet in a task, which
+    draws and counts its trials; small clouds are dealt into lots that share a call. Larger ones are counted in blocks.
+    """
+    keys = list(keys)
+    sizes = border.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= MIN_BORDER_POINTS)
+    sizes = rewritten(sizes.join(extent, keys).select(*keys, "_n", (F.lit(PLANE_SHARE) * F.col("extent")).alias("_limit")))
+    total, largest = sizes.agg(F.sum(F.when(F.col("_n") <= block_rows, F.col("_n"))), F.max("_n")).first()
+    rows = border.select(*keys, *[dbl(c).alias(c) for c in XYZ])
+    small, wide = (sizes.where(c) for c in (F.col("_n") <= block_rows, F.col("_n") > block_rows))
+    lots = max(-(-(total or 0) // LOT_ROWS), border.sparkSession.sparkContext.defaultParallelism)
+    lot = F.pmod(F.xxhash64(*keys), F.lit(lots)).alias("_lot")
+    any_wide = (largest or 0) > block_rows
+    dealt = (rows.join(wide, keys, "left_anti") if any_wide else rows).select(lot, *keys, *XYZ)
+    head = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).alias("_head")
+    found = small.select(*keys, *[F.lit(0.0).alias(c) for c in ("pa", "pb", "pc", "pw")]).schema
+    fresh = lambda d: spread(d, "_lot").groupBy("_lot")
+    planes = fresh(dealt).cogroup(fresh(small.select(lot, *keys, "_limit", head))).applyInArrow(
+        _planes_of_clouds(keys, to_arrow_schema(found)), found)
+    if not any_wide:
+        return planes
+    return planes.unionByName(_wide_planes(rows, wide, keys, seed, block_rows, limit))
+
+
 def remove_plane(points: DataFrame, keys: Sequence[str], border: str = "border", seed: int = 0) -> DataFrame:
     """Drop points close to the plane of the border points; clouds without a plane stay whole."""
     keys = list(keys)

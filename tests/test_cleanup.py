@@ -120,3 +120,22 @@ def test_small_clouds_are_clustered_in_one_call_as_by_cells(spark, monkeypatch):
     assert rows(C.density_clusters(df, ["c"], 0.06, limit=100)) == cells
     monkeypatch.setattr(C, "neighbours", None)  # small clouds need no joins
     assert rows(C.density_clusters(df, ["c"], 0.06)) == cells
+
+
+def test_small_clouds_find_their_planes_in_one_call_as_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    frames = []
+    for i in range(12):
+        x = np.column_stack([rng.uniform(size=(130, 2)), 0.2 + 0.0004 * rng.normal(size=130)])
+        x[:30 + i] = rng.integers(0, 4, size=(30 + i, 3)) / 4  # repeated places
+        frames.append(pd.DataFrame(x, columns=["x", "y", "z"]).assign(k=f"c{i}", g=i % 2))
+    frames.append(pd.DataFrame({"x": np.ones(120), "y": 1.0, "z": 2.0}).assign(k="one place", g=0))
+    df = spark.createDataFrame(pd.concat(frames)).selectExpr("nullif(k, 'c3') AS k", "g", "x", "y", "if(x > 0.97, NULL, z) AS z")
+    extent = C.extents(df, ["k", "g"])
+    names = ["pa", "pb", "pc", "pw"]
+    blocks = {(r["k"], r["g"]): [r[n] for n in names] for r in C.fit_planes(df, extent, ["k", "g"], block_rows=50).collect()}
+    monkeypatch.setattr(C, "ordered_index", None)  # neither points nor trials of small clouds are numbered and joined
+    got = {(r["k"], r["g"]): [r[n] for n in names] for r in C.fit_planes(df, extent, ["k", "g"]).collect()}
+    assert set(got) == set(blocks) == {(f"c{i}", i % 2) for i in range(12) if i != 3}
+    for k, want in blocks.items():
+        assert np.allclose(got[k], want, atol=1e-9) or np.allclose(got[k], [-v for v in want], atol=1e-9)
