@@ -98,3 +98,10 @@ def test_small_groups_share_a_call(spark):
         d = sorted((float(np.linalg.norm(np.subtract(p, o))), j) for h, j, *o in rows if h == g)
         want |= {(g, i, k + 1): (j, v) for k, (v, j) in enumerate(d[:2])}
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and np.isclose(got[k][1], want[k][1]) for k in want)
+
+
+def test_tiles_are_asked_by_tables_and_not_by_repeated_plans(spark):
+    df = spark.createDataFrame(clouds(3, 600))
+    near = neighbours(df, df, None, ["g"], radius=0.3, tile_rows=40)
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile_approx" not in plan and plan.count("Join ") < 30
